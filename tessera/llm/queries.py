@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op4_decontamination
 from tessera.llm.packing import op8_best_fit_packing
+from tessera.llm.secrets import op10_secret_scans
 from tessera.llm.token_counts import op9_token_counts
 from tessera.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
