@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op4_decontamination
+from tessera.llm.jaccard import op3_jaccard_join
 from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.secrets import op10_secret_scans
 from tessera.llm.token_counts import op9_token_counts
 from tessera.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
