@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import table, text_slices, written
-from tessera.llm.words import Scanner, mix
-
-_FILTER_BITS = 22
+from tessera.llm.words import Keys, Scanner, mix
 
 
 def _rolling(prints: np.ndarray, width: int) -> np.ndarray:
@@ -37,26 +35,6 @@ def _words(scanner: Scanner, texts: list[str]) -> list[np.ndarray]:
     return [prints[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-@dataclass
-class Keys:
-    """A sorted set of fingerprints with a bit filter before the binary search."""
-
-    values: np.ndarray
-
-    def __post_init__(self):
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[self.values >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in prints that hold a value, and which."""
-        if not len(self.values):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.bits[prints >> np.uint64(64 - _FILTER_BITS)])
-        which = np.minimum(np.searchsorted(self.values, prints[at]), len(self.values) - 1)
-        same = self.values[which] == prints[at]
-        return at[same], which[same]
-
-
 def item_windows(items: list[tuple[str | None, str | None]], window: int) -> list[tuple[str | None, np.ndarray]]:
     """(item_id, word fingerprints) for each run of `window` words of an item, or the whole of a shorter one; none for no words."""
     scanner = Scanner("alnum")

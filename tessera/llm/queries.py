@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import op4_decontamination
 from tessera.llm.jaccard import op3_jaccard_join
+from tessera.llm.near_vectors import OP2_SQL, op2_near_vectors
 from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.secrets import op10_secret_scans
 from tessera.llm.token_counts import op9_token_counts
 from tessera.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op2_near_vectors": op2_near_vectors,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
@@ -18,4 +20,6 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_vectors": OP2_SQL,
+}
