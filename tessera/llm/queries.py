@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import op4_decontamination
 from tessera.llm.jaccard import op3_jaccard_join
+from tessera.llm.lattice import op7_lattice_likelihood
 from tessera.llm.near_vectors import OP2_SQL, op2_near_vectors
 from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.secrets import op10_secret_scans
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
+    "op7_lattice_likelihood": op7_lattice_likelihood,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
