@@ -7,14 +7,18 @@ from tessera.llm.jaccard import op3_jaccard_join
 from tessera.llm.lattice import op7_lattice_likelihood
 from tessera.llm.near_vectors import OP2_SQL, op2_near_vectors
 from tessera.llm.packing import op8_best_fit_packing
+from tessera.llm.resampling import op1_importance_resampling
 from tessera.llm.secrets import op10_secret_scans
 from tessera.llm.token_counts import op9_token_counts
 from tessera.llm.token_files import op6_token_files
+from tessera.llm.urls import op5_url_filters
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_near_vectors": op2_near_vectors,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op5_url_filters": op5_url_filters,
     "op6_token_files": op6_token_files,
     "op7_lattice_likelihood": op7_lattice_likelihood,
     "op8_best_fit_packing": op8_best_fit_packing,
