@@ -234,25 +234,28 @@ def listed(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret span of text replaced by a mark; null texts stay null, other columns stay."""
-    found = find_secrets(docs, tuple(docs.columns))
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        def one(text, part):
-            if text is None or not len(part):
-                return text
-            out, at = [], 0
-            for x in part:
-                if x["end"] > at:
-                    out += [text[at : max(at, x["start"])], mark if x["start"] >= at else ""]
-                    at = x["end"]
-            return "".join([*out, text[at:]])
-
-        return texts.combine(spans, one)
-
-    changed = found.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text")))
-    return changed.select(*docs.columns)
+    """docs with every secret span of text replaced by a mark; overlapping spans share one.
+
+    Texts without secrets, null texts and other columns stay as they are; an empty table stays empty.
+    """
+    grammar = docs.sparkSession.sparkContext.broadcast(learn(written(scan(docs.select("doc_id", "text")), "secret-scan")))
+
+    def clean(text: str) -> str:
+        spans, candidates = scan_text(text.encode())
+        if grammar.value is not None:
+            spans = spans + [x for x in candidates if grammar.value.score(x[3]) >= grammar.value.margin]
+        out, at = [], 0
+        for begin, end in sorted((x[1], x[2]) for x in spans):
+            if begin >= at:
+                out += [text[at:begin], mark]
+            at = max(at, end)
+        return "".join([*out, text[at:]])
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else clean(x) for x in texts.to_pylist()], pa.string())
+
+    return docs.withColumn("text", cut(F.col("text")))
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
