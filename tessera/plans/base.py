@@ -104,14 +104,14 @@ def multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Benchmark result rows: one metric for each task, framework, dataset and seed of many runs.
 BENCH_SQL = """bench AS (SELECT l_returnflag AS task, l_linestatus AS framework, 'ds' || cast(l_suppkey % 20 AS varchar) AS dataset, l_linenumber::BIGINT AS seed,
- 'v' || cast(1 + l_partkey % 6 AS varchar) AS version, l_extendedprice / 100000 AS metric, l_quantity AS cost, CASE WHEN l_tax >= 0.08 THEN 'failed' ELSE 'completed' END AS status,
+ 'v' || cast(1 + l_partkey % 6 AS varchar) AS version, l_extendedprice / 1000 AS metric, l_quantity AS cost, CASE WHEN l_tax >= 0.08 THEN 'failed' ELSE 'completed' END AS status,
  l_orderkey AS job, l_shipdate AS ts FROM lineitem)"""
 
 
 def bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("task"), F.col("l_linestatus").alias("framework"), F.concat(F.lit("ds"), F.col("l_suppkey") % 20).alias("dataset"), F.col("l_linenumber").cast("long").alias("seed"),
-        F.concat(F.lit("v"), 1 + F.col("l_partkey") % 6).alias("version"), (F.col("l_extendedprice") / 100000).alias("metric"), F.col("l_quantity").alias("cost"),
+        F.concat(F.lit("v"), 1 + F.col("l_partkey") % 6).alias("version"), (F.col("l_extendedprice") / 1000).alias("metric"), F.col("l_quantity").alias("cost"),
         F.when(F.col("l_tax") >= 0.08, "failed").otherwise("completed").alias("status"), F.col("l_orderkey").alias("job"), F.col("l_shipdate").alias("ts"),
     )
 
