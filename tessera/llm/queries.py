@@ -6,6 +6,7 @@ from tessera.llm.decontaminate import op4_decontamination
 from tessera.llm.jaccard import op3_jaccard_join
 from tessera.llm.lattice import op7_lattice_likelihood
 from tessera.llm.near_vectors import OP2_SQL, op2_near_vectors
+from tessera.llm.oracles import OP3_SQL, OP4_SQL
 from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.resampling import op1_importance_resampling
 from tessera.llm.secrets import op10_secret_scans
@@ -28,4 +29,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_vectors": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
 }
