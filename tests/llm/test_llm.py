@@ -1,0 +1,290 @@
+"""Each operator against a brute-force version or a round trip, and the edge cases of its docstring."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import decontaminate, jaccard, lattice, near_vectors, packing, resampling, secrets, token_counts, token_files, urls
+from tessera.llm.common import components
+from tessera.llm.encode import Encoder, vocabulary
+from tessera.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ODD = ["", None, "one", "Two words", " \n\t", "é" * 3, "word " * 5000, "x" * 20000, "a b c", "a b c", "A B C", "<|endoftext|> it's\r\n\x1cß é́"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(ODD)] + [(None, "no id", "en", "s", 5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash"))
+
+
+def unions(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def brute_classes(texts, width, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = SPACE.findall((t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+    index, pairs = defaultdict(list), []
+    for i, s in sets.items():
+        seen = Counter(j for t in s for j in index[t])
+        pairs += [(i, j) for j, n in seen.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)]
+        for t in s:
+            index[t].append(i)
+    return sets, unions(pairs, sets)
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard_classes(spark, docs, odd, width, percent):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    near = [(1000 + k, " ".join(f"{base[j % 10]}{j if (j * 7 + k) % 60 else k}" for j in range(200))) for k in range(40)]
+    short = [(2000 + k, " ".join(base[: 9 + k % 3] + [f"w{k // 4}"])) for k in range(24)]
+    all_docs = docs.select("doc_id", "text").union(odd.where("doc_id is not null").select(F.col("doc_id") + 5000, "text")).union(spark.createDataFrame(near + short, "doc_id long, text string"))
+    sets, roots = brute_classes({r.doc_id: r.text for r in all_docs.collect()}, width, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(all_docs, width, percent).collect()}
+    assert got == {i: (len(s), roots[i]) for i, s in sets.items()}
+    assert jaccard.similarity_classes(all_docs.limit(0), width, percent).count() == 0
+
+
+def test_one_deletion_neighbourhoods_find_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 2**63, rng.integers(10, 60)).astype(np.uint64)
+        bands = jaccard.Bands(80)
+        b = np.concatenate([a[int(len(a) * 0.05) :], rng.integers(0, 2**63, int(len(a) * 0.05)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        same = len(np.intersect1d(a, b))
+        if 100 * same < 80 * (len(a) + len(b) - same):
+            continue
+        band = int(max(bands.of(np.array([len(a), len(b)]))))
+        for deletions in (False, True):
+            sides = [jaccard._signatures(x, band, bands.differences(band), deletions) for x in (a, b)]
+            assert bands.differences(band) == 0 and same == len(a) or len(np.intersect1d(*sides))
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((200, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    for i in range(60):
+        z = rng.standard_normal(16)
+        rows.append((500 + i, [float(x) for x in base[i % 12] + z / np.linalg.norm(z) * np.linalg.norm(base[i % 12]) * (0.1 + i % 5 / 15)]))
+    rows += [(900 + i, rows[0][1]) for i in range(5)] + [(990, None), (991, [0.0] * 16), (992, [float("nan")] * 16), (993, [1.0, None]), (994, [])]
+    got = {r.vec_id: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    sound = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i < 990}
+    ids, m = list(sound), np.array(list(sound.values()))
+    near = m @ m.T >= 0.95
+    links = sum(int(r.sum()) - 1 for r in near)
+    assert sum(got[i].n_links for i in ids) >= 0.98 * links
+    assert all(got[i].n_links <= int(r.sum()) - 1 for i, r in zip(ids, near, strict=True))
+    roots = unions([(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True)], ids)
+    assert sum(got[i].component_id == roots[i] for i in ids) >= 0.98 * len(ids)
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(990, 995))
+
+
+def test_decontamination(spark, docs, odd):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, "one"), (901, ""), (902, None), (903, "a B c")], "item_id long, text string"))
+    whole = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    windows = defaultdict(set)
+    for r in items.collect():
+        w = ALNUM.findall((r.text or "").translate(LOWER))
+        for k in range(max(1, len(w) - 12)) if w else ():
+            windows[tuple(w[k : k + 13])].add(str(r.item_id))
+    want = Counter()
+    for r in whole.collect():
+        w, hit, ids = ALNUM.findall((r.text or "").translate(LOWER)), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    ids |= windows[tuple(w[k : k + n])]
+        want[r.doc_id, len(w), len(hit), tuple(sorted(ids))] += 1
+    for most in (20_000, 30):  # in one part, and in several whose hits are merged
+        found = decontaminate.find_passages(whole, items, most_items=most).withColumn("n_hit", decontaminate.n_hit())
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == want
+    assert decontaminate.find_passages(whole, items.limit(0)).where("size(hit) > 0").count() == 0
+
+
+def test_encoder_equals_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(vocabulary(name), keep=20)
+        texts = [t for t in ODD if t is not None]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files_round_trip_and_seek(spark, odd, tmp_path):
+    folder = f"file://{tmp_path}/tok"
+    code = Encoder(vocabulary("byte_bpe_50k.json"))
+    files = token_files.write_token_files(odd.repartition(3), vocabulary("byte_bpe_50k.json"), 2, folder)
+    rows = token_files.read_token_files(files).collect()
+    ids = {i: code.ids([t])[0] + b"\x02\0\0\0" for i, t in [*enumerate(ODD), (None, "no id")]}
+    start = 0
+    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]) // 4, zlib.crc32(ids[r.doc_id]))
+        start += r.n_tokens
+    assert len(rows) == len(ids)
+    found = [x.tolist() for f in files.collect() for x in token_files.TokenFile(f.file).find(3)]
+    assert found == [np.frombuffer(ids[3], "<u4").tolist()]
+    path = files.first().file.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[5] ^= 0xFF
+    open(path, "wb").write(data)
+    with pytest.raises(Exception):
+        file = token_files.TokenFile(files.first().file)
+        [file.read(i) for i in range(len(file.docs))]
+    assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), vocabulary("byte_bpe_50k.json"), 2)).count() == 0
+
+
+def test_flat_files_are_counted_across_blocks(spark, odd):
+    code = Encoder(vocabulary("byte_bpe_50k.json"))
+    order = token_counts.write_flat_files(odd.repartition(2), vocabulary("byte_bpe_50k.json"))
+    want = Counter((i, len(code.ids([t])[0]) // 4) for i, t in [*enumerate(ODD), (None, "no id")])
+    for block in (3, 50, 1 << 20):
+        got = order.join(token_counts.count_tokens(order, block_ids=block), ["file", "ordinal"])
+        assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == want
+
+
+def test_lattice_sums_all_segmentations():
+    model = lattice.lattice(vocabulary("piece_bpe_32k.model"))
+    weight = dict(zip(model.pieces, np.exp(model.prior), strict=True))
+
+    def total(word):
+        ways = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            ways[j] = sum(ways[i] * weight.get(word[i:j], 0.0) for i in range(j))
+        return ways[-1]
+
+    for word in ("▁the", "▁naïve", "▁漢字", "▁zzqx"):
+        raw = word.encode()
+        one = model.likelihood(np.frombuffer(raw, np.uint8)[None, :], model.prior)[0]
+        assert one == pytest.approx(math.log(total(raw)), rel=1e-9)
+        assert model.long_likelihood(raw, model.prior) == pytest.approx(one, rel=1e-9)
+
+
+def test_lattice_base_score(spark, docs, odd):
+    whole = docs.select("doc_id", "text").union(odd.where("doc_id is not null").select(F.col("doc_id") + 5000, "text"))
+    texts = {r.doc_id: SPACE.findall((r.text or "").translate(LOWER)) + ["\n"] for r in whole.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = Counter(w for i, t in texts.items() if not held[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    rows = lattice.lattice_scores(whole, vocabulary("piece_bpe_32k.model"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
+    assert lattice.lattice_scores(whole.limit(0), vocabulary("piece_bpe_32k.model"), F.lit(False)).count() == 0
+
+
+def test_packing_places_every_piece_once(spark, odd):
+    rows = packing.pack_documents(odd, vocabulary("word_bpe_49k.json"), room=64).collect()
+    code, by_doc, sequences = Encoder(vocabulary("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, t in [*enumerate(ODD), (None, "no id")]:
+        ids = code.ids([t])[0] + b"\0\0\0\0"
+        for k, r in enumerate(sorted(by_doc[i], key=lambda r: r.piece)):
+            assert (r.piece, r.start, r.ids_crc32) == (k, 64 * k, zlib.crc32(ids[256 * k : 256 * k + 256]))
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(sequences) <= -(-sum(r.length for r in rows) // 64) + 1
+    rng = np.random.default_rng(0)
+    counts = Counter(rng.integers(1, 64, 500).tolist())
+    used = Counter()
+    for pattern, n in packing.plan(dict(counts), 64):
+        assert sum(pattern) <= 64
+        for x in pattern:
+            used[x] += n
+    assert used == counts
+    assert packing.plan({30: 5, 34: 5, 20: 3, 44: 1, 24: 2}, 64)[0][1] > 0 and packing.plan({}, 64) == []
+
+
+def test_secrets_base_and_grammar(spark, docs, odd):
+    extra = [(8000, 'é api_key="abcd1234EFGH" x'), (8001, "AKIAABCDEFGHIJKL token: short"), (8002, "id " + hashlib.md5(b"x").hexdigest()), (8003, "see " + hashlib.md5(b"y").hexdigest()[:30]), (8004, "Password=" + "a" * 9 + " TOKEN = 'zzzzzzzz'")]
+    known = [(8100 + i, "h " + hashlib.sha256(str(i).encode()).hexdigest()[:40]) for i in range(60)]
+    whole = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame(extra + known, "doc_id long, text string"))
+    found = {r.doc_id: r for r in secrets.find_secrets(whole).collect()}
+    names = dict(enumerate(secrets.KINDS))
+    for r in whole.collect():
+        want = sorted((m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r.text or "", re.A) if len(m.group(1)) >= 8)
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", r.text or "") if len(m.group()) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", r.text or "") if len(m.group()) >= 32]
+        got = found[r.doc_id]
+        assert sorted((x.start, x.kind, x.end) for x in got.base) == sorted(want)
+        assert set(want) <= {(x.start, x.kind, x.end) for x in got.spans}
+    assert [names[x.kind] for x in found[8003].spans] == ["grammar"]  # 30 hex digits: of the learnt format, but no base pattern
+    clean = {r.doc_id: r.text for r in secrets.redact(whole).collect()}
+    assert clean[8002] == "id [secret]" and clean[2] == "one" and clean[1] is None
+    assert secrets.find_secrets(whole.limit(0)).count() == 0
+
+
+def test_url_rules_and_model(spark):
+    rows = ["http://A.Example.NET/en/x?q=1#f", "https://example.net", "http://x.example.net/de/", "http://example.com/de/1", "http://notexample.com/de/1", "http://b.org/fr/", "ftp://org/fr/a", None, "no scheme", "", "http://x.org/" + "a" * 5000]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
+    assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2][2:] == ("net/", "block") and got[3][2:] == ("example.com/de/", "block")
+    assert got[1][:3] == ("example.net", "", None) and got[4][2] is None and got[5][2:] == ("org/fr/", "allow") and got[6][0] == "org"
+    assert got[7][:3] == ("", "", None) and got[8][:3] == ("", "", None) and len(got) == len(rows)
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_resampling_keeps_good_and_drops_bad(spark, odd):
+    sf = "/root/testdata/sf0.1"  # some thousand labels; with a few hundred the cut is laxer, and keeps more
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = resampling.resample(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    share = {r.quality: r.k for r in kept}
+    assert share[1] >= 0.98 and share[0] <= 0.3
+    assert resampling.resample(odd, labels.limit(0)).where("kept").count() == odd.count()
+    keys = spark.range(50_000).select((F.col("id") % 977).cast("double").alias("key"))
+    assert resampling.kth_largest(keys, "key", 12_345, most=100) == sorted((i % 977 for i in range(50_000)), reverse=True)[12_344]
+
+
+def test_pipeline_stages_keep_columns_and_odd_rows(spark, odd):
+    part = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        part = stage(spark, part, SF)
+        assert part.columns == odd.columns
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    left = {r.doc_id for r in part.collect()}
+    assert {0, 1, 2, 8, None} <= left and not {9, 10} & left  # equal texts leave one
+    assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() <= 200
+    assert [n for n in QUERIES if n.startswith("op")] == sorted((n for n in QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
