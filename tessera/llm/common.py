@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
@@ -108,7 +108,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
-        large = local_stars(large.where("a <> b").distinct()).distinct()
+        large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select("b", "low").where("b <> low").select(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b"))
         edges = written(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
@@ -129,3 +129,25 @@ def attach(rows: DataFrame, values: DataFrame, key: list[str], size: str, per_ta
     salted = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int"))).drop("salts")
     spread = values.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return salted.join(spread, [*key, "salt"]).drop("salt")
+
+
+def possible_members(ids: DataFrame, name: str, bits: int = 25) -> Column:
+    """A condition on column `name` that holds for every id of ids(id), and for few others: hashed ids in a bitmap of 2^bits.
+
+    The bitmap has a fixed size, whatever the number of ids, so it may be broadcast; it spares a later join most rows.
+    """
+    spark = ids.sparkSession
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    rows = ids.select(F.bitmap_bucket_number(spot("id") + 1).alias("bucket"), F.bitmap_bit_position(spot("id") + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for bucket, part in rows.collect():  # 4 KB for each 32768 bits
+        low = (bucket - 1) * 4096
+        whole[low : low + 4096] = np.frombuffer(part, np.uint8)
+    held = spark.sparkContext.broadcast(whole)
+
+    @F.arrow_udf("boolean")
+    def inside(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return inside(spot(name))

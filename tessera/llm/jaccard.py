@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, table, text_slices, written
+from tessera.llm.common import components, possible_members, table, text_slices, written
 from tessera.llm.words import Scanner, mix, shingles
 
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -156,39 +156,105 @@ def signatures(docs: DataFrame, width: int, percent: int, by_deletion: list[int]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, signatures array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose texts' sets link, by the texts themselves. Each pair's texts meet in a task; nothing is grouped."""
-    named = written(pairs, "candidates")
-    wanted = named.select(F.col("a").alias("doc_id")).union(named.select("b")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), "candidate-texts")
-    both = named.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-
-    def run(batches):
+class _Block:
+    """Sets of one block and the signatures by which they may meet; finds links that join its components."""
+
+    def __init__(self, ids, side, sets, signatures, percent):
+        self.ids, self.label, self.percent = ids, np.arange(len(ids)), percent
+        self.size = np.array([len(x) for x in sets])
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        values, self.local = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flag = np.zeros(len(values), bool)
+        self.may = np.zeros((len(ids), len(ids)), bool)
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in signatures])
+        every = np.concatenate(signatures)
+        order = np.argsort(every, kind="stable")
+        for part in np.split(owner[order], np.flatnonzero(np.diff(every[order])) + 1):
+            if len(part) > 1:
+                self.may[np.ix_(part, part)] = True
+        if side.any():
+            self.may &= side[:, None] != side[None, :]
+
+    def links(self) -> list[tuple[int, int]]:
+        """One link for each pair of components that a link joins; sets in one component are not compared."""
+        out = []
+        for i in range(len(self.ids) - 1):
+            js = i + 1 + np.flatnonzero(self.may[i, i + 1 :])
+            low, high = np.minimum(self.size[js], self.size[i]), np.maximum(self.size[js], self.size[i])
+            js = js[(self.label[js] != self.label[i]) & (100 * low >= self.percent * high)]
+            if not len(js):
+                continue
+            mine = self.local[self.begin[i] : self.begin[i + 1]]
+            self.flag[mine] = True
+            theirs = np.concatenate([self.local[self.begin[j] : self.begin[j + 1]] for j in js.tolist()])
+            same = np.add.reduceat(self.flag[theirs].astype(np.int64), np.concatenate([[0], np.cumsum(self.size[js])[:-1]]))
+            self.flag[mine] = False
+            for j in js[100 * same >= self.percent * (self.size[js] + self.size[i] - same)].tolist():
+                if self.label[j] != self.label[i]:
+                    out.append((int(self.ids[i]), int(self.ids[j])))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return out
+
+
+def compared(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between documents of a group, as many as join its components.
+
+    members: key, doc_id, signatures. A group is dealt into chunks of about `block` documents, and every two chunks
+    meet in a task, where documents that share a signature are compared by their sets, unless links found before in
+    the task join them already.
+    """
+    named = written(members, "members")
+    sizes = named.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    dealt = named.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).join(texts, "doc_id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "signatures", "text")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def groups(batches):
         scanner = Scanner("space")
+        held, last = [], None
         for batch in batches:
-            sides = [[], []]
-            for name, out in zip(("text", "other"), sides, strict=True):
-                for _, _, data, offsets in text_slices(batch, name):
-                    _, _, prints, first = scanner.scan(data, offsets)
-                    values, begin = shingles(prints, first, width)
-                    out += [np.unique(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
-            keep = pa.array([100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(same, *sides, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            sets = []
+            for _, _, data, offsets in text_slices(batch, "text"):
+                _, _, prints, first = scanner.scan(data, offsets)
+                values, begin = shingles(prints, first, width)
+                sets += [np.unique(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            at = np.asarray(batch.column("signatures").offsets)
+            flat = batch.column("signatures").values.to_numpy()
+            rows = zip(keys, batch.column("doc_id").to_pylist(), batch.column("side").to_pylist(), sets, strict=True)
+            for n, (key, *row) in enumerate(rows):
+                if key != last and held:
+                    yield held
+                    held = []
+                last = key
+                held.append((*row, flat[at[n] : at[n + 1]]))
+        if held:
+            yield held
+
+    def run(batches):
+        def rows():
+            for held in groups(batches):
+                if len(held) > 1:
+                    ids, side, sets, signatures = zip(*held, strict=True)
+                    yield from _Block(np.array(ids), np.array(side), sets, signatures, percent).links()
+
+        yield from _batched(rows(), schema)
 
-    return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, largest: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every document.
 
-    Equal sets are one class, of which only the smallest doc_id is joined. Candidates of a signature first are
-    neighbours in doc_id order; pairs of one signature whose documents those links leave in different components
-    are then all compared, so no link is lost and groups of near copies don't cost all their pairs. Null and empty
-    texts have no shingles and link with nothing; equal rows with one doc_id are one class; a null doc_id has a null
-    component. An empty table gives no rows.
+    Equal sets are one class, of which only the smallest doc_id is joined. Documents that shared signatures connect
+    form a group; inside it all that share a signature are compared, in blocks and without writing pairs down. Of a
+    group above `largest` documents each signature is a group of its own. So no link between components is lost. Null
+    and empty texts have no shingles and link with nothing; equal rows with one doc_id are one class; a null doc_id has
+    a null component. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = written(describe(docs, width, percent), "sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"))
@@ -200,20 +266,16 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = found.select("doc_id", F.explode("signatures").alias("signature"))
     order = Window.partitionBy("signature").orderBy("doc_id")
     near = rows.withColumn("before", F.lag("doc_id").over(order)).withColumn("after", F.lead("doc_id").over(order)).where("before is not null or after is not null")
-    near = written(near, "shared-signatures")
-    chain = near.where("before is not null").select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(verified(chain, docs, width, percent), "links")
-    # signatures of three or more documents hold pairs that are not neighbours
-    many = near.where("before is not null and after is not null").select("signature").distinct()
-    labels = components(links)
-    labels = labels.withColumnRenamed("vertex", "doc_id")
-    shared = near.select("signature", "doc_id").join(many, "signature", "left_semi").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = shared.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-    split = written(shared.join(apart, "signature", "left_semi"), "split-signatures")
-    left, right = split.alias("l"), split.alias("r")
-    cross = left.join(right, F.expr("l.signature = r.signature and l.doc_id < r.doc_id and l.component <> r.component")).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-    cross = cross.join(written(chain, "chain"), ["a", "b"], "left_anti")
-    links = links.union(written(verified(cross, docs, width, percent), "links"))
+    near = written(near.select("signature", "doc_id", "before"), "shared-signatures")
+    group = components(near.select(F.col("before").alias("a"), F.col("doc_id").alias("b"))).select(F.col("vertex").alias("doc_id"), F.col("component").alias("key"))
+    sizes = group.groupBy("key").agg(F.count("*").alias("size"))
+    large = group.join(sizes.where(F.col("size") > largest), "key", "left_semi").withColumn("large", F.lit(True))
+    shared = near.select("signature", "doc_id")
+    members = shared.groupBy("doc_id").agg(F.collect_list("signature").alias("signatures")).join(group, "doc_id").join(large.select("doc_id"), "doc_id", "left_anti").select("key", "doc_id", "signatures")
+    members = members.union(shared.join(large.select("doc_id"), "doc_id", "left_semi").select(F.col("signature").alias("key"), "doc_id", F.array("signature").alias("signatures")))
+    # the texts of documents that share a signature, and a few others that the join drops
+    texts = written(docs.where(possible_members(group.select(F.col("doc_id").alias("id")), "doc_id")), "candidate-texts")
+    links = written(compared(members, texts, width, percent), "links")
 
     joined = components(links).select(F.col("vertex").alias("class"), "component")
     return _with_classes(sets, classes, joined)
