@@ -20,7 +20,7 @@ def classifiers(seed: int) -> dict:
     return {
         "forest": MC.RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common),
         "boosted": MC.GBTClassifier(maxIter=8, maxDepth=3, seed=seed, **common),
-        "logistic": MC.LogisticRegression(regParam=0.01, **common),
+        "logistic": MC.LogisticRegression(regParam=0.01, maxIter=20, **common),
         "tree": MC.DecisionTreeClassifier(maxDepth=5, seed=seed, **common),
     }
 
@@ -88,7 +88,7 @@ def stack(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 3,
     """
     names = list(pool)
     oof = wide(out_of_fold(pool, fit, row_id, k, seed), row_id, names)
-    meta = MC.LogisticRegression(featuresCol="features", labelCol="y", regParam=0.01, weightCol="weight").fit(class_weight(assembled(oof, names), "y"))
+    meta = MC.LogisticRegression(featuresCol="features", labelCol="y", regParam=0.01, maxIter=20, weightCol="weight").fit(class_weight(assembled(oof, names), "y"))
     return scored(meta, assembled(wide(fit_pool(pool, fit, test, [row_id, "y"]), row_id, names), names), [row_id, "y"])
 
 

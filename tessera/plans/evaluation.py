@@ -185,3 +185,15 @@ def _(spark, d):
 @query("agg17_contingency", f"WITH {_CUST} SELECT truth::BIGINT AS truth, a::BIGINT AS a, count(*) AS n FROM cust GROUP BY ALL")
 def _(spark, d):
     return rounded(M.contingency(_labels(spark, d), "truth", "a"))
+
+
+def score_card(spark, d):
+    """All binary metrics of the scored line items by dataset: rank metrics, threshold rates, losses and calibration, joined."""
+    lines, by = line_predictions(spark, d), ["dataset"]
+    card = M.roc_auc(lines, by=by)
+    for part in (M.average_precision(lines, by=by), M.confusion(lines, by=by), M.probability_scores(lines, by=by), M.ece(lines, by=by)):
+        card = card.join(part, "dataset")
+    return rounded(card)
+
+
+query("score_card")(score_card)

@@ -157,8 +157,8 @@ def _(spark, d):
 def flagship(spark, d) -> DataFrame:
     """metric, value on test of the calibrated stack, and which feature route and models won on validation."""
     routes = {"raw": BASE, "interaction": [*BASE, "price_month"]}
-    pool = {n: m for n, m in L.classifiers(42).items() if n in ("forest", "logistic", "tree")}
-    task = _task(spark, d)
+    pool = {n: m for n, m in L.classifiers(42).items() if n in ("logistic", "tree")}
+    task = _task(spark, d).persist()
     best = None
     for route, features in routes.items():
         if not P.within_budget(BASE, features[len(BASE) :]):

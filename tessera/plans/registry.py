@@ -8,3 +8,4 @@ MODULES = (calibration, encoding, ensembles, evaluation, feature_programs, model
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 flagship = modelling.flagship
+score_card = evaluation.score_card
