@@ -42,7 +42,8 @@ def threshold_table(df: DataFrame, y: str, p: str, grid: list[float], by: list[s
     """Scores at each threshold of a grid. Rows are first summed by how many thresholds they reach, so only as many remain."""
     by = by or []
     reached = sum((F.when(F.col(p) >= t, 1).otherwise(0) for t in grid), F.lit(0))
-    cells = df.groupBy(*by, reached.alias("_reached")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
+    scores = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
+    cells = scores.groupBy(*by, reached.alias("_reached")).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     rows = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(grid)], "_i int, threshold double")
     hit = F.col("_reached") > F.col("_i")
     counted = cells.crossJoin(F.broadcast(rows)).groupBy(*by, "threshold").agg(  # grid by grid
