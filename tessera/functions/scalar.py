@@ -60,9 +60,19 @@ def truthy(text: str) -> Column:
 
 
 def mean_std(cell: str) -> tuple[Column, Column]:
-    """Both numbers of a `mean±std` cell; the second is null if there is one number."""
+    """Both numbers of a `mean±std` cell; the second is null if there is one number. A zero has no sign."""
     number = lambda i: F.regexp_extract(F.translate(F.col(cell), "−", "-"), r"(-?\d+(?:\.\d+)?)(?:\s*±\s*(\d+(?:\.\d+)?))?", i)
-    return tuple(F.nullif(number(i), F.lit("")).try_cast("double") for i in (1, 2))
+    return tuple(F.nullif(number(i), F.lit("")).try_cast("double") + F.lit(0.0) for i in (1, 2))
+
+
+def half_up(x: str, digits: int) -> Column:
+    """A double to that many decimals: ties of its shortest decimal form go away from zero, and a zero has no sign."""
+    return F.round(F.col(x).cast("double"), digits) + F.lit(0.0)
+
+
+def repaired(text: str) -> Column:
+    """A ? between digits is a ± that an encoding lost."""
+    return F.regexp_replace(F.col(text), r"(?<=\d)\?(?=\d)", "±")
 
 
 def value_list(text: str) -> Column:

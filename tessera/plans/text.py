@@ -85,6 +85,14 @@ def _(spark, d):
     return o.select("o_orderkey", mean.alias("mean"), std.alias("std"))
 
 
+@query("str8_mean_std_cells_whole")
+def _(spark, d):
+    """Every order, those of a zero mean (a cell of −0.00) too; SQL covers the rows of str8_mean_std_cells."""
+    cell = F.concat(F.lit("−"), F.format_string("%.2f", F.col("o_custkey") % 90 / F.lit(100.0)), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("±0.02"))
+    mean, std = X.mean_std("cell")
+    return table(spark, d, "orders").select("o_orderkey", cell.alias("cell")).select("o_orderkey", mean.alias("mean"), std.alias("std"))
+
+
 @query("str9_safe_float", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN value END AS v, round(CASE WHEN abs(value - 5) >= 1e-12 THEN 1 / (value - 5) END, 6) AS ratio, event_id % 4 = 2 AS yes FROM events")
 def _(spark, d):
     words = F.element_at(F.array(F.lit("N/A"), F.lit(" Yes "), F.lit("")), (F.greatest(F.col("event_id") % 4, F.lit(1))).cast("int"))
@@ -139,6 +147,13 @@ def _(spark, d):
     return c.select("c_custkey", F.round("c_acctbal", 1).alias("c_acctbal"), F.regexp_replace(F.lit("0.5?0.1"), r"\?", "±").alias("cell"))
 
 
+@query("str17_display_repair_whole")
+def _(spark, d):
+    """Every customer, rounding ties too, with a cell of its own columns; SQL covers the rows of str17_display_repair."""
+    c = table(spark, d, "customer").withColumn("cell", F.concat(F.col("c_acctbal").cast("string"), F.lit("?"), F.col("c_nationkey").cast("string"), F.lit(" "), "c_name", F.lit("?")))
+    return c.select("c_custkey", X.half_up("c_acctbal", 1).alias("c_acctbal"), X.repaired("cell").alias("cell"))
+
+
 @query("fn1_logit_sigmoid", f"WITH {PRED_SQL} SELECT row_id, round(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))), 6) AS z, round(p, 6) AS back FROM pred")
 def _(spark, d):
     z = X.logit(F.col("p"))
