@@ -9,6 +9,7 @@ file's scores give each piece its first weight; expected piece counts over the t
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from tessera.llm.words import Keys, Scanner, _BASE, mix
 
 MARK = "▁".encode()
 LONG = 96
+BLOCK = 1 << 14
 CHUNK_BYTES = 16 << 20
 
 
@@ -46,7 +48,7 @@ class Lattice:
         self.id = {p: i for i, p in enumerate(self.pieces)}
         self.longest = max(map(len, self.pieces))
         self.value = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))  # apart for A and a
-        size = LONG + len(MARK)
+        size = BLOCK + self.longest
         self.power = np.cumprod(np.array([1, *[_BASE] * size], np.uint64), dtype=np.uint64)
         self.inverse = np.cumprod(np.array([1, *[pow(_BASE, -1, 1 << 64)] * size], np.uint64), dtype=np.uint64)
         prints = np.array([(self.value[np.frombuffer(p, np.uint8)] * self.power[: len(p)]).sum(dtype=np.uint64) for p in self.pieces], np.uint64)
@@ -83,14 +85,51 @@ class Lattice:
                 counts += np.bincount(ids, np.exp(ahead[i, rows] + step - ahead[m, rows]) * times[rows], len(counts))
         return ahead[m]
 
+    def _pieces(self, word: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """begin, end and id of the word's pieces that begin in low ... high - 1, by begin."""
+        part = word[low : high + self.longest]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[part] * self.power[: len(part)], dtype=np.uint64)])
+        begins, ends, ids = [], [], []
+        for size in range(1, min(self.longest, len(part)) + 1):
+            n = min(high - low, len(part) - size + 1)
+            rows, which = self.keys.find((total[size : size + n] - total[:n]) * self.inverse[:n])
+            begins.append(rows + low)
+            ends.append(rows + low + size)
+            ids.append(self.order[which])
+        begin, end, found = (np.concatenate(x) for x in (begins, ends, ids))
+        by = np.argsort(begin, kind="stable")
+        return begin[by], end[by], found[by]
+
+    def long_likelihoods(self, words: bytes, stops: np.ndarray, weight: np.ndarray, times: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
+        """The same for very long words, one after the other, that stop at `stops`.
+
+        No piece crosses a word mark, so a word's log probability is what the log sums grow by over its places. They are
+        carried from block to block: two numbers a place, and the pieces of one block at a time.
+        """
+        data, m = np.frombuffer(words, np.uint8), len(words)
+        ahead = array("d", [-math.inf]) * (m + 1)
+        ahead[0] = 0.0
+        for low in range(0, m, BLOCK):
+            begin, end, ids = self._pieces(data, low, min(m, low + BLOCK))
+            for i, j, w in zip(begin.tolist(), end.tolist(), weight[ids].tolist(), strict=True):
+                x, y = ahead[i] + w, ahead[j]
+                ahead[j] = x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+        before = np.frombuffer(ahead)
+        if counts is not None:
+            back = array("d", [-math.inf]) * (m + 1)
+            back[m] = 0.0
+            after = np.frombuffer(back)
+            for low in reversed(range(0, m, BLOCK)):
+                begin, end, ids = self._pieces(data, low, min(m, low + BLOCK))
+                for i, j, w in zip(begin[::-1].tolist(), end[::-1].tolist(), weight[ids[::-1]].tolist(), strict=True):
+                    x, y = back[j] + w, back[i]
+                    back[i] = x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+                expected = np.exp(before[begin] + weight[ids] + after[end] - ahead[m]) * times[np.searchsorted(stops, begin, "right")]
+                counts += np.bincount(ids, expected, len(counts))
+        return np.diff(before[stops], prepend=0.0)
+
     def long_likelihood(self, word: bytes, weight: np.ndarray) -> float:
-        """The same for one very long word, place by place."""
-        ahead = [0.0]
-        for j in range(1, len(word) + 1):
-            terms = [ahead[i] + weight[k] for i in range(max(0, j - self.longest), j) if (k := self.id.get(word[i:j])) is not None]
-            top = max(terms)
-            ahead.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return ahead[-1]
+        return float(self.long_likelihoods(word, np.array([len(word)]), weight)[0])
 
 
 _lattices: dict[str, Lattice] = {}
@@ -137,22 +176,33 @@ class Words:
         return np.bincount(self.place[np.repeat(self.flags, self.sizes)], minlength=len(self.prints))
 
     def groups(self, of: np.ndarray):
-        """(places, byte matrix with the word mark) for words of equal length, of those places; very long words come alone."""
+        """(places, byte matrix with the word mark) for words of equal length, of those places; very long words are left to `runs`."""
+        of = of[self.length[of] + len(MARK) <= LONG]
         of = of[np.argsort(self.length[of], kind="stable")]
         cuts = np.flatnonzero(np.diff(self.length[of], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             n = int(self.length[of[a]])
-            step = max(1, (1 << 19) // n) if n <= LONG else 1
+            step = max(1, (1 << 19) // n)
             for low in range(a, b, step):
                 part = of[low : min(b, low + step)]
                 words = self.data[self.start[part][:, None] + np.arange(n)]
                 yield part, np.hstack([np.tile(np.frombuffer(MARK, np.uint8), (len(part), 1)), words])
 
+    def runs(self, of: np.ndarray):
+        """(places, bytes with the word marks, where each word stops) for the very long words of those places, about a block at a time."""
+        of = of[self.length[of] + len(MARK) > LONG]
+        block = np.cumsum(self.length[of] + len(MARK)) // BLOCK
+        for part in np.split(of, np.flatnonzero(np.diff(block)) + 1) if len(of) else ():
+            words = [MARK + self.data[a : a + n].tobytes() for a, n in zip(self.start[part].tolist(), self.length[part].tolist(), strict=True)]
+            yield part, b"".join(words), np.cumsum([len(w) for w in words])
+
 
 def likelihoods(model: Lattice, weight: np.ndarray, words: Words) -> np.ndarray:
-    out = np.zeros(len(words.prints))
-    for part, matrix in words.groups(np.arange(len(words.prints))):
-        out[part] = model.likelihood(matrix, weight) if matrix.shape[1] <= LONG else model.long_likelihood(matrix[0].tobytes(), weight)
+    out, of = np.zeros(len(words.prints)), np.arange(len(words.prints))
+    for part, matrix in words.groups(of):
+        out[part] = model.likelihood(matrix, weight)
+    for part, run, stops in words.runs(of):
+        out[part] = model.long_likelihoods(run, stops, weight)
     return out
 
 
@@ -180,8 +230,9 @@ def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
         model = lattice(path)
         counts = np.zeros(len(model.pieces))
         for part, matrix in words.groups(np.flatnonzero(n)):
-            if matrix.shape[1] <= LONG:  # longer ones, no words of a language, teach nothing about pieces
-                model.likelihood(matrix, model.prior, n[part].astype(float), counts)
+            model.likelihood(matrix, model.prior, n[part].astype(float), counts)
+        for part, run, stops in words.runs(np.flatnonzero(n)):
+            model.long_likelihoods(run, stops, model.prior, n[part].astype(float), counts)
         some = np.flatnonzero(counts)
         ends = int(words.flags.sum())
         key = np.concatenate([words.prints.view(np.int64), some, [0]])

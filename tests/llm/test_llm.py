@@ -195,6 +195,47 @@ def test_lattice_sums_all_segmentations():
         assert model.long_likelihood(raw, model.prior) == pytest.approx(one, rel=1e-9)
 
 
+def test_lattice_learns_from_long_unspaced_words(spark, monkeypatch):
+    path = vocabulary("piece_bpe_32k.model")
+    model = lattice.lattice(path)
+    long = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽" * 3
+    texts = [long, f"{long} the {'ab' * 46}cd {'ba' * 46}xyz {'ab' * 47} {'cd' * 47}", "the end", long[:40]]
+    held = [False, False, False, True]
+
+    def sums(raw, weight, times=0.0, counts=None):
+        m = len(raw)
+        edges = [(i, j, k) for i in range(m) for j in range(i + 1, min(m, i + model.longest) + 1) if (k := model.id.get(raw[i:j])) is not None]
+        ahead, back = [-math.inf] * m + [-math.inf], [-math.inf] * m + [0.0]
+        ahead[0] = 0.0
+        for i, j, k in sorted(edges, key=lambda e: e[1]):
+            ahead[j] = np.logaddexp(ahead[j], ahead[i] + weight[k])
+        for i, j, k in sorted(edges, key=lambda e: -e[0]):
+            back[i] = np.logaddexp(back[i], back[j] + weight[k])
+        if counts is not None:
+            for i, j, k in edges:
+                counts[k] += times * math.exp(ahead[i] + weight[k] + back[j] - ahead[m])
+        return ahead[m]
+
+    words = [["▁".encode() + w.encode() for w in SPACE.findall(t)] for t in texts]
+    counts = np.zeros(len(model.pieces))
+    for w, n in Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws).items():
+        sums(w, model.prior, n, counts)
+    ends = held.count(False)
+    total = counts.sum() + 0.1 * len(counts) + ends + 0.1
+    weight = np.log((counts + 0.1) / total)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in lattice.lattice_scores(df, path, F.col("doc_id") == 3).collect()}
+    for i, ws in enumerate(words):
+        want = sum(sums(w, weight) for w in ws) + math.log((ends + 0.1) / total)
+        assert rows[i] * math.log(10) == pytest.approx(want, rel=1e-9)
+    # words over many blocks
+    monkeypatch.setattr(lattice, "BLOCK", 50)
+    raw, times, found, want = [*words[0], words[1][2]], np.array([2.0, 3.0]), np.zeros(len(counts)), np.zeros(len(counts))
+    one = [sums(w, weight, n, want) for w, n in zip(raw, times, strict=True)]
+    assert model.long_likelihoods(b"".join(raw), np.cumsum([len(w) for w in raw]), weight, times, found) == pytest.approx(one, rel=1e-9)
+    assert found == pytest.approx(want, rel=1e-7, abs=1e-12)
+
+
 def test_lattice_base_score(spark, docs, odd):
     whole = docs.select("doc_id", "text").union(odd.where("doc_id is not null").select(F.col("doc_id") + 5000, "text"))
     texts = {r.doc_id: SPACE.findall((r.text or "").translate(LOWER)) + ["\n"] for r in whole.collect()}
