@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import HASH_BUCKETS, running
 from tessera.operators.tables import best_per_group
 
 
@@ -145,3 +148,28 @@ def knn_join(df: DataFrame, row_id: str, features: list[str], k: int, queries: D
 
     found = df.select(F.col(row_id).cast("long"), *features).mapInPandas(near, "query long, neighbour long, distance double")
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("_r") <= k).drop("_r")
+
+
+def projection_bins(df: DataFrame, row_id: str, bins: int) -> DataFrame:
+    """row_id, score and label: quantile bins of the projection of `features` on their first principal direction.
+
+    The direction's largest weight is above zero; a score on an edge is above it. If all rows come into one bin, their
+    places in the order of score and row_id, an integer, are cut into bins of equal size.
+    """
+    model = PCA(k=1, inputCol="features", outputCol="_p").fit(df)
+    weights = model.pc.toArray()[:, 0]
+    sign = 1.0 if weights[np.argmax(np.abs(weights))] > 0 else -1.0
+    p = model.transform(df).select(row_id, (vector_to_array("_p")[0] * sign).alias("score")).persist()
+    edges = p.agg(F.percentile("score", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_q"))  # one row
+    out = p.crossJoin(F.broadcast(edges)).select(row_id, "score", F.size(F.filter("_q", lambda x: F.col("score") >= x)).alias("label"))
+    labels, n, least, most, first, last = out.agg(F.count_distinct("label"), F.count("*"), F.min("score"), F.max("score"), F.min(row_id), F.max(row_id)).first()
+    if labels > 1 or n < bins:
+        return out
+    # in one bin, most rows share the least score: they are ranked by row_id, the others by score
+    among = F.floor((F.col(row_id) - first) * (HASH_BUCKETS / (last - first + 1)))
+    above = HASH_BUCKETS + F.floor((F.col("score") - least) * (HASH_BUCKETS / ((most - least) or 1.0)))
+    at = F.col("_at") - 1
+    size, more = divmod(n, bins)
+    label = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / size)).cast("int")
+    ranked = running(p, F.when(F.col("score") > least, above).otherwise(among), [F.col("score"), F.col(row_id)], {"_at": F.lit(1)})
+    return ranked.select(row_id, "score", label.alias("label"))

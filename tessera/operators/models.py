@@ -6,7 +6,7 @@ from pyspark.ml import classification as MC
 from pyspark.ml import clustering as ML
 from pyspark.ml import regression as MR
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +46,12 @@ def assembled(df: DataFrame, features: list[str], scale: bool = False) -> DataFr
     return out
 
 
+def from_array(df: DataFrame, values: str) -> DataFrame:
+    """features: the whole array, each place standardised over the table; its width is what the rows have."""
+    out = df.withColumn("_raw", array_to_vector(F.col(values).cast("array<double>")))
+    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(out).transform(out).drop("_raw", values)
+
+
 def scored(model, df: DataFrame, keep: list[str]) -> DataFrame:
     """keep and p: the positive class's probability, or the prediction of a regressor."""
     out = model.transform(df)

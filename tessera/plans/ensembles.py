@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster as K
 from tessera.operators import ensemble as E
 from tessera.operators import metrics as M
+from tessera.operators import models as L
 from tessera.plans.base import MULTI_SQL, PRED_SQL, REG_SQL, multiclass, predictions, query, regression, rounded, table
 
 _LONGP = f"WITH {PRED_SQL}, long AS (SELECT row_id, 'a' AS model, p FROM pred UNION ALL SELECT row_id, 'b', q FROM pred UNION ALL SELECT row_id, 'c', 1 - p * q FROM pred)"
@@ -205,3 +206,10 @@ def _(spark, d):
     p = table(spark, d, "embeddings").select("vec_id", (e[0] + 0.5 * e[1] - 0.25 * e[2]).alias("s"))
     edges = p.agg(F.percentile("s", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))  # one row
     return rounded(p.crossJoin(F.broadcast(edges)).select("vec_id", F.size(F.filter("q", lambda x: F.col("s") > x)).alias("label")))
+
+
+@query("clu4_principal_bins")
+def _(spark, d):
+    """Quartiles of the first principal direction of the whole standardised embedding; SQL covers the fixed direction of clu4_projection_bins."""
+    features = L.from_array(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
+    return K.projection_bins(features, "vec_id", 4).select("vec_id", "label")

@@ -100,9 +100,8 @@ def _(spark, d):
     return L.distill_regression(teacher, MR.DecisionTreeRegressor(maxDepth=4, featuresCol="features", labelCol="y", seed=42), fit, test, "row_id")
 
 
-def _vectors(spark, d, n=8):
-    e = table(spark, d, "embeddings")
-    return L.assembled(e.select("vec_id", F.col("label").alias("truth"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)]), [f"x{i}" for i in range(n)], scale=True)
+def _vectors(spark, d):
+    return L.from_array(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("truth"), "embedding"), "embedding")
 
 
 @query("clu1_clusterers")
@@ -121,7 +120,8 @@ def _(spark, d):
     """A small network that learns the cluster labels, and how often it agrees."""
     v = _vectors(spark, d)
     labelled = L.clusterers(4, 42)["kmeans"].fit(v).transform(v).persist()
-    student = MC.MultilayerPerceptronClassifier(layers=[8, 16, 4], seed=42, maxIter=60, featuresCol="features", labelCol="label", predictionCol="student").fit(labelled)
+    width = labelled.first()["features"].size
+    student = MC.MultilayerPerceptronClassifier(layers=[width, 16, 4], seed=42, maxIter=60, featuresCol="features", labelCol="label", predictionCol="student").fit(labelled)
     out = student.transform(labelled)
     return out.agg(F.avg((F.col("label") == F.col("student")).cast("double")).alias("agreement"), F.count("*").alias("n"))
 
