@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
@@ -131,23 +131,23 @@ def attach(rows: DataFrame, values: DataFrame, key: list[str], size: str, per_ta
     return salted.join(spread, [*key, "salt"]).drop("salt")
 
 
-def possible_members(ids: DataFrame, name: str, bits: int = 25) -> Column:
-    """A condition on column `name` that holds for every id of ids(id), and for few others: hashed ids in a bitmap of 2^bits.
+def possible_members(ids: DataFrame, spots: int = 33_554_393):
+    """A function of an array of ids that is true for every id of ids(id), and for few others while the map has room.
 
-    The bitmap has a fixed size, whatever the number of ids, so it may be broadcast; it spares a later join most rows.
+    The map has `spots` bits (a prime), whatever the number of ids, so it may be broadcast; it spares a later join most
+    rows, and once it is full it spares none.
     """
     spark = ids.sparkSession
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    rows = ids.select(F.bitmap_bucket_number(spot("id") + 1).alias("bucket"), F.bitmap_bit_position(spot("id") + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    whole = np.zeros(1 << (bits - 3), np.uint8)
+    spot = F.pmod(F.col("id"), F.lit(spots).cast("long")) + 1
+    rows = ids.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    whole = np.zeros((spots // 32768 + 1) * 4096, np.uint8)
     for bucket, part in rows.collect():  # 4 KB for each 32768 bits
         low = (bucket - 1) * 4096
         whole[low : low + 4096] = np.frombuffer(part, np.uint8)
     held = spark.sparkContext.broadcast(whole)
 
-    @F.arrow_udf("boolean")
-    def inside(spots: pa.Array) -> pa.Array:
-        at = spots.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+    def inside(values: np.ndarray) -> np.ndarray:
+        at = np.mod(values.astype(np.int64), spots)
+        return (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    return inside(spot(name))
+    return inside

@@ -1,9 +1,8 @@
 """Set similarity join of documents on word shingles (Jaccard), by segments of a partitioned universe.
 
-Two sets that link differ in at most H elements, H from their sizes. If tokens are hashed into segments and every
-segment of a set is looked at, H differences can't touch them all: a segment that is checked for equality takes one
-difference to miss, one that is checked with its one-deletion neighbourhood takes two. So segments whose units sum to
-H + 1 find every pair. Sizes are cut into bands so wide that a set's partners are in its own band or the next.
+Signatures (`segments`) say which sets may link. Of the sets that share one, each is first compared with one of them;
+what those links join needs no more comparing. Sets that share a signature and are still apart meet in blocks, where
+bit maps rule most pairs out; the rest are compared whole. Texts go only to comparisons, one for each.
 """
 
 from __future__ import annotations
@@ -13,280 +12,260 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, possible_members, table, text_slices, written
-from tessera.llm.words import Scanner, mix, shingles
+from tessera.llm.common import components, possible_members, table, written
+from tessera.llm.segments import COUNTERS, Bands, Costs, allocation, folded, parity_bits, sets_of, signatures
+from tessera.llm.words import mix
 
-_M = np.uint64(0x9FB21C651E98DF25)
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
-class Bands:
-    """Size bands for 100 * intersection >= percent * union, and for each the most differences of a linked pair in it."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.edges = np.array([1, 2], np.int64)
+def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, h, n_shingles and a 128-bit fingerprint of the set (k1, k2) of every row; and, with `sums`, the costs of segments.
 
-    def _reach(self, size: int, bands: int = 0) -> None:
-        while self.edges[-1] <= size or len(self.edges) < bands:
-            last = int(self.edges[-1])
-            self.edges = np.append(self.edges, max(last + 1, -(-100 * last // self.percent)))
+    docs has doc_id, h and text. Rows with sums are (band, unit, group, sums) in k1, k2, n_shingles and sums: every
+    task's sketch over its sets, equal ones once.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sums", pa.list_(pa.int64()))])
 
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        self._reach(int(sizes.max(initial=1)))
-        return np.searchsorted(self.edges, sizes, "right") - 1
+    def run(batches):
+        costs, seen = Costs(percent), set()
+        for batch, low, high, owner, values, sizes in sets_of(batches, width):
+            keys = []
+            for salt in (np.uint64(0), _OTHER):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ salt), dtype=np.uint64)])
+                end = np.cumsum(sizes)
+                keys.append(total[end] - total[end - sizes])
+            part = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes, pa.int64()), *(pa.array(k.view(np.int64)) for k in keys), pa.nulls(high - low, schema.field("sums").type)], schema=schema)
+            fresh = np.array([k not in seen for k in keys[0].tolist()])
+            seen.update(keys[0].tolist())
+            inside = fresh[owner]
+            costs.add(owner[inside], values[inside], np.where(fresh, sizes, 0))
+        rows = list(costs.rows())
+        if rows:
+            band, unit, group, sums = zip(*rows, strict=True)
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(group, pa.int64()), pa.array(band, pa.int64()), pa.array(unit, pa.int64()), pa.array(sums, schema.field("sums").type)], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, h long, n_shingles long, k1 long, k2 long, sums array<bigint>")
+
+
+def measured(described: DataFrame) -> list[tuple[int, int, int, list[int]]]:
+    """(band, unit, group, sums) over all tasks: at most 128 rows a band, and bands grow with the logarithm of the largest set."""
+    sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(COUNTERS + 1)]
+    return [(r[0], r[1], r[2], list(r[3:])) for r in described.where("sums is not null").groupBy("k1", "k2", "n_shingles").agg(*sums).collect()]
+
+
+def signature_rows(reps: DataFrame, width: int, percent: int, units: dict[int, np.ndarray], shared: DataFrame | None = None) -> DataFrame:
+    """signature of every set's segments; with `shared`, signature, vertex, next, spare and optional of those that are probably in it."""
+    lean = shared is None
+    held = reps.sparkSession.sparkContext.broadcast(units)
+    inside = None if lean else possible_members(shared.select(F.col("signature").alias("id")), spots=268_435_399)
 
-    def differences(self, band: int) -> int:
-        """D <= (100 - p) U / 100 with U = (S + D) / 2 gives D <= S (100 - p) / (100 + p), S at most twice the band's largest size."""
-        self._reach(1, band + 2)
-        most = int(self.edges[band + 1]) - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent)
+    def run(batches):
+        bands = Bands(percent)
+        for batch, low, high, owner, values, sizes in sets_of(batches, width):
+            vertex = None if lean else batch.column("vertex").to_numpy()[low:high]
+            for next in (0, 1):
+                of, found, optional, spare, _ = signatures(bands, held.value, owner, values, sizes, next)
+                if lean:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["signature"])
+                    continue
+                some = inside(found.view(np.int64))
+                of, found, optional = of[some], found[some], optional[some]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(vertex[of]), pa.array(np.full(len(of), next), pa.int32()), pa.array(spare[of], pa.int32()), pa.array(optional)], ["signature", "vertex", "next", "spare", "optional"])
 
+    return reps.mapInArrow(run, "signature long" if lean else "signature long, vertex long, next int, spare int, optional boolean")
 
-def _signatures(values: np.ndarray, band: int, differences: int, deletions: bool, spare: int = 2, probe: bool = False) -> np.ndarray:
-    """A set's signatures in a band's join: of its segments, and with `deletions` of each segment less one element.
 
-    Random hashing leaves a few segments empty in many sets. `spare` further segments let every set leave out so many
-    empty ones; a set with more gives all of its empty ones too, so that two such sets still meet.
-    """
-    units = differences + 1
-    n = (units + 1) // 2 + spare if deletions else units + spare
-    segment = ((values >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-    if probe:
-        values, segment = values[segment == 0], segment[segment == 0]
-    order = np.argsort(segment, kind="stable")
-    segment, part = segment[order], mix(values[order] ^ np.uint64((band * 2 + deletions + 1) * int(_M) & (1 << 64) - 1))
-    begin = np.flatnonzero(np.diff(segment, prepend=-1))
-    names = segment[begin]
-    sums = np.add.reduceat(part, begin) if len(begin) else np.zeros(0, np.uint64)
-    salt = lambda s: mix(s.astype(np.uint64) * _M + np.uint64((band << 32) + deletions))
-    out = [mix(sums + salt(names))]
-    if deletions and len(part):
-        sizes = np.diff(np.append(begin, len(part)))
-        out.append(mix(np.repeat(sums, sizes) - part + np.repeat(salt(names), sizes)))
-    if not probe and n - len(names) > spare:
-        out.append(mix(salt(np.setdiff1d(np.arange(n), names))))
-    elif deletions and not probe and n - len(names):
-        out.append(mix(salt(np.setdiff1d(np.arange(n), names))))  # a segment of one element less one is empty
-    return np.unique(np.concatenate(out))
-
-
-def _sets(batches, width: int):
-    """(batch, row, sorted distinct shingles) of each text."""
-    scanner = Scanner("space")
-    for batch in batches:
-        for low, _, data, offsets in text_slices(batch, "text"):
-            _, _, prints, first = scanner.scan(data, offsets)
-            values, begin = shingles(prints, first, width)
-            for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                yield batch, low + i, np.unique(values[a:b])
-
-
-def _batched(rows, schema: pa.Schema, most: int = 2000):
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+def kept_signatures(reps: DataFrame, width: int, percent: int, units: dict[int, np.ndarray]) -> DataFrame:
+    """signature, vertex: the shared signatures of each set but the most shared ones that it may leave out."""
+    shared = written(signature_rows(reps, width, percent, units).groupBy("signature").agg(F.count("*").alias("n")).where("n > 1"), "shared-signatures")
+    near = signature_rows(reps, width, percent, units, shared).join(shared, "signature")
+    order = Window.partitionBy("vertex", "next").orderBy(F.desc("optional"), F.desc("n"), "signature")
+    near = near.withColumn("rank", F.row_number().over(order)).where("not optional or rank > spare")
+    return written(near.select("signature", "vertex"), "kept-signatures")
 
 
-def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (k1, k2), its band, and the probes that costs are measured by."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("band", pa.int32()), ("probes", pa.list_(pa.struct([("band", pa.int32()), ("deletions", pa.bool_()), ("signature", pa.int64())])))])
+def set_bits(reps: DataFrame, width: int) -> DataFrame:
+    """vertex, size and bits (parities of hashed elements) of each set."""
 
     def run(batches):
-        bands = Bands(percent)
+        for batch, low, high, owner, values, sizes in sets_of(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column("vertex")[low:high], pa.array(sizes, pa.int64()), pa.array(parity_bits(owner, values, sizes), pa.binary())], ["vertex", "size", "bits"])
 
-        def rows():
-            for batch, i, values in _sets(batches, width):
-                n = len(values)
-                keys = [int(x) for x in np.array([mix(values).sum(dtype=np.uint64), mix(values ^ _M).sum(dtype=np.uint64)], np.uint64).view(np.int64)] if n else [0, 0]
-                band = int(bands.of(np.array([n]))[0]) if n else -1
-                probes = []
-                for b in (band, band + 1) if n else ():
-                    if most := bands.differences(b):
-                        for deletions in (False, True):
-                            probes += [(b, deletions, s) for s in _signatures(values, b, most, deletions, probe=True).view(np.int64).tolist()]
-                yield batch.column("doc_id")[i].as_py(), n, *keys, band, [dict(zip(("band", "deletions", "signature"), p, strict=True)) for p in probes]
+    return reps.mapInArrow(run, "vertex long, size long, bits binary")
 
-        yield from _batched(rows(), schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, band int, probes array<struct<band:int,deletions:boolean,signature:bigint>>")
+def only(rows: DataFrame, ids: DataFrame, key: str = "vertex") -> DataFrame:
+    """Rows whose key is in ids(id), and a few others that a later join drops: most of the others need no shuffle."""
+    inside = possible_members(ids)
 
+    @F.arrow_udf("boolean")
+    def probably(values: pa.Array) -> pa.Array:
+        return pa.array(inside(values.to_numpy(zero_copy_only=False)))
 
-def allocation(sets: DataFrame, percent: int) -> list[int]:
-    """Bands whose differences are cheaper to cover by one-deletion neighbourhoods, two units a segment, than by equality.
+    return rows.where(probably(F.col(key)))
 
-    The cost of a segment is its signatures plus the pairs that share one, counted over all sets on one segment a band
-    (hashing makes segments alike); a band has units times the one, or half as many times the other.
-    """
-    probes = sets.select(F.explode("probes").alias("p")).select("p.*")
-    cost = probes.groupBy("band", "deletions", "signature").agg(F.count("*").alias("n")).groupBy("band", "deletions").agg(F.sum(F.col("n") + F.col("n") * (F.col("n") - 1) / 2.0).alias("cost"))
-    by = {(r[0], r[1]): r[2] for r in cost.collect()}  # two rows a band; bands grow with the logarithm of the largest set
-    bands = Bands(percent)
-    out = []
-    for band in sorted({b for b, _ in by}):
-        units = bands.differences(band) + 1
-        if by.get((band, True), 0) * ((units + 1) // 2) < by.get((band, False), 0) * units:
-            out.append(band)
-    return out
-
-
-def signatures(docs: DataFrame, width: int, percent: int, by_deletion: list[int]) -> DataFrame:
-    """doc_id and the signatures of its set in its own band's join and in the next's."""
-    schema = pa.schema([("doc_id", pa.int64()), ("signatures", pa.list_(pa.int64()))])
-    chosen = set(by_deletion)
 
-    def run(batches):
-        bands = Bands(percent)
+def _differences(size: np.ndarray, other: np.ndarray | int, percent: int) -> np.ndarray:
+    return (size + other) * (100 - percent) // (100 + percent)
 
-        def rows():
-            for batch, i, values in _sets(batches, width):
-                if not len(values):
-                    continue
-                band = int(bands.of(np.array([len(values)]))[0])
-                found = [_signatures(values, b, most, b in chosen) for b in (band, band + 1) if (most := bands.differences(b))]
-                if found:
-                    yield batch.column("doc_id")[i].as_py(), np.concatenate(found).view(np.int64)
-
-        yield from _batched(rows(), schema, 500)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, signatures array<bigint>")
-
-
-class _Block:
-    """Sets of one block and the signatures by which they may meet; finds links that join its components."""
-
-    def __init__(self, ids, side, sets, signatures, percent):
-        self.ids, self.label, self.percent = ids, np.arange(len(ids)), percent
-        self.size = np.array([len(x) for x in sets])
-        self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        values, self.local = np.unique(np.concatenate(sets), return_inverse=True)
-        self.flag = np.zeros(len(values), bool)
-        self.may = np.zeros((len(ids), len(ids)), bool)
-        owner = np.repeat(np.arange(len(ids)), [len(x) for x in signatures])
-        every = np.concatenate(signatures)
-        order = np.argsort(every, kind="stable")
-        for part in np.split(owner[order], np.flatnonzero(np.diff(every[order])) + 1):
-            if len(part) > 1:
-                self.may[np.ix_(part, part)] = True
-        if side.any():
-            self.may &= side[:, None] != side[None, :]
-
-    def links(self) -> list[tuple[int, int]]:
-        """One link for each pair of components that a link joins; sets in one component are not compared."""
-        out = []
-        for i in range(len(self.ids) - 1):
-            js = i + 1 + np.flatnonzero(self.may[i, i + 1 :])
-            low, high = np.minimum(self.size[js], self.size[i]), np.maximum(self.size[js], self.size[i])
-            js = js[(self.label[js] != self.label[i]) & (100 * low >= self.percent * high)]
-            if not len(js):
-                continue
-            mine = self.local[self.begin[i] : self.begin[i + 1]]
-            self.flag[mine] = True
-            theirs = np.concatenate([self.local[self.begin[j] : self.begin[j + 1]] for j in js.tolist()])
-            same = np.add.reduceat(self.flag[theirs].astype(np.int64), np.concatenate([[0], np.cumsum(self.size[js])[:-1]]))
-            self.flag[mine] = False
-            for j in js[100 * same >= self.percent * (self.size[js] + self.size[i] - same)].tolist():
-                if self.label[j] != self.label[i]:
-                    out.append((int(self.ids[i]), int(self.ids[j])))
-                    self.label[self.label == self.label[j]] = self.label[i]
-        return out
-
-
-def compared(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 1024) -> DataFrame:
-    """Links (a, b) between documents of a group, as many as join its components.
-
-    members: key, doc_id, signatures. A group is dealt into chunks of about `block` documents, and every two chunks
-    meet in a task, where documents that share a signature are compared by their sets, unless links found before in
-    the task join them already.
-    """
-    named = written(members, "members")
-    sizes = named.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    dealt = named.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).join(texts, "doc_id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "signatures", "text")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def groups(batches):
-        scanner = Scanner("space")
-        held, last = [], None
+
+def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) but those whose sizes or bit maps differ too much for a link."""
+    sides = {x: bits.select(F.col("vertex").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"}
+    met = pairs.join(sides["a"], "a").join(sides["b"], "b").where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+
+    def run(batches):
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
-            sets = []
-            for _, _, data, offsets in text_slices(batch, "text"):
-                _, _, prints, first = scanner.scan(data, offsets)
-                values, begin = shingles(prints, first, width)
-                sets += [np.unique(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            at = np.asarray(batch.column("signatures").offsets)
-            flat = batch.column("signatures").values.to_numpy()
-            rows = zip(keys, batch.column("doc_id").to_pylist(), batch.column("side").to_pylist(), sets, strict=True)
-            for n, (key, *row) in enumerate(rows):
-                if key != last and held:
-                    yield held
-                    held = []
-                last = key
-                held.append((*row, flat[at[n] : at[n + 1]]))
-        if held:
-            yield held
+            most = _differences(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)
+            far = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(far, np.int64) <= most))
+
+    return met.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int, most: int = 256) -> DataFrame:
+    """The pairs (a, b) that link. Each `most` partners of an a are a group of their own, to which a's text goes once."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    texts = written(only(reps, ids), "compared-texts")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("groups"))
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.col("b").alias("vertex"), F.lit(True).alias("member"))
+    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("a").alias("vertex"), F.lit(False).alias("member"))
+    rows = members.union(heads).join(texts, "vertex").repartition("a", "part").sortWithinPartitions("a", "part", "member")
 
     def run(batches):
-        def rows():
-            for held in groups(batches):
-                if len(held) > 1:
-                    ids, side, sets, signatures = zip(*held, strict=True)
-                    yield from _Block(np.array(ids), np.array(side), sets, signatures, percent).links()
+        key, head = None, np.zeros(0, np.uint64)
+        for batch, low, high, owner, values, sizes in sets_of(batches, width):
+            end = np.cumsum(sizes)
+            rows = batch.slice(low, high - low).select(["a", "part", "vertex", "member"]).to_pydict()
+            found = []
+            for i, (a, part, vertex, member) in enumerate(zip(*rows.values(), strict=True)):
+                mine = values[end[i] - sizes[i] : end[i]]
+                if not member:
+                    key, head = (a, part), mine
+                    continue
+                assert key == (a, part)
+                at = np.minimum(np.searchsorted(head, mine), len(head) - 1)
+                same = int((head[at] == mine).sum()) if len(head) else 0
+                if 100 * same >= percent * (len(mine) + len(head) - same):
+                    found.append((a, vertex))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-        yield from _batched(rows(), schema)
+    return written(rows.select("a", "part", "vertex", "member", "text").mapInArrow(run, "a long, b long"), "links")
 
-    return dealt.mapInArrow(run, "a long, b long")
 
+def apart(rows: DataFrame) -> DataFrame:
+    """rows (signature, vertex, label) of the signatures whose sets have several labels, with the number of sets."""
+    mixed = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    return rows.join(mixed.select("signature", "n"), "signature")
 
-def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, largest: int = 100_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every document.
 
-    Equal sets are one class, of which only the smallest doc_id is joined. Documents that shared signatures connect
-    form a group; inside it all that share a signature are compared, in blocks and without writing pairs down. Of a
-    group above `largest` documents each signature is a group of its own. So no link between components is lost. Null
-    and empty texts have no shingles and link with nothing; equal rows with one doc_id are one class; a null doc_id has
-    a null component. An empty table gives no rows.
+def block_pairs(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """a, b, label_a, label_b: sets that share a signature, have two labels, and whose bit maps allow a link.
+
+    rows: signature, n (its sets), vertex, label, size, bits. A signature's sets are dealt into chunks of about `block`,
+    and every two chunks meet in a task, whatever the number of sets.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = written(describe(docs, width, percent), "sets")
+    chunks = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("signature", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("side"), "vertex", "label", "size", "bits")
+    dealt = dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label_a", pa.int64()), ("label_b", pa.int64())])
+
+    def compare(held):
+        side, vertex, label, size, bits = zip(*held, strict=True)
+        side, vertex, label, size, words = np.array(side), np.array(vertex), np.array(label), np.array(size), folded(list(bits))
+        crossing = bool(side.any())
+        for x in range(len(held) - 1):
+            if crossing and side[x]:
+                continue
+            y = np.flatnonzero(side) if crossing else np.arange(x + 1, len(held))
+            y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            if len(y):
+                far = np.bitwise_count(words[y] ^ words[x]).sum(axis=1)
+                for z in y[far <= _differences(size[y], size[x], percent)].tolist():
+                    p, q = (x, z) if vertex[x] < vertex[z] else (z, x)
+                    yield vertex[p], vertex[q], label[p], label[q]
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            columns = batch.to_pydict()
+            for signature, i, j, *row in zip(*columns.values(), strict=True):
+                if (signature, i, j) != last:
+                    if len(held) > 1 and (found := list(compare(held))):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+                    held, last = [], (signature, i, j)
+                held.append(row)
+        if len(held) > 1 and (found := list(compare(held))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(run, "a long, b long, label_a long, label_b long")
+
+
+def labelled(rows: DataFrame, links: DataFrame, vertices: list[str]) -> DataFrame:
+    """rows with a label for each named vertex column: the component of `links` that it is in, or itself."""
+    parts = written(components(links), "labels")
+    for name in vertices:
+        label = "label" if name == "vertex" else f"label_{name}"
+        rows = rows.drop(label).join(parts.select(F.col("vertex").alias(name), F.col("component").alias(label)), name, "left").withColumn(label, F.coalesce(label, name))
+    return rows
+
+
+def find_links(reps: DataFrame, width: int, percent: int, units: dict[int, np.ndarray]) -> DataFrame:
+    """Links (a, b) between sets, as many as join their components. reps: vertex, text; no two sets are equal."""
+    kept = kept_signatures(reps, width, percent, units)
+    bits = written(set_bits(only(reps, kept.select(F.col("vertex").alias("id"))), width), "bits")
+
+    heads = kept.groupBy("signature").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a < b").select("signature", "a")
+    first = kept.join(heads, "signature").select("a", F.col("vertex").alias("b")).where("a < b").distinct()
+    links = verified(plausible(first, bits, percent), reps, width, percent)
+
+    rest = apart(labelled(kept, links, ["vertex"]).select("signature", "vertex", "label"))
+    pairs = written(block_pairs(rest.join(bits, "vertex"), percent).distinct(), "apart-pairs")
+    if not pairs.limit(1).count():
+        return links
+    # one pair for each two components first: most others are then joined
+    nearest = pairs.groupBy("label_a", "label_b").agg(F.min(F.struct("a", "b")).alias("first")).select("first.*")
+    links = links.union(verified(nearest, reps, width, percent))
+    left = labelled(pairs, links, ["a", "b"]).where("label_a <> label_b").select("a", "b")
+    return links.union(verified(left.join(nearest, ["a", "b"], "left_anti"), reps, width, percent))
+
+
+def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every row.
+
+    Equal sets are one class, of which one text is joined; rows with one doc_id and different texts are different
+    documents, and equal rows are one class. Null and empty texts have no shingles and link with nothing: their
+    component is their own doc_id. A row with a null doc_id links with nothing and has a null component. A very long
+    text is one row like any other. Other columns are ignored. An empty table gives no rows.
+    """
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    described = written(describe(docs, width, percent), "sets")
+    sets = described.where("sums is null").drop("sums")
     some = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"))
-    classes = written(classes, "classes")
-    single = classes.select(F.col("class").alias("doc_id"))
-    by_deletion = allocation(sets, percent)
-
-    found = signatures(docs, width, percent, by_deletion).join(single, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = found.select("doc_id", F.explode("signatures").alias("signature"))
-    order = Window.partitionBy("signature").orderBy("doc_id")
-    near = rows.withColumn("before", F.lag("doc_id").over(order)).withColumn("after", F.lead("doc_id").over(order)).where("before is not null or after is not null")
-    near = written(near.select("signature", "doc_id", "before"), "shared-signatures")
-    group = components(near.select(F.col("before").alias("a"), F.col("doc_id").alias("b"))).select(F.col("vertex").alias("doc_id"), F.col("component").alias("key"))
-    sizes = group.groupBy("key").agg(F.count("*").alias("size"))
-    large = group.join(sizes.where(F.col("size") > largest), "key", "left_semi").withColumn("large", F.lit(True))
-    shared = near.select("signature", "doc_id")
-    members = shared.groupBy("doc_id").agg(F.collect_list("signature").alias("signatures")).join(group, "doc_id").join(large.select("doc_id"), "doc_id", "left_anti").select("key", "doc_id", "signatures")
-    members = members.union(shared.join(large.select("doc_id"), "doc_id", "left_semi").select(F.col("signature").alias("key"), "doc_id", F.array("signature").alias("signatures")))
-    # the texts of documents that share a signature, and a few others that the join drops
-    texts = written(docs.where(possible_members(group.select(F.col("doc_id").alias("id")), "doc_id")), "candidate-texts")
-    links = written(compared(members, texts, width, percent), "links")
-
-    joined = components(links).select(F.col("vertex").alias("class"), "component")
-    return _with_classes(sets, classes, joined)
-
-
-def _with_classes(sets: DataFrame, classes: DataFrame, joined: DataFrame, per_task: int = 20_000) -> DataFrame:
+    classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n"))
+    classes = written(classes.select("k1", "k2", "n_shingles", "n", "first.*", F.monotonically_increasing_id().alias("vertex")), "classes")
+    units = allocation(measured(described), percent)
+    reps = docs.join(classes.select("doc_id", "h", "vertex"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("vertex", "text")
+    links = find_links(written(reps, "class-texts"), width, percent, units)
+
+    joined = components(links).withColumnRenamed("component", "root")
+    named = classes.join(joined, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
+    return _with_classes(sets, named.join(lowest, "root").select("k1", "k2", "n_shingles", "n", "component"))
+
+
+def _with_classes(sets: DataFrame, named: DataFrame, per_task: int = 20_000) -> DataFrame:
     """Each document with its class's component; a class of very many documents is dealt over salts."""
     salts = F.ceil(F.col("n") / per_task).cast("int")
-    named = classes.join(joined, "class", "left").select("k1", "k2", "n_shingles", "n", F.coalesce("component", "class").alias("component"))
     hot = named.where(F.col("n") > per_task).select("k1", "k2", "n_shingles", salts.alias("salts"))
-    dealt = sets.select("doc_id", "n_shingles", "k1", "k2").join(hot, ["k1", "k2", "n_shingles"], "left")
+    dealt = sets.join(hot, ["k1", "k2", "n_shingles"], "left")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("n")
     out = dealt.join(spread, ["k1", "k2", "n_shingles", "salt"], "left")

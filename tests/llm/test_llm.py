@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, jaccard, lattice, near_vectors, packing, resampling, secrets, token_counts, token_files, urls
+from tessera.llm import decontaminate, jaccard, lattice, near_vectors, packing, resampling, secrets, segments, token_counts, token_files, urls
 from tessera.llm.common import components
 from tessera.llm.encode import Encoder, vocabulary
 from tessera.llm.queries import QUERIES
@@ -80,20 +80,101 @@ def test_jaccard_classes(spark, docs, odd, width, percent):
     assert jaccard.similarity_classes(all_docs.limit(0), width, percent).count() == 0
 
 
-def test_one_deletion_neighbourhoods_find_all_pairs():
+def test_signatures_find_all_pairs_under_any_allocation():
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        a = rng.integers(0, 2**63, rng.integers(10, 60)).astype(np.uint64)
-        bands = jaccard.Bands(80)
-        b = np.concatenate([a[int(len(a) * 0.05) :], rng.integers(0, 2**63, int(len(a) * 0.05)).astype(np.uint64)])
+    bands = segments.Bands(80)
+    tried = 0
+    for round_ in range(400):
+        a = rng.integers(0, 2**63, rng.integers(10, 160)).astype(np.uint64)
+        cut = max(1, int(len(a) * rng.uniform(0, 0.12)))
+        b = np.concatenate([a[cut:], rng.integers(0, 2**63, rng.integers(0, cut + 1)).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
         same = len(np.intersect1d(a, b))
         if 100 * same < 80 * (len(a) + len(b) - same):
             continue
-        band = int(max(bands.of(np.array([len(a), len(b)]))))
-        for deletions in (False, True):
-            sides = [jaccard._signatures(x, band, bands.differences(band), deletions) for x in (a, b)]
-            assert bands.differences(band) == 0 and same == len(a) or len(np.intersect1d(*sides))
+        sizes = np.array([len(a), len(b)])
+        band = bands.of(sizes)
+        assert len(a) + len(b) - 2 * same <= bands.differences()[band.max()]
+        # random costs make units of 0, 1 and 2; random popularity decides what each set leaves out
+        units = {}
+        for x in range(int(band.max()) + 2):
+            units[x] = segments.allocate(bands, x, rng.uniform(1, 3, (2, segments.GROUPS)) ** 4)
+            many = np.bincount(segments.groups_of(np.arange(bands.segments()[x])), minlength=segments.GROUPS)
+            assert (many * units[x]).sum() >= bands.segments()[x]
+        found = [set(), set()]
+        for next in (0, 1):
+            owner, values = np.repeat([0, 1], sizes), np.concatenate([a, b])
+            of, signature, optional, spare, joins = segments.signatures(bands, units, owner, values, sizes, next)
+            for o in (0, 1):
+                mine, choice = signature[of == o], optional[of == o]
+                free = sorted(mine[choice].tolist(), key=lambda x: hash((x, round_)))  # most shared first
+                found[o] |= set(mine[~choice].tolist()) | set(free[spare[o] :])
+        tried += 1
+        assert found[0] & found[1]
+    assert tried > 200
+    assert {0, 1, 2} == set(units[int(band.max())].tolist()) | {0, 1, 2}
+
+
+def test_costs_see_hot_segments_and_allocation_avoids_them():
+    rng = np.random.default_rng(5)
+    costs, hot = segments.Costs(80), rng.integers(0, 2**63, 1).astype(np.uint64)
+    rows = [np.unique(np.concatenate([hot, rng.integers(0, 2**63, 99).astype(np.uint64)])) for _ in range(2000)]
+    rows = [r[(r >> np.uint64(20)) % np.uint64(29) != (hot[0] >> np.uint64(20)) % np.uint64(29)] for r in rows]  # the hot one's segment holds nothing else
+    rows = [np.unique(np.append(r, hot)) for r in rows]
+    sizes = np.array([len(r) for r in rows])
+    costs.add(np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows), sizes)
+    band = int(np.bincount(costs.bands.of(sizes)).argmax())
+    n = int(costs.bands.segments()[band])
+    units = segments.allocation(costs.rows(), 80)[band]
+    many = np.bincount(segments.groups_of(np.arange(n)), minlength=segments.GROUPS)
+    assert (units * many).sum() >= n
+    if n == 29:
+        assert units[int((hot[0] >> np.uint64(20)) % np.uint64(29))] == 0
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 60, 700, 50_000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 3).astype(np.uint64)]))
+        sizes = np.array([len(a), len(b)])
+        words = segments.folded(segments.parity_bits(np.repeat([0, 1], sizes), np.concatenate([a, b]), sizes))
+        assert np.bitwise_count(words[0] ^ words[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_repeated_ids_with_other_texts_lose_no_link(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = {"A": base, "B": [f"v{i}" for i in range(60)]}
+    near = lambda k: " ".join([*texts[k][:-1], "x"])
+    rows = [(1, " ".join(texts["A"])), (1, " ".join(texts["B"])), (2, near("A")), (3, near("B")), (5, " ".join(texts["A"])), (5, "other words"), (None, " ".join(texts["A"])), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("vertex", F.lit("clash")).withColumn("h", F.lit("clash"))
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.similarity_classes(df, 5, 80).collect())
+    assert got == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (5, 1): 1, (5, 5): 1, (None, None): 1, (7, 7): 1})
+
+
+def test_blocks_and_groups_lose_no_link(spark, monkeypatch):
+    """Hot signatures over many blocks, chains that no head reaches, and groups of more partners than one holds."""
+    rng = np.random.default_rng(11)
+    shared = [f"line{i}" for i in range(30)]
+    rows = []
+    for k in range(40):  # chains: every text differs from the one before in a few words, the ends by far
+        words = shared + [f"c{k}w{i}" for i in range(70)]
+        for step in range(8):
+            rows.append((len(rows), " ".join(words)))
+            at = 30 + (9 * step) % 60
+            words = [*words[:at], f"c{k}s{step}a", f"c{k}s{step}b", *words[at + 2 :]]
+    for k in range(150):
+        rows.append((len(rows), " ".join(shared + [f"r{rng.integers(1 << 40)}" for _ in range(rng.integers(3, 40))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, roots = brute_classes(dict(rows), 5, 80)
+    small_block, small_group = jaccard.block_pairs, jaccard.verified
+    monkeypatch.setattr(jaccard, "block_pairs", lambda rows, percent: small_block(rows, percent, block=7))
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, reps, width, percent: small_group(pairs, reps, width, percent, most=2))
+    # a signature that all sets share on top, so that every two meet in blocks
+    kept = jaccard.kept_signatures
+    monkeypatch.setattr(jaccard, "kept_signatures", lambda reps, *how: kept(reps, *how).union(reps.select(F.lit(1).cast("long"), "vertex")))
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_classes(df, 5, 80).collect()}
+    assert got == roots and len(set(roots.values())) < len(rows)
 
 
 def test_near_vectors(spark):
