@@ -21,6 +21,9 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """ids(texts): for each text its ids as little-endian uint32 bytes, equal to the library's encode(text, add_special_tokens=False).
 
+    A special token's string in a text is its id, as the library has it, or with `ordinary` text like any other, so that
+    no text's ids hold a special one. Null is empty.
+
     Neither tokenizer's pre-tokens cross the chunks used here: byte-level BPE takes at most the last of a run of
     white space to the word after it, BPE with word ends drops white space, and both end a run of letters or digits
     at a following mark. So a text's ids are those of its chunks in order, and those of chunks seen before come from
@@ -28,12 +31,15 @@ class Encoder:
     whose id shows where each begins; those that hold the separator go alone.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, ordinary: bool = False, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # texts are split at special strings before
+        special = {} if ordinary else {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = special
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         spaced = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
         marks = ".,!?;:|"
         word = f" ?[^{WHITE}{marks}]*[A-Za-z0-9](?=[{marks}])| ?[^{WHITE}]+"
@@ -56,8 +62,19 @@ class Encoder:
                 self.young[chunk] = held[low:high]
                 low = high + 4
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(x or "") for x in texts]
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        texts = [x or "" for x in texts]
+        split = {i: self.apart.split(x) for i, x in enumerate(texts) if any(t in x for t in self.special)}
+        if not split:
+            return self._plain(texts)
+        pieces = [p for i, x in enumerate(texts) for p in split.get(i, [x])[::2]]
+        found, out = iter(self._plain(pieces)), []
+        for i, x in enumerate(texts):
+            out.append(b"".join(next(found) if k % 2 == 0 else self.special[p] for k, p in enumerate(split.get(i, [x]))))
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        parts = [self.chunks(x) for x in texts]
         missing = set().union(*parts).difference(self.young)
         if self.old:
             held = missing.intersection(self.old)
@@ -71,11 +88,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One for each Python worker, which Spark keeps between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = Encoder(path, ordinary)
+    return _encoders[path, ordinary]

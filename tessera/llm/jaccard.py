@@ -60,7 +60,7 @@ def signature_rows(reps: DataFrame, width: int, percent: int, units: dict[int, n
     """signature of every set's segments; with `shared`, signature, vertex, next, spare and optional of those that are probably in it."""
     lean = shared is None
     held = reps.sparkSession.sparkContext.broadcast(units)
-    inside = None if lean else possible_members(shared.select(F.col("signature").alias("id")), spots=268_435_399)
+    inside = None if lean else possible_members(shared.select(F.col("signature").alias("id")), spots=134_217_689)
 
     def run(batches):
         bands = Bands(percent)
@@ -87,25 +87,26 @@ def kept_signatures(reps: DataFrame, width: int, percent: int, units: dict[int,
     return written(near.select("signature", "vertex"), "kept-signatures")
 
 
-def set_bits(reps: DataFrame, width: int) -> DataFrame:
-    """vertex, size and bits (parities of hashed elements) of each set."""
+def set_bits(reps: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """vertex, size and bits (parities of hashed elements) of the sets in ids(id), and of a few others."""
+    inside = possible_members(ids)
 
     def run(batches):
-        for batch, low, high, owner, values, sizes in sets_of(batches, width):
+        for batch, low, high, owner, values, sizes in sets_of(_filtered(batches, inside), width):
             yield pa.RecordBatch.from_arrays([batch.column("vertex")[low:high], pa.array(sizes, pa.int64()), pa.array(parity_bits(owner, values, sizes), pa.binary())], ["vertex", "size", "bits"])
 
     return reps.mapInArrow(run, "vertex long, size long, bits binary")
 
 
-def only(rows: DataFrame, ids: DataFrame, key: str = "vertex") -> DataFrame:
-    """Rows whose key is in ids(id), and a few others that a later join drops: most of the others need no shuffle."""
-    inside = possible_members(ids)
+def _filtered(batches, inside):
+    for batch in batches:
+        yield batch.filter(pa.array(inside(batch.column("vertex").to_numpy(zero_copy_only=False))))
 
-    @F.arrow_udf("boolean")
-    def probably(values: pa.Array) -> pa.Array:
-        return pa.array(inside(values.to_numpy(zero_copy_only=False)))
 
-    return rows.where(probably(F.col(key)))
+def only(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sets whose vertex is in ids(id), and a few others that a later join drops: most of the others need no shuffle."""
+    inside = possible_members(ids)
+    return reps.select("vertex", "text").mapInArrow(lambda batches: _filtered(batches, inside), "vertex long, text string")
 
 
 def _differences(size: np.ndarray, other: np.ndarray | int, percent: int) -> np.ndarray:
@@ -219,7 +220,7 @@ def labelled(rows: DataFrame, links: DataFrame, vertices: list[str]) -> DataFram
 def find_links(reps: DataFrame, width: int, percent: int, units: dict[int, np.ndarray]) -> DataFrame:
     """Links (a, b) between sets, as many as join their components. reps: vertex, text; no two sets are equal."""
     kept = kept_signatures(reps, width, percent, units)
-    bits = written(set_bits(only(reps, kept.select(F.col("vertex").alias("id"))), width), "bits")
+    bits = written(set_bits(reps, kept.select(F.col("vertex").alias("id")), width), "bits")
 
     heads = kept.groupBy("signature").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a < b").select("signature", "a")
     first = kept.join(heads, "signature").select("a", F.col("vertex").alias("b")).where("a < b").distinct()

@@ -59,17 +59,13 @@ def _best_fit(left: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
     return [x for group in opened.values() for x in group]
 
 
-def plan(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used, for `counts` pieces of each length; every piece has exactly one place.
+def _complements(whole: np.ndarray, room: int, depth: int, reserve: int) -> list[tuple[tuple[int, ...], int]]:
+    """From the longest length down, the gap that it leaves is looked up among single lengths, then sums of two, then of three.
 
-    From the longest length down, the gap that it leaves is looked up among single lengths, then sums of two, then
-    sums of three, as far as the counts last; what finds no exact filling goes to best fit. If best fit alone takes
-    fewer sequences, its plan is returned.
+    Sums of two and three take no length under `reserve`, so that short pieces stay for the gaps that remain; what finds
+    no exact filling goes to best fit. A pattern is used as often as the counts allow, so each ends some length's stock.
     """
-    left = np.zeros(room + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    whole, out = left.copy(), []
+    left, out = whole.copy(), []
 
     def take(pattern: tuple[int, ...]) -> None:
         need: dict[int, int] = {}
@@ -82,7 +78,7 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]
 
     def two(total: int) -> np.ndarray:
         """Larger halves a of a + b = total with both at hand, largest first."""
-        b = np.arange(1, total // 2 + 1)
+        b = np.arange(reserve, total // 2 + 1)
         return total - b[(left[b] > 0) & (left[total - b] > 0)]
 
     if left[room]:
@@ -91,12 +87,12 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]
         gap = room - length
         if left[length] and left[gap]:
             take((length, gap))
-        if left[length]:
+        if depth >= 2 and left[length]:
             for a in two(gap).tolist():
                 take((length, a, gap - a))
                 if not left[length]:
                     break
-        if left[length]:
+        if depth >= 3 and left[length]:
             for a in np.flatnonzero(left[: gap - 1])[::-1].tolist():
                 if 3 * a < gap or not left[length]:
                     break
@@ -104,42 +100,82 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]
                     take((length, a, b, gap - a - b))
                     if not left[length] or not left[a]:
                         break
-    out += _best_fit(left, room)
-    plain = _best_fit(whole, room)
-    return min(out, plain, key=lambda p: sum(n for _, n in p))
+    return out + _best_fit(left, room)
+
+
+def plan(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, for `counts` pieces of each length; every piece has exactly one place.
+
+    All come from exact complements. Which sums serve best depends on the lengths: of plans with singles, pairs or
+    triples, that spare short pieces or not, the one with the fewest sequences is taken.
+    """
+    whole = np.zeros(room + 1, np.int64)
+    for length, n in counts.items():
+        whole[length] += n
+    ways = [(3, 1), (3, max(1, room // 16)), (2, 1), (2, max(1, room // 16)), (1, 1)]
+    return min((_complements(whole, room, *way) for way in ways), key=lambda p: sum(n for _, n in p))
+
+
+class Places:
+    """Where the piece of a length and rank goes. At most some slots a length for each pattern, and patterns are no more than a few a length."""
+
+    def __init__(self, patterns: list[tuple[tuple[int, ...], int]]):
+        used: dict[int, int] = {}
+        rows, sequence = [], 0
+        for pattern, n in patterns:
+            offset = 0
+            for length in pattern:
+                rows.append((length, used.get(length, 0), sequence, offset))
+                used[length] = used.get(length, 0) + n
+                offset += length
+            sequence += n
+        slots = np.array(sorted(rows), np.int64).reshape(-1, 4)
+        self.base, self.sequence, self.offset = slots[:, 1], slots[:, 2], slots[:, 3]
+        self.lengths, self.first = np.unique(slots[:, 0], return_index=True)
+        self.last = np.append(self.first[1:], len(slots))
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        order = np.argsort(length, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            if len(part):
+                k = int(np.searchsorted(self.lengths, length[part[0]]))
+                slot = self.first[k] + np.searchsorted(self.base[self.first[k] : self.last[k]], rank[part], "right") - 1
+                sequence[part], offset[part] = self.sequence[slot] + rank[part] - self.base[slot], self.offset[slot]
+        return sequence, offset
 
 
 def pack(pieces: DataFrame, room: int, per_task: int = 100_000) -> DataFrame:
     """pieces with sequence_id and offset. Column length says how long each is, from 1 to room.
 
     Ties of length are ranked by doc_id, piece and checksum in salted parts of about per_task rows, so that one very
-    common length is no single task's work. Equal rows take different places. An empty table stays empty.
+    common length is no single task's work. Equal rows take different places; columns sequence_id and offset are
+    replaced. An empty table stays empty.
     """
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `room` rows
-    patterns = plan(counts, room)
-    slots: dict[int, list[tuple[int, int, int]]] = {}
-    used: dict[int, int] = {}
-    sequence = 0
-    for pattern, n in patterns:
-        offset = 0
-        for length in pattern:
-            slots.setdefault(length, []).append((used.get(length, 0), sequence, offset))
-            used[length] = used.get(length, 0) + n
-            offset += length
-        sequence += n
+    held = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, room)))
     salts = 1 + sum(counts.values()) // per_task
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "salt").count()
-    base = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("base"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    places = pieces.sparkSession.createDataFrame([(k, [list(x) for x in v]) for k, v in slots.items()], "length long, slots array<array<long>>")
-    slot = F.expr("slots[size(filter(slots, s -> s[0] <= rank)) - 1]")
-    joined = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).join(F.broadcast(places), "length").withColumn("slot", slot)
-    return joined.select(*pieces.columns, (F.col("slot")[1] + F.col("rank") - F.col("slot")[0]).alias("sequence_id"), F.col("slot")[2].alias("offset"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    base = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_base"))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+
+    @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        found = held.value.find(length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array(x) for x in found], ["sequence_id", "offset"])
+
+    joined = ranked.join(base, ["length", "_salt"]).withColumn("_place", place(F.col("length"), F.col("_rank") + F.col("_base")))
+    return joined.select(*(c for c in pieces.columns if c not in ("sequence_id", "offset")), "_place.*")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, room: int = 2048) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all documents. Null texts are empty; a null doc_id stays null."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all documents.
+
+    A null or empty text is its end id alone; only texts longer than a sequence are cut. A null doc_id stays null;
+    repeated rows are packed each, ties of length take places by doc_id and piece; other columns are ignored. An empty
+    table gives no rows.
+    """
     return pack(written(cut_pieces(docs, path, end_id, room), "pieces"), room)
 
 

@@ -1,17 +1,17 @@
 """Secrets in texts: fixed patterns, and probabilistic automata inferred from the credentials that those find.
 
-One pass over the texts gives each document's pattern spans and its candidates (long runs of credential characters
-outside them). A bounded, hashed sample of the distinct values found, the labelled credentials, makes one prefix
-tree a kind; states whose next-symbol and end frequencies are compatible by the Hoeffding bound are merged. Every
-candidate is then scored by its likelihood under the automata against that of all candidates' symbol pairs.
+A first pass over the texts takes the fixed patterns' values and, from all candidates (runs of credential characters,
+less what a pattern covers), the counts of symbol pairs. A bounded, hashed sample of the distinct values, the labelled
+credentials, makes one prefix tree a kind; states whose next-symbol and end frequencies are compatible by the Hoeffding
+bound are merged. A second pass scores every candidate by its likelihood under the automata against that of the pairs.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,74 +20,107 @@ from tessera.llm.common import table, text_slices, written
 
 #: The base patterns, their least lengths, and the order of kinds. Only group 1 of assign ignores case.
 KINDS = ("assign", "access", "hex", "grammar")
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+HEX = re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+HINTS = re.compile(rb"password|passwd|secret|token|api_?key|akia|[0-9a-f]{32}")
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
-_LONG_HEX = re.compile(rb"[0-9a-f]{32}")
 #: A candidate's symbols are characters by class; inside a class all are equally likely.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
-SYMBOL = {c: i for i, group in enumerate(CLASSES) for c in group}
-SHARE = [-math.log2(len(group)) for group in CLASSES]
 END = len(CLASSES)
-SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
+SYMBOL = np.full(256, END, np.int8)
+for _i, _group in enumerate(CLASSES):
+    SYMBOL[list(_group.encode())] = _i
+SHARE = np.array([-math.log2(len(group)) for group in CLASSES] + [0.0])
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+
+
+def base_spans(data: bytes) -> list[tuple[int, int, int, bytes]]:
+    """(kind, start, end, value) of the fixed patterns, in bytes; assign's span is the whole match, its value group 2."""
+    out = [(0, *m.span(), m.group(2)) for m in ASSIGN.finditer(data) if len(m.group(2)) >= LEAST["assign"]]
+    out += [(1, *m.span(), m.group()) for m in ACCESS.finditer(data) if len(m.group()) >= LEAST["access"]]
+    out += [(2, *m.span(), m.group()) for m in HEX.finditer(data) if len(m.group()) >= LEAST["hex"]]
+    return out
 
 
-def base_spans(text: str) -> list[tuple[int, int, int, str]]:
-    """(kind, start, end, value) of the fixed patterns, in code points; assign's span is the whole match, its value group 2."""
-    out = [(0, *m.span(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
-    out += [(1, *m.span(), m.group()) for m in ACCESS.finditer(text) if len(m.group()) >= LEAST["access"]]
-    out += [(2, *m.span(), m.group()) for m in HEX.finditer(text) if len(m.group()) >= LEAST["hex"]]
-    return out
+class Runs:
+    """Pattern spans (text, kind, start, end, value) and candidates of concatenated texts, as places in their bytes.
 
+    A candidate is a run of credential characters inside one text, of the least labelled length or more, after all that
+    a pattern span covers has been cut out.
+    """
 
-def scan_text(data: bytes) -> tuple[list, list]:
-    """Pattern spans, and candidates that no pattern span overlaps, of one text's UTF-8 bytes."""
-    runs = list(CANDIDATE.finditer(data))
-    lower = data.lower()
-    if not runs and not any(h in lower for h in HINTS):
-        return [], []
-    spans = base_spans(data.decode()) if any(h in lower for h in HINTS) or any(b"AKIA" in m.group() or _LONG_HEX.search(m.group()) for m in runs) else []
-    plain = data.isascii()
-    covered = sorted((s, e) for _, s, e, _ in spans)
-    found, at, point = [], 0, 0
-    for m in runs:
-        begin = m.start() if plain else (point := point + len(data[at : m.start()].decode()))
-        at = m.start()
-        end = begin + m.end() - m.start()
-        i = bisect.bisect_left(covered, (end, -1))
-        if not any(e > begin for _, e in covered[max(0, i - 3) : i]):
-            found.append((3, begin, end, m.group().decode()))
-    return spans, found
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        whole = data.tobytes()
+        self.spans = []
+        spaced = np.insert(data, offsets[1:-1], 0x20).tobytes().lower()  # no hint crosses two texts
+        hinted = np.array([m.start() for m in HINTS.finditer(spaced)], np.int64)
+        self.symbols = np.append(SYMBOL[data], np.int8(END))  # an end after the last byte
+        for t in np.unique(np.searchsorted(offsets[:-1] + np.arange(len(offsets) - 1), hinted, "right") - 1).tolist():
+            low = int(offsets[t])
+            for kind, start, end, value in base_spans(whole[low : int(offsets[t + 1])]):
+                self.spans.append((t, kind, start + low, end + low, value))
+        for _, _, start, end, _ in self.spans:
+            self.symbols[start:end] = END
+        held = self.symbols[:-1] < END
+        first = held.copy()
+        first[1:] &= ~held[:-1]
+        first[offsets[:-1][offsets[:-1] < len(data)]] |= held[offsets[:-1][offsets[:-1] < len(data)]]
+        starts = np.flatnonzero(first)
+        stop = np.append(np.flatnonzero(~held), len(data))
+        ends = np.minimum(stop[np.searchsorted(stop, starts)], np.append(starts[1:], len(data)))
+        long = ends - starts >= LEAST["assign"]
+        self.starts, self.ends = starts[long], ends[long]
+
+    def pairs(self) -> np.ndarray:
+        """How often each symbol follows each other one in candidates; END stands before and after."""
+        inside = np.zeros(len(self.symbols), np.int32)
+        np.add.at(inside, self.starts, 1)
+        np.add.at(inside, self.ends, -1)
+        at = np.flatnonzero(np.cumsum(inside)[:-1])
+        n = END + 1
+        last = np.zeros(len(self.symbols), bool)
+        last[self.ends - 1] = True
+        after = np.where(last[at], END, self.symbols[np.minimum(at + 1, len(self.symbols) - 1)])
+        out = np.bincount(self.symbols[at].astype(np.int64) * n + after, minlength=n * n)
+        out += np.bincount(END * n + self.symbols[self.starts].astype(np.int64), minlength=n * n)
+        return out.reshape(n, n)
 
 
 class Automaton:
     """A probabilistic automaton: for each state, symbol counts (END for the end) and the next state by symbol."""
 
     def __init__(self, count: list[list[int]], next_: list[dict[int, int]]):
-        self.count, self.next = count, next_
-        self.cost = [[math.log2((n + 0.1) / (sum(row) + 0.1 * (END + 1))) for n in row] for row in count]
-
-    def bits(self, value: str) -> float:
-        """log2 of the value's probability; a symbol that a state never saw keeps the state at its smoothed price."""
-        state, total = 0, 0.0
-        for c in value:
-            s = SYMBOL[c]
-            total += self.cost[state][s] + SHARE[s]
-            state = self.next[state].get(s, state)
-        return total + self.cost[state][END]
-
-
-def infer(values: list[str], alpha: float = 0.05) -> Automaton:
+        seen = np.array(count, float) + 0.1
+        self.cost = np.log2(seen / seen.sum(axis=1, keepdims=True)) + SHARE
+        self.next = np.tile(np.arange(len(count))[:, None], END + 1)
+        for state, to in enumerate(next_):
+            for s, t in to.items():
+                self.next[state, s] = t
+
+    def bits(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log2 of each value's probability; a symbol that a state never saw keeps the state at its smoothed price."""
+        order = np.argsort(starts - ends, kind="stable")  # the longest first, so that those left are always in front
+        starts, length = starts[order], (ends - starts)[order]
+        state, total = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        left = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
+        for i, n in enumerate(left.tolist()):
+            s = symbols[starts[:n] + i]
+            total[:n] += self.cost[state[:n], s]
+            state[:n] = self.next[state[:n], s]
+        out = np.empty(len(starts))
+        out[order] = total + self.cost[state, END]
+        return out
+
+
+def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
     """Merges compatible states of the values' prefix tree: red states are kept, their children are merged or turn red."""
     count, child = [[0] * (END + 1)], [{}]
     for value in values:
         state = 0
         for c in value:
-            s = SYMBOL[c]
+            s = int(SYMBOL[c])
             count[state][s] += 1
             if s not in child[state]:
                 child[state][s] = len(count)
@@ -139,92 +172,103 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
 class Grammar:
     """Automata by kind, each with the least bits a symbol that nearly all its own examples reach, and the background."""
 
-    def __init__(self, examples: dict[int, list[str]], pairs: dict[tuple[int, int], int], margin: float = 0.15):
+    def __init__(self, examples: dict[int, list[bytes]], pairs: np.ndarray, margin: float = 0.15):
         self.automata = {}
         for kind, values in examples.items():
             automaton = infer(values)
-            rates = sorted(automaton.bits(v) / (len(v) + 1) for v in values)
-            self.automata[kind] = (automaton, rates[len(rates) // 50])
+            ends = np.cumsum([len(v) for v in values])
+            rates = np.sort(automaton.bits(SYMBOL[np.frombuffer(b"".join(values), np.uint8)], ends - np.diff(ends, prepend=0), ends) / (np.diff(ends, prepend=0) + 1))
+            self.automata[kind] = (automaton, float(rates[len(rates) // 50]))
         self.margin = margin
-        total = [sum(pairs.get((a, b), 0) for b in range(END + 1)) for a in range(END + 1)]
-        self.background = [[math.log2((pairs.get((a, b), 0) + 0.5) / (total[a] + 0.5 * (END + 1))) + (SHARE[b] if b < END else 0) for b in range(END + 1)] for a in range(END + 1)]
+        self.background = np.log2((pairs + 0.5) / (pairs + 0.5).sum(axis=1, keepdims=True)) + SHARE
 
-    def score(self, value: str) -> float:
+    def scores(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Most bits a symbol above the background among kinds whose examples are no less likely; -inf if there is none."""
-        symbols = [SYMBOL[c] for c in value]
-        plain = sum(self.background[a][b] for a, b in zip([END, *symbols], [*symbols, END], strict=True)) / (len(value) + 1)
-        rates = [(a.bits(value) / (len(value) + 1), least) for a, least in self.automata.values()]
-        return max((rate - plain for rate, least in rates if rate >= least), default=-math.inf)
-
-
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, base and candidates (arrays of kind, start, end, value) of every whole text; null is empty."""
-    source = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = source.select(*keep).schema
-    struct = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+        out = np.full(len(starts), -np.inf)
+        if not len(starts):
+            return out
+        steps = np.append(self.background[symbols[:-1], symbols[1:]], 0.0)
+        total = np.concatenate([[0.0], np.cumsum(steps)])
+        plain = total[ends - 1] - total[starts] + self.background[END, symbols[starts]] + self.background[symbols[ends - 1], END]
+        size = ends - starts + 1
+        for automaton, least in self.automata.values():
+            rate = automaton.bits(symbols, starts, ends) / size
+            out = np.where(rate >= least, np.maximum(out, rate - plain / size), out)
+        return out
+
+    def secret(self, runs: Runs) -> np.ndarray:
+        """Which candidates score the margin or more."""
+        return self.scores(runs.symbols, runs.starts, runs.ends) >= self.margin
+
+
+def learn(docs: DataFrame, most: int = 400, longest: int = 64) -> Grammar | None:
+    """The grammar from at most `most` distinct credentials a kind, of `longest` characters at most, those of the least hash.
 
-    def rows(found):
-        return pa.array([[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in part] for part in found], struct)
+    Background pairs come from all candidates of all texts. None if no credential is found. A null text is empty;
+    repeated rows teach the background each, but a credential is one example however often it stands.
+    """
 
     def run(batches):
+        pairs = np.zeros((END + 1, END + 1), np.int64)
+        schema = pa.schema([("kind", pa.int32()), ("value", pa.string()), ("n", pa.int64())])
         for batch in batches:
-            for low, high, data, offsets in text_slices(batch, "text"):
-                whole = data.tobytes()
-                spans, found = zip(*(scan_text(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), strict=True)
-                part = batch.slice(low, high - low).select(list(keep))
-                yield pa.RecordBatch.from_arrays([*part.columns, rows(spans), rows(found)], [*keep, "base", "candidates"])
-
-    text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return source.mapInArrow(run, f"{text}, base {SPANS}, candidates {SPANS}")
-
-
-def learn(scanned: DataFrame, most: int = 400, longest: int = 64) -> Grammar | None:
-    """The grammar from at most `most` distinct credentials a kind, of `longest` characters at most, those of the least hash.
-
-    Background pairs come from all candidates of the corpus. None if no credential is found.
-    """
-    found = scanned.select(F.explode("base").alias("x")).select("x.kind", "x.value").where(F.length("value") <= longest).distinct()
-    found = written(found, "credentials")
+            for _, _, data, offsets in text_slices(batch, "text"):
+                runs = Runs(data, offsets)
+                pairs += runs.pairs()
+                found = sorted({(kind, value.decode()) for _, kind, _, _, value in runs.spans if len(value) <= longest})
+                if found:
+                    kind, value = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(value), pa.nulls(len(found), pa.int64())], schema=schema)
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - some, pa.int32()), pa.nulls(len(some), pa.string()), pa.array(pairs.ravel()[some], pa.int64())], schema=schema)
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, value string, n long")
+    found = written(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
+    pairs = np.zeros((END + 1) ** 2)
+    for kind, n in found.where("kind < 0").select("kind", "n").collect():  # at most 144 rows
+        pairs[-1 - kind] = n
     examples = {}
     for kind in range(3):
-        values = [r[0] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").select("value").limit(most).collect()]
+        values = [r[0].encode() for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").select("value").limit(most).collect()]
         if values:
             examples[kind] = values
-    if not examples:
-        return None
-
-    def run(batches):
-        counts: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                symbols = [SYMBOL[c] for c in value]
-                for pair in zip([END, *symbols], [*symbols, END], strict=True):
-                    counts[pair] = counts.get(pair, 0) + 1
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in counts], pa.int32()), "b": pa.array([b for _, b in counts], pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
-
-    pairs = scanned.select(F.explode("candidates.value").alias("value")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return Grammar(examples, {(r[0], r[1]): r[2] for r in pairs.collect()})  # at most 144 rows
-
-
-def with_grammar(scanned: DataFrame, grammar: Grammar | None) -> DataFrame:
-    """scanned with spans: base and every candidate that the grammar scores above its margin, by start, then kind."""
-    if grammar is None:
-        return scanned.withColumn("spans", F.array_sort(F.expr("transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end))")))
-    held = scanned.sparkSession.sparkContext.broadcast(grammar)
+    return Grammar(examples, pairs.reshape(END + 1, END + 1)) if examples else None
 
-    @F.pandas_udf("array<boolean>")
-    def secret(values):
-        return values.map(lambda xs: [held.value.score(x) >= held.value.margin for x in xs])
 
-    scored = scanned.withColumn("secret", secret(F.col("candidates.value")))
-    added = F.expr("concat(base, transform(filter(arrays_zip(candidates, secret), z -> z.secret), z -> z.candidates))")
-    return scored.withColumn("spans", added).withColumn("spans", F.array_sort(F.expr("transform(spans, x -> struct(x.start as start, x.kind as kind, x.end as end))"))).drop("secret")
+def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, base and spans (arrays of kind, start, end by start, then kind) of all secrets of every document.
 
+    base holds the fixed patterns' spans, spans those and the candidates that the grammar takes; places are code points.
+    Null and empty texts have none; a null doc_id stays null; equal rows and texts get equal results; other columns,
+    whatever their names, are kept only if asked for; an empty table gives no rows.
+    """
+    names = list(keep)
+    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col("text").cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    struct = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
-def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, base and spans of all secrets of every document. Equal rows and texts get equal results; an empty table, none."""
-    scanned = written(scan(docs, keep), "secret-scan")
-    return with_grammar(scanned, learn(scanned)).drop("candidates")
+    def run(batches):
+        for batch in batches:
+            for low, high, data, offsets in text_slices(batch, "text"):
+                runs = Runs(data, offsets)
+                base: list[list[dict]] = [[] for _ in range(high - low)]
+                spans: list[list[dict]] = [[] for _ in range(high - low)]
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                rows = [(t, start, kind, end) for t, kind, start, end, _ in runs.spans]
+                if held.value is not None:
+                    took = np.flatnonzero(held.value.secret(runs))
+                    texts = np.searchsorted(offsets, runs.starts[took], "right") - 1
+                    rows += [(t, a, 3, b) for t, a, b in zip(texts.tolist(), runs.starts[took].tolist(), runs.ends[took].tolist(), strict=True)]
+                for t, start, kind, end in sorted(rows):
+                    x = {"kind": kind, "start": int(point[start] - point[offsets[t]]), "end": int(point[end] - point[offsets[t]])}
+                    spans[t].append(x)
+                    if kind < 3:
+                        base[t].append(x)
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(base, struct), pa.array(spans, struct)], [*part.schema.names[:-1], "base", "spans"])
+
+    text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
+    return source.mapInArrow(run, f"{text}, base {SPANS}, spans {SPANS}").toDF(*names, "base", "spans")
 
 
 def listed(spans: str) -> Column:
@@ -236,30 +280,37 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret span of text replaced by a mark; overlapping spans share one.
 
-    Texts without secrets, null texts and other columns stay as they are; an empty table stays empty.
+    Texts without secrets, null texts and other columns stay as they are, as do rows with a null doc_id and repeated
+    ones; equal texts get equal results; an empty table stays empty.
     """
-    grammar = docs.sparkSession.sparkContext.broadcast(learn(written(scan(docs.select("doc_id", "text")), "secret-scan")))
-
-    def clean(text: str) -> str:
-        spans, candidates = scan_text(text.encode())
-        if grammar.value is not None:
-            spans = spans + [x for x in candidates if grammar.value.score(x[3]) >= grammar.value.margin]
-        out, at = [], 0
-        for begin, end in sorted((x[1], x[2]) for x in spans):
-            if begin >= at:
-                out += [text[at:begin], mark]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
+    grammar = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else clean(x) for x in texts.to_pylist()], pa.string())
-
-    return docs.withColumn("text", cut(F.col("text")))
+        out = texts.to_pylist()
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        for low, _, data, offsets in text_slices(batch, "text"):
+            runs = Runs(data, offsets)
+            spans = [(start, end) for _, _, start, end, _ in runs.spans]
+            if grammar.value is not None:
+                took = grammar.value.secret(runs)
+                spans += zip(runs.starts[took].tolist(), runs.ends[took].tolist(), strict=True)
+            changed: dict[int, list[tuple[int, int]]] = {}
+            for start, end in sorted(spans):
+                changed.setdefault(int(np.searchsorted(offsets, start, "right")) - 1, []).append((start, end))
+            for t, found in changed.items():
+                parts, at = [], int(offsets[t])
+                for begin, end in found:
+                    if begin >= at:
+                        parts += [data[at:begin].tobytes(), mark.encode()]
+                    at = max(at, end)
+                out[low + t] = b"".join([*parts, data[at : offsets[t + 1]].tobytes()]).decode()
+        return pa.array(out, pa.string())
+
+    return docs.withColumn("text", cut(F.col("text").cast("string")))
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
-    base = "array_sort(transform(base, x -> struct(x.start as start, x.kind as kind, x.end as end)))"
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as long)").alias(f"n_{KINDS[i]}") for i in range(3)]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

@@ -6,32 +6,33 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_dir, table, text_slices, written
 from tessera.llm.encode import encoder, vocabulary
+from tessera.llm.token_files import store
 
-#: The byte-level vocabulary's own end-of-document id, which no text's ids hold.
+#: The byte-level vocabulary's own end-of-document id. Texts are encoded as ordinary text, so no text's ids hold it.
 END_ID = 50256
 
 
 def write_flat_files(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Each task's documents, in its order, as one flat file of uint16 ids, end_id after each; returns file, ordinal, doc_id.
 
-    Null texts are empty documents. The order inside a file is that of the rows; nothing is shuffled.
+    Null and empty texts are empty documents, a null doc_id stays null, and repeated rows are documents each. The order
+    inside a file is that of the rows; nothing is shuffled. Other columns are ignored; an empty table gives no files.
     """
     folder = folder or fresh_dir(docs.sparkSession, "flat-tokens")
 
     def run(batches):
-        code = encoder(path)
+        code = encoder(path, ordinary=True)
         if max(code.tokenizer.get_vocab_size() - 1, end_id) >= 65536:
             raise ValueError("flat files hold ids of two bytes")
         end = np.array([end_id], "<u4").tobytes()
         uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
-        system, place = fs.FileSystem.from_uri(uri)
+        system, place = store(uri)
         out, n = None, 0
         for batch in batches:
             for first, last, _, _ in text_slices(batch, "text"):
@@ -61,7 +62,7 @@ def count_tokens(files: DataFrame, end_id: int = END_ID, block_ids: int = 1 << 2
     def blocks(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                system, place = fs.FileSystem.from_uri(uri)
+                system, place = store(uri)
                 n = -(-system.get_file_info(place).size // (2 * block_ids))
                 for low in range(0, n, 4096):
                     part = np.arange(low, min(n, low + 4096))
@@ -70,7 +71,7 @@ def count_tokens(files: DataFrame, end_id: int = END_ID, block_ids: int = 1 << 2
     def scan(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                system, place = fs.FileSystem.from_uri(row["file"])
+                system, place = store(row["file"])
                 begin = row["block"] * block_ids
                 with system.open_input_file(place) as file:
                     ids = np.frombuffer(file.read_at(2 * block_ids, 2 * begin), "<u2")

@@ -26,6 +26,13 @@ from tessera.llm.encode import encoder, vocabulary
 SKIP_LIST, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 16
+#: A file is closed, and the next one opened, after so many bytes of ids (four an id).
+FILE_BYTES = 1 << 29
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI as Spark writes it; pyarrow knows S3 by one name only."""
+    return fs.FileSystem.from_uri("s3" + uri.removeprefix("s3a") if uri.startswith("s3a:") else uri)
 
 
 def _check(data: bytes) -> int:
@@ -40,7 +47,7 @@ class TokenFile:
     def __init__(self, uri: str):
         import zstandard
 
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = store(uri)
         self.file = system.open_input_file(path)
         size = self.file.size()
         frames, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
@@ -81,7 +88,7 @@ def write_file(uri: str, documents: Iterable[tuple[int | None, bytes]], width: i
     """Writes (doc_id, ids as uint32 bytes) in the order given; returns the numbers of documents and ids."""
     import zstandard
 
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = store(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     pack = zstandard.ZstdCompressor(level=1).compress
     seek, listed, pending, held, total, n = [], [], [], 0, 0, 0
@@ -116,12 +123,28 @@ def write_file(uri: str, documents: Iterable[tuple[int | None, bytes]], width: i
     return n, total
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
-    """One file for each range of ascending doc_id; returns file, n_docs, n_tokens and base (ids of all files before it).
+def _files(documents: Iterator[tuple[int | None, bytes]], most: int) -> Iterator[Iterator[tuple[int | None, bytes]]]:
+    """The documents in runs of about `most` bytes, each to be used up before the next."""
+    rest = [next(documents, None)]
+
+    def run():
+        size = 0
+        while (row := rest[0]) is not None and size < most:
+            size += len(row[1])
+            yield row
+            rest[0] = next(documents, None)
+
+    while rest[0] is not None:
+        yield run()
 
-    A null text is empty, so its ids are the end id alone; a null doc_id sorts first; rows with one doc_id all stay,
-    ordered by text; other columns are ignored; an empty table gives no file. A task that is run again writes
-    another file, and only files that the returned table names count.
+
+def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None, most: int = FILE_BYTES) -> DataFrame:
+    """Files for ranges of ascending doc_id; returns file, n_docs, n_tokens and base (ids of all files before it).
+
+    A null or empty text is its end id alone; a null doc_id sorts first; rows with one doc_id all stay, in any order
+    among themselves, and may lie in several files; other columns are ignored; an empty table gives no file. A task
+    closes a file after `most` bytes of ids. A task that is run again writes other files, and only files that the
+    returned table names count.
     """
     folder = folder or fresh_dir(docs.sparkSession, "token-files")
 
@@ -129,32 +152,34 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
         code = encoder(path)
         width = 2 if code.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         end = np.array([end_id], "<u4").tobytes()
-        low: list = []
 
         def documents():
             for batch in batches:
                 for first, last, _, _ in text_slices(batch, "text"):
                     keys = batch.column("doc_id")[first:last].to_pylist()
-                    low.extend(keys[:1])
                     for key, ids in zip(keys, code.ids(batch.column("text")[first:last].to_pylist()), strict=True):
                         yield key, ids + end
 
-        source = documents()
-        head = next(source, None)
-        if head is None:
-            return
-        uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
-        n, total = write_file(uri, (x for part in ([head], source) for x in part), width)
-        yield pa.RecordBatch.from_pydict({"file": [uri], "low": pa.array([low[0]], pa.int64()), "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+        place = TaskContext.get().partitionId()
+        for k, part in enumerate(_files(documents(), most)):
+            uri = f"{folder}/part-{place:06d}-{k:04d}-{uuid.uuid4().hex}.tok"
+            n, total = write_file(uri, part, width)
+            yield pa.RecordBatch.from_pydict({"file": [uri], "place": pa.array([place], pa.int32()), "k": pa.array([k], pa.int32()), "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = written(ordered.mapInArrow(run, "file string, low long, n_docs long, n_tokens long"), "token-file-list")
-    before = F.sum("n_tokens").over(Window.orderBy(F.col("low").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
-    return files.withColumn("base", F.coalesce(before, F.lit(0))).drop("low")
+    order = ["doc_id", "h", "row"]  # so that one doc_id of very many rows is cut too
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    files = written(ordered.mapInArrow(run, "file string, place int, k int, n_docs long, n_tokens long"), "token-file-list")
+    before = F.sum("n_tokens").over(Window.orderBy("place", "k").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    return files.withColumn("base", F.coalesce(before, F.lit(0))).drop("place", "k")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of the files, from the files' bytes."""
+    """doc_id, start, n_tokens and ids_crc32 of every document of the files (file, base), from the files' bytes.
+
+    A null doc_id comes back null, repeated rows come back each; a file that is named twice is read twice; other columns
+    are ignored; no files give no rows. A damaged frame, list or table is an error.
+    """
 
     def run(batches):
         for batch in batches:

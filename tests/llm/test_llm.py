@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -20,7 +22,8 @@ SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-ODD = ["", None, "one", "Two words", " \n\t", "é" * 3, "word " * 5000, "x" * 20000, "a b c", "a b c", "A B C", "<|endoftext|> it's\r\n\x1cß é́"]
+LIBRARY: dict = {}
+ODD = ["", None, "one", "Two words", " \n\t", "é" * 3, "word " * 5000, "x" * 20000, "a b c", "a b c", "A B C", "<|endoftext|> it's <|startoftext|>\r\n\x1cß é́"]
 
 
 @pytest.fixture(scope="module")
@@ -220,19 +223,35 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.find_passages(whole, items.limit(0)).where("size(hit) > 0").count() == 0
 
 
-def test_encoder_equals_library():
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = Encoder(vocabulary(name), keep=20)
-        texts = [t for t in ODD if t is not None]
-        assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def library_ids(name, text, ordinary=False):
+    """The library's own ids, by a tokenizer of its own."""
+    if (name, ordinary) not in LIBRARY:
+        LIBRARY[name, ordinary] = tokenizers.Tokenizer.from_file(vocabulary(name))
+        LIBRARY[name, ordinary].encode_special_tokens = ordinary
+    return LIBRARY[name, ordinary].encode(text or "", add_special_tokens=False).ids
+
+
+def id_bytes(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_encoder_equals_library(name, ordinary):
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|", "a", "B c", " ", "\n", "  \n ", "it's", "123", "é", "!!", "Ünï", "漢字", "\x01", "x" * 30]
+    texts = [*ODD, *("".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(2000))]
+    e = Encoder(vocabulary(name), ordinary, keep=20)
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(part)] == [library_ids(name, x, ordinary) for x in part]
 
 
 def test_token_files_round_trip_and_seek(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/tok"
-    code = Encoder(vocabulary("byte_bpe_50k.json"))
     files = token_files.write_token_files(odd.repartition(3), vocabulary("byte_bpe_50k.json"), 2, folder)
     rows = token_files.read_token_files(files).collect()
-    ids = {i: code.ids([t])[0] + b"\x02\0\0\0" for i, t in [*enumerate(ODD), (None, "no id")]}
+    ids = {i: id_bytes([*library_ids("byte_bpe_50k.json", t), 2]) for i, t in [*enumerate(ODD), (None, "no id")]}
     start = 0
     for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]) // 4, zlib.crc32(ids[r.doc_id]))
@@ -250,10 +269,22 @@ def test_token_files_round_trip_and_seek(spark, odd, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), vocabulary("byte_bpe_50k.json"), 2)).count() == 0
 
 
+def test_token_files_of_one_id_are_cut_and_keep_every_row(spark, odd):
+    """Repeated rows, null ids, ties and a bound on a file's bytes: all rows come back, gapless and in order of doc_id."""
+    many = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(3).cast("long")))
+    files = token_files.write_token_files(many.repartition(3), vocabulary("byte_bpe_50k.json"), 2, most=20_000)
+    assert files.count() > 3
+    rows = sorted(token_files.read_token_files(files).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    want = Counter((r.doc_id, zlib.crc32(id_bytes([*library_ids("byte_bpe_50k.json", r.text), 2]))) for r in many.collect())
+    assert Counter((r.doc_id, r.ids_crc32) for r in rows) == want
+
+
 def test_flat_files_are_counted_across_blocks(spark, odd):
-    code = Encoder(vocabulary("byte_bpe_50k.json"))
     order = token_counts.write_flat_files(odd.repartition(2), vocabulary("byte_bpe_50k.json"))
-    want = Counter((i, len(code.ids([t])[0]) // 4) for i, t in [*enumerate(ODD), (None, "no id")])
+    want = Counter((i, len(library_ids("byte_bpe_50k.json", t, ordinary=True))) for i, t in [*enumerate(ODD), (None, "no id")])
     for block in (3, 50, 1 << 20):
         got = order.join(token_counts.count_tokens(order, block_ids=block), ["file", "ordinal"])
         assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == want
@@ -334,12 +365,12 @@ def test_lattice_base_score(spark, docs, odd):
 
 def test_packing_places_every_piece_once(spark, odd):
     rows = packing.pack_documents(odd, vocabulary("word_bpe_49k.json"), room=64).collect()
-    code, by_doc, sequences = Encoder(vocabulary("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    by_doc, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
         sequences[r.sequence_id].append((r.offset, r.length))
     for i, t in [*enumerate(ODD), (None, "no id")]:
-        ids = code.ids([t])[0] + b"\0\0\0\0"
+        ids = id_bytes([*library_ids("word_bpe_49k.json", t), 0])
         for k, r in enumerate(sorted(by_doc[i], key=lambda r: r.piece)):
             assert (r.piece, r.start, r.ids_crc32) == (k, 64 * k, zlib.crc32(ids[256 * k : 256 * k + 256]))
     for s in sequences.values():
@@ -358,6 +389,22 @@ def test_packing_places_every_piece_once(spark, odd):
             used[x] += n
     assert used == counts
     assert packing.plan({30: 5, 34: 5, 20: 3, 44: 1, 24: 2}, 64)[0][1] > 0 and packing.plan({}, 64) == []
+    assert packing.pack_documents(odd.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_complements_take_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(2)
+    for draw in (rng.integers(1, 2049, 3000), rng.integers(300, 1200, 3000), np.clip(rng.lognormal(6, 1, 3000).astype(int), 1, 2048), np.full(999, 700)):
+        counts = np.bincount(draw, minlength=2049)
+        found = packing.plan(dict(Counter(draw.tolist())), 2048)
+        plain = packing._best_fit(counts.copy(), 2048)
+        assert sum(n for _, n in found) <= sum(n for _, n in plain)
+        used = Counter()
+        for pattern, n in found:
+            assert sum(pattern) <= 2048
+            for x in pattern:
+                used[x] += n
+        assert used == Counter(draw.tolist())
 
 
 def test_secrets_base_and_grammar(spark, docs, odd):
