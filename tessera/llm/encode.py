@@ -31,7 +31,7 @@ class Encoder:
     whose id shows where each begins; those that hold the separator go alone.
     """
 
-    def __init__(self, path: str, ordinary: bool = False, keep: int = 250_000):
+    def __init__(self, path: str, ordinary: bool = False, keep: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
