@@ -92,6 +92,7 @@ class Automaton:
     """A probabilistic automaton: for each state, symbol counts (END for the end) and the next state by symbol."""
 
     def __init__(self, count: list[list[int]], next_: list[dict[int, int]]):
+        self.count = count
         seen = np.array(count, float) + 0.1
         self.cost = np.log2(seen / seen.sum(axis=1, keepdims=True)) + SHARE
         self.next = np.tile(np.arange(len(count))[:, None], END + 1)
@@ -170,9 +171,14 @@ def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
 
 
 class Grammar:
-    """Automata by kind, each with the least bits a symbol that nearly all its own examples reach, and the background."""
+    """Automata by kind, each with the least bits a symbol that nearly all its own examples reach, and the background.
 
-    def __init__(self, examples: dict[int, list[bytes]], pairs: np.ndarray, margin: float = 0.15):
+    A candidate is taken if its likelihood under an automaton is above that of the background by more bits than
+    candidates are more frequent than credentials (`credentials` of them), so that the odds are for it, and by `margin`
+    a symbol.
+    """
+
+    def __init__(self, examples: dict[int, list[bytes]], pairs: np.ndarray, credentials: float, margin: float = 0.15):
         self.automata = {}
         for kind, values in examples.items():
             automaton = infer(values)
@@ -180,25 +186,25 @@ class Grammar:
             rates = np.sort(automaton.bits(SYMBOL[np.frombuffer(b"".join(values), np.uint8)], ends - np.diff(ends, prepend=0), ends) / (np.diff(ends, prepend=0) + 1))
             self.automata[kind] = (automaton, float(rates[len(rates) // 50]))
         self.margin = margin
+        self.odds = max(0.0, math.log2((pairs[END].sum() + 1) / (credentials + 1)))
         self.background = np.log2((pairs + 0.5) / (pairs + 0.5).sum(axis=1, keepdims=True)) + SHARE
 
     def scores(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Most bits a symbol above the background among kinds whose examples are no less likely; -inf if there is none."""
+        """Most bits above the background among kinds whose examples are no less likely a symbol; -inf if there is none."""
         out = np.full(len(starts), -np.inf)
         if not len(starts):
             return out
         steps = np.append(self.background[symbols[:-1], symbols[1:]], 0.0)
         total = np.concatenate([[0.0], np.cumsum(steps)])
         plain = total[ends - 1] - total[starts] + self.background[END, symbols[starts]] + self.background[symbols[ends - 1], END]
-        size = ends - starts + 1
         for automaton, least in self.automata.values():
-            rate = automaton.bits(symbols, starts, ends) / size
-            out = np.where(rate >= least, np.maximum(out, rate - plain / size), out)
+            bits = automaton.bits(symbols, starts, ends)
+            out = np.where(bits >= least * (ends - starts + 1), np.maximum(out, bits - plain), out)
         return out
 
     def secret(self, runs: Runs) -> np.ndarray:
-        """Which candidates score the margin or more."""
-        return self.scores(runs.symbols, runs.starts, runs.ends) >= self.margin
+        """Which candidates are taken."""
+        return self.scores(runs.symbols, runs.starts, runs.ends) >= np.maximum(self.odds, self.margin * (runs.ends - runs.starts + 1))
 
 
 def learn(docs: DataFrame, most: int = 400, longest: int = 64) -> Grammar | None:
@@ -211,14 +217,23 @@ def learn(docs: DataFrame, most: int = 400, longest: int = 64) -> Grammar | None
     def run(batches):
         pairs = np.zeros((END + 1, END + 1), np.int64)
         schema = pa.schema([("kind", pa.int32()), ("value", pa.string()), ("n", pa.int64())])
+        counts: dict[tuple[int, str | None], int] = {}
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.int32()), pa.array([v for _, v in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+            counts.clear()
+            return batch
+
         for batch in batches:
             for _, _, data, offsets in text_slices(batch, "text"):
                 runs = Runs(data, offsets)
                 pairs += runs.pairs()
-                found = sorted({(kind, value.decode()) for _, kind, _, _, value in runs.spans if len(value) <= longest})
-                if found:
-                    kind, value = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(value), pa.nulls(len(found), pa.int64())], schema=schema)
+                for _, kind, _, _, value in runs.spans:  # longer ones are counted without their value
+                    key = kind, value.decode() if len(value) <= longest else None
+                    counts[key] = counts.get(key, 0) + 1
+                if len(counts) > 10_000:
+                    yield flush()
+        yield flush()
         some = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(-1 - some, pa.int32()), pa.nulls(len(some), pa.string()), pa.array(pairs.ravel()[some], pa.int64())], schema=schema)
 
@@ -229,10 +244,11 @@ def learn(docs: DataFrame, most: int = 400, longest: int = 64) -> Grammar | None
         pairs[-1 - kind] = n
     examples = {}
     for kind in range(3):
-        values = [r[0].encode() for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").select("value").limit(most).collect()]
+        values = [r[0].encode() for r in found.where((F.col("kind") == kind) & F.col("value").isNotNull()).orderBy(F.xxhash64("value"), "value").select("value").limit(most).collect()]
         if values:
             examples[kind] = values
-    return Grammar(examples, pairs.reshape(END + 1, END + 1)) if examples else None
+    credentials = found.where("kind >= 0").agg(F.sum("n")).first()[0] or 0
+    return Grammar(examples, pairs.reshape(END + 1, END + 1), credentials) if examples else None
 
 
 def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
