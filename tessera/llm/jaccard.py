@@ -238,8 +238,9 @@ def find_links(reps: DataFrame, width: int, percent: int, units: dict[int, np.nd
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), h and kept for every row.
 
+    h is the text's xxhash64; kept says whether (doc_id, h) is the first of its component, or the row is in none.
     Equal sets are one class, of which one text is joined; rows with one doc_id and different texts are different
     documents, and equal rows are one class. Null and empty texts have no shingles and link with nothing: their
     component is their own doc_id. A row with a null doc_id links with nothing and has a null component. A very long
@@ -258,10 +259,24 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     joined = components(links).withColumnRenamed("component", "root")
     named = classes.join(joined, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component"))
+    lowest = named.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("component"))
     return _with_classes(sets, named.join(lowest, "root").select("k1", "k2", "n_shingles", "n", "component"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but the first row of each component: least doc_id, then text hash; one of equal rows.
+
+    Rows without words or doc_id are in no component and stay, repeated ones too. All columns stay, whatever their
+    names; an empty table stays empty.
+    """
+    names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
+    held = docs.toDF(*names).withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64(F.col("text").cast("string"))})
+    keys = similarity_classes(held, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("n_shingles") > 0).alias("_words")).distinct()
+    first = held.join(keys, ["_id", "_h"])
+    first = first.withColumn("_row", F.when(F.col("_words"), F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates(["_id", "_h", "_row"])
+    return first.select(*names).union(held.where("_id is null").select(*names)).toDF(*docs.columns)
+
+
 def _with_classes(sets: DataFrame, named: DataFrame, per_task: int = 20_000) -> DataFrame:
     """Each document with its class's component; a class of very many documents is dealt over salts."""
     salts = F.ceil(F.col("n") / per_task).cast("int")
@@ -270,9 +285,10 @@ def _with_classes(sets: DataFrame, named: DataFrame, per_task: int = 20_000) ->
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("n")
     out = dealt.join(spread, ["k1", "k2", "n_shingles", "salt"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    grouped = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    first = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("h") == F.col("component.h"))
+    return out.select("doc_id", "n_shingles", F.when(grouped, F.col("component.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "h", F.when(grouped, first).otherwise(True).alias("kept"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similarity_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return similarity_classes(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")

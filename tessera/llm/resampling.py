@@ -35,8 +35,8 @@ def log_ratios(docs: DataFrame, target: list[int], smoothing: float = 1.0) -> np
         scanner = Scanner("mixed")
         raw, aimed = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            inside = np.isin(keys, wanted.value)
+            keys = batch.column("doc_id")
+            inside = np.isin(keys.fill_null(0).to_numpy(), wanted.value) & keys.is_valid().to_numpy(zero_copy_only=False)
             for low, high, data, offsets in text_slices(batch, "text"):
                 _, _, prints, first = scanner.scan(data, offsets)
                 bucket, row = _features(prints, first)
@@ -102,36 +102,48 @@ def kth_largest(values: DataFrame, name: str, k: int, most: int = 20_000) -> flo
     return rows[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, loss: float = 0.001, margin: float = 4.0, most: int = 40_000, seed: int = 1) -> tuple[np.ndarray, float | None]:
-    """(log ratios, least Gumbel key of the sample). Half of the labelled sample makes the target model, the other half sets k.
+def weighed(docs: DataFrame, labels: DataFrame, keep: list[str], loss: float = 0.001, margin: float = 4.0, most: int = 40_000, seed: int = 1) -> tuple[DataFrame, float | None]:
+    """(columns `keep` of docs with _weight and _key as a written table, least Gumbel key of the sample).
 
-    k is the number of documents whose weight is at least that of all but `loss` of the held-out good ones, less
-    `margin` for the noise. Without good labelled documents nothing can be told, and all stay (cut None).
+    Half of the labelled sample makes the target model, the other half sets k: the number of documents whose weight is at
+    least that of all but `loss` of the held-out good ones, less `margin` for the noise. Without good labelled documents
+    nothing can be told, and all stay (cut None).
     """
-    known = labelled(labels, most)
-    good = [i for i, q in known.items() if q]
+    good = [i for i, q in labelled(labels, most).items() if q]
     ratios = log_ratios(docs, good[::2])
-    if len(good) < 2:
-        return ratios, None
-    scored = written(docs.select(F.col("doc_id").cast("long"), log_weight(docs, ratios).alias("w")).withColumn("key", gumbel_key(F.col("w"), seed)), "weights")
-    held = docs.sparkSession.createDataFrame([(i,) for i in good[1::2]], "doc_id long")
-    weights = sorted(r[0] for r in scored.join(F.broadcast(held), "doc_id").select("w").limit(2 * most).collect())
-    if not weights:
-        return ratios, None
-    least = weights[int(len(weights) * loss)] - margin
-    return ratios, kth_largest(scored, "key", scored.where(F.col("w") >= least).count())
+    scored = docs.withColumn("_weight", log_weight(docs, ratios)).withColumn("_key", gumbel_key(F.col("_weight"), seed))
+    scored = written(scored.select(*keep, F.col("doc_id").cast("long").alias("_doc"), "_weight", "_key"), "weights")
+    held = docs.sparkSession.createDataFrame([(i,) for i in good[1::2]], "_doc long")
+    known = scored.join(F.broadcast(held), "_doc", "left_semi")  # at most most / 2 ids
+    n = known.count()
+    least = kth_largest(known, "_weight", n - int(n * loss))
+    if least is None:
+        return scored, None
+    return scored, kth_largest(scored, "_key", scored.where(F.col("_weight") >= least - margin).count())
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, **how) -> DataFrame:
-    """docs with log_weight, gumbel_key and kept (the key is among the k largest; ties at the cut all stay).
+def _kept(cut: float | None) -> Column:
+    return F.lit(True) if cut is None else F.col("_key") >= cut
 
-    Null and empty texts weigh 0. Equal rows get equal keys. An empty table gives no rows. Clashing columns are replaced.
+
+def resample(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), **how) -> DataFrame:
+    """Columns `keep` of docs, log_weight, gumbel_key and kept (the key is among the k largest; ties at the cut all stay).
+
+    Null and empty texts weigh 0; very long ones are summed whole. A null doc_id is never a labelled document and has
+    noise like any other value. Equal rows get equal keys; every row of a labelled doc_id counts as labelled. Labels that
+    contradict each other or have a null drop out. Other columns, whatever their names, are kept only if asked for. An
+    empty table gives no rows.
     """
-    ratios, cut = fit(docs, labels, seed=seed, **how)
-    scored = docs.withColumn("log_weight", log_weight(docs, ratios)).withColumn("gumbel_key", gumbel_key(F.col("log_weight"), seed))
-    return scored.withColumn("kept", F.lit(True) if cut is None else F.col("gumbel_key") >= cut)
+    scored, cut = weighed(docs, labels, list(keep), **how)
+    return scored.select(*keep, F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), _kept(cut).alias("kept"))
+
+
+def keep_sample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs without the rows that `resample` does not keep; all columns stay."""
+    names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
+    scored, cut = weighed(docs.toDF(*names), labels, names, **how)
+    return scored.where(_kept(cut)).select(*names).toDF(*docs.columns)
 
 
 def op1_importance_resampling(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -491,6 +491,47 @@ def test_url_rules_and_model(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_resampling_ratios_and_weights_by_hand(spark, odd):
+    """Log ratios, weights and keys against counts in plain Python; nulls, repeated rows, big ids and clashing columns."""
+    rng = random.Random(6)
+    words = "red green blue it's x--y 12 é A.B <tag> end".split()
+    rows = [(2**60 + i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(300)]
+    rows += rows[:5] + [(2**60, "a second text of one id"), (None, "null id red red"), (None, None), (2**60 + 400, "long " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("clash"), "kept": F.lit("clash"), "log_weight": F.lit("clash")})
+    labels = spark.createDataFrame([(2**60 + i, i % 2, 0) for i in range(200)] + [(2**60 + 3, 0, 0), (2**60 + 6, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    known = resampling.labelled(labels)
+    assert known == {2**60 + i: i % 2 == 1 for i in range(200) if i != 3}
+    target = [i for i, q in known.items() if q][::2]
+
+    scanner = resampling.Scanner("mixed")
+
+    def grams(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode())
+        prints = [scanner.scan(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[2][0] for t in tokens]
+        pairs = [resampling.mix(np.array([a * np.uint64(3) + b]))[0] for a, b in zip(prints[:-1], prints[1:], strict=True)]
+        return [int(x >> np.uint64(48)) for x in [*prints, *pairs]]
+
+    with np.errstate(over="ignore"):
+        each = [grams(t) for _, t in rows]
+    raw, aimed = Counter(g for x in each for g in x), Counter(g for (i, _), x in zip(rows, each, strict=True) if i in target for g in x)
+    n, m = sum(raw.values()) + resampling.BUCKETS, sum(aimed.values()) + resampling.BUCKETS
+    ratio = lambda g: math.log((aimed[g] + 1) / m) - math.log((raw[g] + 1) / n)
+    got = resampling.resample(df, labels, most=1000).collect()
+    assert got and set(got[0].asDict()) == {"doc_id", "log_weight", "gumbel_key", "kept"}
+    want = Counter((i, round(sum(map(ratio, x)), 6)) for (i, _), x in zip(rows, each, strict=True))
+    assert Counter((r.doc_id, round(r.log_weight, 6)) for r in got) == want
+    assert len({(r.doc_id, r.gumbel_key) for r in got}) == len({(r.doc_id, r.log_weight) for r in got})
+    # k: as many as weigh no less than the least held-out good one, less the margin
+    held = set([i for i, q in known.items() if q][1::2])
+    good = sorted(r.log_weight for r in got if r.doc_id in held)
+    k = sum(r.log_weight >= good[int(len(good) * 0.001)] - 4.0 for r in got)
+    cut = sorted((r.gumbel_key for r in got), reverse=True)[k - 1]
+    assert all(r.kept == (r.gumbel_key >= cut) for r in got)
+    assert resampling.keep_sample(df, labels).columns == df.columns
+    assert resampling.keep_sample(df, labels).count() == sum(r.kept for r in got)
+    assert resampling.resample(df.limit(0), labels).count() == 0 and resampling.resample(df, labels.limit(0)).where("kept").count() == len(rows)
+
+
 def test_resampling_keeps_good_and_drops_bad(spark, odd):
     sf = "/root/testdata/sf0.1"  # some thousand labels; with a few hundred the cut is laxer, and keeps more
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
