@@ -175,7 +175,7 @@ def test_blocks_and_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "verified", lambda pairs, reps, width, percent: small_group(pairs, reps, width, percent, most=2))
     # a signature that all sets share on top, so that every two meet in blocks
     kept = jaccard.kept_signatures
-    monkeypatch.setattr(jaccard, "kept_signatures", lambda reps, *how: kept(reps, *how).union(reps.select(F.lit(1).cast("long"), "vertex")))
+    monkeypatch.setattr(jaccard, "kept_signatures", lambda reps, *how: kept(reps, *how).union(reps.select(F.lit(1).cast("long"), "vertex", F.lit(1).cast("long"))))
     got = {r.doc_id: r.component_id for r in jaccard.similarity_classes(df, 5, 80).collect()}
     assert got == roots and len(set(roots.values())) < len(rows)
 
