@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import logit, sigmoid, softmax
 from tessera.operators.metrics import clip, threshold_scores
-from tessera.operators.ranking import running
+from tessera.operators.ranking import running, value_bucket
 
 
 def temperature_losses(df: DataFrame, y: str, z: str, grid: list[float]) -> DataFrame:
@@ -63,14 +63,27 @@ def order_statistic(df: DataFrame, value: str, level: Column, by: list[str]) ->
     sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
     place = F.least(F.ceil((F.col("_n") - 1) * F.least(level, F.lit(1.0)) - 1e-12) + 1, F.col("_n"))
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
-    ranked = running(counted, F.floor(F.log1p(F.col(value)) * 16), [F.col(value)], {"_upto": F.col("_k")}, by)
+    ranked = running(counted, value_bucket(value), [F.col(value)], {"_upto": F.col("_k")}, by)
     return ranked.join(sizes, by).where(F.col("_upto") >= place).groupBy(*by).agg(F.min(value).alias("qhat"))
 
 
+def linear_quantile(df: DataFrame, value: str, level: float, by: list[str], name: str = "qhat") -> DataFrame:
+    """by and the interpolated quantile of each group, from counts of distinct values by bucket: no group is held in a task."""
+    sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    ranked = running(counted, value_bucket(value), [F.col(value)], {"_upto": F.col("_k")}, by)
+    joined = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    place = (F.col("_n") - 1) * F.lit(float(level))
+    low, high = F.floor(place + 1e-9) + 1, F.least(F.floor(place + 1e-9) + 2, F.col("_n"))
+    first = lambda at: F.min(F.when(F.col("_upto") >= at, F.col(value)))
+    found = joined.groupBy(*by).agg(first(low).alias("_a"), first(high).alias("_b"), F.first(place - F.floor(place + 1e-9)).alias("_s"))
+    return found.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.greatest("_s", F.lit(0.0))).alias(name))
+
+
 def conformal(df: DataFrame, residual: str, alpha: float, by: list[str], kind: str = "higher") -> DataFrame:
     """qhat of absolute residuals: `higher` quantile of 1 - alpha, its `finite` sample level, or the `linear` one."""
     if kind == "linear":
-        return df.groupBy(*by).agg(F.percentile(residual, F.lit(1 - alpha)).alias("qhat"))
+        return linear_quantile(df, residual, 1 - alpha, by)
     n = F.col("_n")
     level = F.lit(1 - alpha) if kind == "higher" else F.ceil((n + 1) * (1 - alpha)) / n
     return order_statistic(df, residual, level, by)
@@ -92,8 +105,56 @@ def platt(df: DataFrame, y: str, p: str, apply_to: DataFrame | None = None, c: f
 
 
 def isotonic(df: DataFrame, y: str, p: str, apply_to: DataFrame | None = None) -> DataFrame:
-    """`calibrated` by isotonic regression; scores outside the fitted range get its ends."""
+    """`calibrated` by isotonic regression; scores outside the fitted range get its ends.
+
+    Rows are summed by score first, so the fit, which ends in one partition, takes distinct scores with their weights.
+    """
     from pyspark.ml.regression import IsotonicRegression
 
-    model = IsotonicRegression(featuresCol=p, labelCol=y, predictionCol="calibrated").fit(df.withColumn(y, F.col(y).cast("double")))
+    points = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(p).agg(F.avg(F.col(y).cast("double")).alias(y), F.count("*").cast("double").alias("_weight"))
+    model = IsotonicRegression(featuresCol=p, labelCol=y, weightCol="_weight", predictionCol="calibrated").fit(points)
     return model.transform(df if apply_to is None else apply_to)
+
+
+def tempered(df: DataFrame, y: str, p: str, apply_to: DataFrame | None = None) -> DataFrame:
+    """`calibrated` by the temperature of least log loss on df."""
+    t = fit_temperature(df.withColumn("_z", logit(F.col(p))), y, "_z")
+    return (df if apply_to is None else apply_to).withColumn("calibrated", sigmoid(logit(F.col(p)) / t))
+
+
+#: Calibrators by name: each takes (df, y, p, apply_to) and gives apply_to with `calibrated`.
+METHODS = {"none": lambda df, y, p, apply_to=None: (df if apply_to is None else apply_to).withColumn("calibrated", F.col(p)), "temperature": tempered, "platt": platt, "isotonic": isotonic}
+
+
+def cross_calibrated(df: DataFrame, y: str, p: str, apply_to: DataFrame, row_id: str, method: str = "platt", k: int = 5, seed: int = 42) -> DataFrame:
+    """apply_to with `calibrated`: the mean of k calibrators, each fitted on one stratified fold of df."""
+    from tessera.operators.split import k_fold
+    from tessera.sources.shared import written
+
+    folded, out = written(k_fold(df, k, seed, row_id, y), "calibration-folds"), apply_to
+    for fold in range(k):
+        out = METHODS[method](folded.where(F.col("fold") == fold), y, p, out).withColumnRenamed("calibrated", f"_c{fold}")
+    names = [f"_c{i}" for i in range(k)]
+    return out.withColumn("calibrated", sum(map(F.col, names), F.lit(0.0)) / k).drop(*names)
+
+
+def calibration_matrix(fit: DataFrame, test: DataFrame, y: str, sources: dict[str, str], row_id: str, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """Long predictions (source, method, row_id, y, p) on test of each source column under each calibrator fitted on fit."""
+    out = None
+    for source, p in sources.items():
+        for method in methods:
+            part = METHODS[method](fit, y, p, test).select(F.lit(source).alias("source"), F.lit(method).alias("method"), row_id, F.col(y).alias("y"), F.col("calibrated").alias("p"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def deltas(raw: DataFrame, calibrated: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """by and, for each metric, calibrated less raw, and whether it fell."""
+    joined = raw.alias("r").join(calibrated.alias("c"), by)
+    out = [(F.col(f"c.{m}") - F.col(f"r.{m}")).alias(f"{m}_delta") for m in metrics]
+    return joined.select(*by, *out).withColumns({f"{m}_improved": (F.col(f"{m}_delta") < 0).cast("int") for m in metrics})
+
+
+def share_improved(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Share of rows whose metric fell, and the mean delta."""
+    return rows.groupBy(*by).agg(*[F.avg(f"{m}_improved").alias(f"{m}_share") for m in metrics], *[F.avg(f"{m}_delta").alias(f"{m}_delta") for m in metrics])

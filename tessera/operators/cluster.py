@@ -121,6 +121,71 @@ def signature_graph(long: DataFrame) -> DataFrame:
     return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("agree"), F.first(F.size("sa")).alias("m")).select("a", "b", "na", "nb", (F.col("agree") / F.col("m")).alias("similarity"))
 
 
+def candidate_scores(long: DataFrame, truth: DataFrame) -> DataFrame:
+    """candidate, ari, nmi, rand of labelings (candidate, row_id, label) against truth (row_id, y), all from contingency counts."""
+    from tessera.operators.metrics import label_scores
+
+    cells = long.join(truth.select("row_id", "y"), "row_id").groupBy("candidate", "label", "y").agg(F.count("*").alias("n"))
+    return label_scores(cells, "label", "y", by=["candidate"])
+
+
+def ranked_candidates(scores: DataFrame, most: int | None = 5, least: int = 2) -> list[tuple[str, float]]:
+    """(candidate, ari) of the k best, k = max(min(n // 2, most), least), or of all with most None."""
+    rows = [(r["candidate"], r["ari"]) for r in scores.orderBy(F.desc("ari"), "candidate").select("candidate", "ari").collect()]  # candidates
+    return rows if most is None else rows[: max(min(len(rows) // 2, most), least)]
+
+
+def aligned_vote(long: DataFrame, anchor: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """row_id and the majority (or weighted) label of labelings aligned one to one to the anchor's labels."""
+    ref = long.where(F.col("candidate") == anchor).select("row_id", F.col("label").alias("_ref"))
+    cells = long.where(F.col("candidate") != anchor).join(ref, "row_id").groupBy("candidate", "label", "_ref").agg(F.count("*").alias("n"))
+    mapped = long.join(align_optimal(cells, "candidate", "label", "_ref"), ["candidate", "label"], "left")
+    votes = mapped.select("row_id", "candidate", F.coalesce("aligned", F.col("label").cast("long")).alias("label"))
+    if weights is None:
+        return majority_vote(votes)
+    held = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(round(max(v, 0.0), 6)).cast("decimal(9,6)"))])
+    return majority_vote(votes.withColumn("_w", held[F.col("candidate")]), "_w")
+
+
+def consensus_top_k(long: DataFrame, truth: DataFrame, most: int | None = 5, least: int = 2) -> DataFrame:
+    """row_id and label: the aligned vote of the best labelings by ari against truth, the best one as anchor."""
+    chosen = ranked_candidates(candidate_scores(long, truth), most, least)
+    names = [c for c, _ in chosen]
+    return aligned_vote(long.where(F.col("candidate").isin(names)), names[0])
+
+
+def output_control(long: DataFrame, truth: DataFrame) -> DataFrame:
+    """source, config, ari, nmi, rand on test of eight configurations: teacher or student labelings, one or their vote.
+
+    long: source, candidate, row_id, label. truth: row_id, y, split (val or test). single is the candidate of the best
+    validation ari, majority and weighted vote after alignment to it (weights are validation ari), and auto is
+    whichever of the three is best on validation.
+    """
+    from tessera.operators.metrics import label_scores
+
+    out = None
+    for source in [r[0] for r in long.select("source").distinct().orderBy("source").collect()]:  # sources
+        part = long.where(F.col("source") == source).drop("source")
+        best = ranked_candidates(candidate_scores(part, truth.where("split = 'val'")), None)
+        names, anchor = dict(best), best[0][0]
+        made = {
+            "single": part.where(F.col("candidate") == anchor).select("row_id", F.col("label").cast("long").alias("label")),
+            "majority": aligned_vote(part, anchor), "weighted": aligned_vote(part, anchor, names),
+        }
+        rows = None
+        for config, labels in made.items():
+            row = labels.withColumn("config", F.lit(config))
+            rows = row if rows is None else rows.unionByName(row)
+        cells = rows.join(truth, "row_id").groupBy("config", "split", "label", "y").agg(F.count("*").alias("n"))
+        scores = label_scores(cells, "label", "y", by=["config", "split"])
+        order = Window.orderBy(F.desc("ari"), "config")  # three rows
+        auto = scores.where("split = 'val'").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("config")
+        test = scores.where("split = 'test'").drop("split")
+        whole = test.unionByName(test.join(auto, "config", "left_semi").withColumn("config", F.lit("auto"))).withColumn("source", F.lit(source))
+        out = whole if out is None else out.unionByName(whole)
+    return out.select("source", "config", "ari", "nmi", "rand")
+
+
 def knn_join(df: DataFrame, row_id: str, features: list[str], k: int, queries: DataFrame, block: int = 512) -> DataFrame:
     """(query, neighbour, distance) of the k nearest rows of df for each of a stated set of queries, ties by row_id.
 

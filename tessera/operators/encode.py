@@ -62,6 +62,42 @@ def encode(fit: DataFrame, df: DataFrame, names: list[str], unknown: int = -1) -
     return df
 
 
+def encode_split(df: DataFrame, names: list[str], fit_on: str = "train", unknown: int = -1) -> DataFrame:
+    """df (with split) by the categories of its training rows, or with fit_on="all" of all rows, test vocabulary included."""
+    if fit_on not in ("train", "all"):
+        raise ValueError(f"unknown fit_on {fit_on!r}")
+    return encode(df.where("split = 'train'") if fit_on == "train" else df, df, names, unknown)
+
+
+def column_transform(fit: DataFrame, df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """df with nulls, NaN and infinities of numeric columns as 0, and categories as codes of `fit` (null is one, others -1)."""
+    df = df.withColumns({n: F.coalesce(finite(n), F.lit(0.0)) for n in numeric})
+    for name in categorical:
+        df = apply_mapping(df, mapping(fit, name, MISSING_UPPER), name, missing=MISSING_UPPER)
+    return df
+
+
+def numeric_frame(df: DataFrame) -> DataFrame:
+    """Every column as a number: text that does not parse as codes of its sorted values, truth values 0 and 1, nulls and non-finite 0."""
+    text = [n for n, t in df.dtypes if t == "string"]
+    plain = numeric_columns(df, text) if text else []
+    for name in text:
+        if name not in plain:
+            df = apply_mapping(df, mapping(df, name, None), name, missing=None)
+    out = []
+    for name, kind in df.dtypes:
+        number = F.expr(f"try_cast(`{name}` as double)") if kind == "string" else F.col(name).cast("int") if kind == "boolean" else F.col(name)
+        value = F.when(F.isnan(number.cast("double")) | (F.abs(number.cast("double")) == float("inf")), None).otherwise(number)
+        out.append(F.coalesce(value, F.lit(0)).alias(name))
+    return df.select(*out)
+
+
+def final_columns(df: DataFrame, original: list[str], selected: list[str], target: str) -> DataFrame:
+    """The original columns, then selected ones that are not among them, the target last."""
+    names = list(dict.fromkeys([*original, *selected]))
+    return df.select(*[n for n in names if n != target], target)
+
+
 def median_fill(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     """Nulls to the exact median of `fit` (0 if it has none). One row of medians joins."""
     medians = fit.agg(*[F.coalesce(F.percentile(finite(n), F.lit(0.5)), F.lit(0.0)).alias(f"_m_{n}") for n in names])

@@ -13,6 +13,19 @@ def soft_vote(long: DataFrame, row_id: str = "row_id", p: str = "p") -> DataFram
     return long.groupBy(row_id).agg(F.avg(p).alias("vote"))
 
 
+def vote_multiclass(long: DataFrame, classes: list[str], row_id: str, most: int = 3, temperature: float | None = None) -> DataFrame:
+    """row_id, a probability a class and label: the mean of the first `most` models by `rank`, softened by a temperature if given.
+
+    long: row_id, rank (from 1), and a probability column a class. Ties of the label go to the class named first.
+    """
+    mean = long.where(F.col("rank") <= most).groupBy(row_id).agg(*[F.avg(c).alias(c) for c in classes])
+    if temperature is not None:
+        soft = softmax(F.array(*[F.log(F.greatest(F.col(c), F.lit(1e-6))) for c in classes]), temperature)
+        mean = mean.withColumn("_s", soft).select(row_id, *[F.element_at("_s", i + 1).alias(c) for i, c in enumerate(classes)])
+    top = F.greatest(*map(F.col, classes))
+    return mean.withColumn("label", F.coalesce(*[F.when(F.col(c) == top, c) for c in classes]))
+
+
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
     """Weights that sum to one; negative, non-finite or all-zero weights are an error."""
     values = list(weights.values())

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +66,98 @@ def cumulative_product(x: Column, window) -> Column:
     return F.when(some_zero == 1, 0.0).otherwise(sign * F.exp(F.sum(F.log(F.abs(F.nullif(x, F.lit(0.0))))).over(window)))
 
 
-def ewm_mean(x: Column, window_order, alpha: float, reach: int = 64) -> Column:
-    """Weighted mean with weights (1 - alpha)^age over the last `reach` rows; older ones weigh less than (1 - alpha)^reach."""
-    w = window_order.rowsBetween(-(reach - 1), 0)
-    values = F.reverse(F.collect_list(x).over(w))
-    weights = F.transform(values, lambda v, i: F.pow(F.lit(1 - alpha), i))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return total(F.zip_with(values, weights, lambda v, k: v * k)) / total(weights)
+def ewm_mean(df: DataFrame, value: str, by: list[str], order: list[str], alpha: float, name: str = "ewm") -> DataFrame:
+    """df with the weighted mean of all values so far, weights (1 - alpha)^age; ages count rows, those of nulls too, and a null repeats the last mean.
+
+    Rows are cut into blocks so long that a block's weights fit a double: a row sums its own block up to itself and the
+    one before whole. Older ones weigh less than 1e-150 of the row's own value. A group without values so far has null.
+    """
+    block = max(1, int(150 / -math.log10(1 - alpha))) if 0 < alpha < 1 else 1
+    keep = 1 - alpha
+    place = Window.partitionBy(*by).orderBy(*order)
+    at = df.withColumn("_i", F.row_number().over(place) - 1).withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_k", F.col("_i") % block)
+    there = F.col(value).isNotNull().cast("double")
+    own = Window.partitionBy(*by, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy(*by).orderBy("_b").rangeBetween(-1, -1)
+    sums = {}
+    for n, x in (("n", F.coalesce(F.col(value).cast("double"), F.lit(0.0))), ("d", there)):
+        inside = F.sum(x * F.pow(F.lit(keep), -F.col("_k"))).over(own) * F.pow(F.lit(keep), F.col("_k"))
+        before = F.coalesce(F.sum(x * F.pow(F.lit(keep), F.lit(block) - F.col("_k"))).over(last), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k"))
+        sums[f"_{n}"] = inside + before
+    found = at.withColumns(sums).withColumn("_m", F.when(F.col(value).isNotNull(), F.try_divide("_n", "_d")))
+    filled = F.last("_m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn(name, filled).select(*[c for c in df.columns if c != name], name)
+
+
+def dry_run(program: list[Feature], df: DataFrame, row_id: str, k: int = 5, repeats: int = 1, seed: int = 42, target: str | None = None) -> DataFrame:
+    """repeat, fold, rows and the first error of a program on every fold, fitted on the other folds; error is null where all is well.
+
+    A program that does not even resolve gives one row, with repeat and fold null.
+    """
+    from tessera.operators.split import k_fold
+    from tessera.sources.shared import written
+
+    spark = df.sparkSession
+    rows: list[tuple] = []
+    try:
+        apply_program(program, df)
+    except Exception as e:  # noqa: BLE001 - the error is the result
+        return spark.createDataFrame([(None, None, None, _first_line(e))], "repeat int, fold int, rows long, error string")
+    names = [f.name for f in program]
+    for repeat in range(repeats):
+        folded = written(k_fold(df, k, seed + repeat, row_id, target), "dry-run-folds")
+        for fold in range(k):
+            part = folded.where(F.col("fold") == fold)
+            try:
+                seen = apply_program(program, part, folded.where(F.col("fold") != fold)).agg(F.count("*"), *[F.count(n) for n in names]).first()
+                rows.append((repeat, fold, seen[0], None))
+            except Exception as e:  # noqa: BLE001
+                rows.append((repeat, fold, None, _first_line(e)))
+    return spark.createDataFrame(rows, "repeat int, fold int, rows long, error string")
+
+
+def _first_line(error: Exception) -> str:
+    return str(error).strip().splitlines()[0][:200]
+
+
+def top_intersection(ranks: list[dict[str, float]], most: int = 7) -> list[str]:
+    """Names among the `most` highest of every screen, in the order of the first; none may be left."""
+    tops = [sorted(r, key=lambda n: (-r[n], n))[:most] for r in ranks]
+    return [n for n in tops[0] if all(n in t for t in tops[1:])]
+
+
+#: User functions by name: features (series to series) and metrics (y, p to a number).
+FEATURE_FUNCTIONS: dict[str, object] = {}
+METRIC_FUNCTIONS: dict[str, object] = {}
+
+
+def feature_function(name: str, f) -> None:
+    """Registers a function of pandas series as a feature; Spark calls it on Arrow batches."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return f(*columns)
+
+    FEATURE_FUNCTIONS[name] = run
+
+
+def apply_feature(df: DataFrame, name: str, columns: list[str], to: str) -> DataFrame:
+    """df with a registered function of the columns."""
+    return df.withColumn(to, F.pandas_udf(FEATURE_FUNCTIONS[name], "double")(*map(F.col, columns)))
+
+
+def metric_function(name: str, sums: dict[str, object], finish) -> None:
+    """Registers a metric that adds up: `sums` are functions of (y, p) columns whose sums, and the count `n`, go to `finish`.
+
+    As only sums meet, a metric of any number of rows is no single task's work.
+    """
+    METRIC_FUNCTIONS[name] = (sums, finish)
+
+
+def apply_metric(df: DataFrame, name: str, y: str, p: str, by: list[str]) -> DataFrame:
+    """by and the registered metric of each group."""
+    sums, finish = METRIC_FUNCTIONS[name]
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(f(F.col(y), F.col(p))).alias(k) for k, f in sums.items()])
+    return out.select(*by, finish(F.col("n"), **{k: F.col(k) for k in sums}).alias(name))
 
 
 def lineage(programs: DataFrame, code: str = "code") -> DataFrame:
@@ -106,10 +193,10 @@ def split_gain(df: DataFrame, names: list[str]) -> DataFrame:
 
     Cuts lie between distinct values; sums before a cut are running sums over distinct values.
     """
-    from tessera.operators.ranking import running
+    from tessera.operators.ranking import running, value_bucket
 
     long = df.unpivot([], names, "name", "x").where("x is not null").groupBy("name", "x").agg(F.count("*").alias("n"))
-    sums = running(long, F.floor(F.col("x") * 16), [F.col("x")], {"k": F.col("n"), "s": F.col("n") * F.col("x")}, ["name"])
+    sums = running(long, value_bucket("x"), [F.col("x")], {"k": F.col("n"), "s": F.col("n") * F.col("x")}, ["name"])
     total = long.groupBy("name").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("x")).alias("whole"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("squares"))
     joined = sums.join(total, "name").where("k < rows")
     part = F.pow("s", 2) / F.col("k") + F.pow(F.col("whole") - F.col("s"), 2) / (F.col("rows") - F.col("k")) - F.pow("whole", 2) / F.col("rows")

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import running
-
-SCORE_BUCKETS = 4096
-
-
-def _bucket(p: str) -> Column:
-    """Monotone in p; probabilities spread over many buckets, other scores over two."""
-    return F.greatest(F.lit(-1), F.least(F.lit(SCORE_BUCKETS), F.floor(F.col(p) * SCORE_BUCKETS)))
+from tessera.operators.ranking import running, value_bucket
 
 
 def _by_score(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
@@ -23,7 +16,7 @@ def _by_score(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """auc by the rank sum with half credit for ties; null with a single class."""
     by = by or []
-    scores = running(_by_score(df, y, p, by), _bucket(p), [F.col(p)], {"_below": F.col("_neg")}, by)
+    scores = running(_by_score(df, y, p, by), value_bucket(p), [F.col(p)], {"_below": F.col("_neg")}, by)
     won = F.sum(F.col("_pos") * (F.col("_below") - F.col("_neg") / 2.0))
     return scores.groupBy(*by).agg(F.try_divide(won, (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"))
 
@@ -31,7 +24,7 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = No
 def average_precision(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """pr_auc as the step sum over falling scores of recall gain times precision; null without positives."""
     by = by or []
-    scores = running(_by_score(df, y, p, by), -_bucket(p), [F.col(p).desc()], {"_tp": F.col("_pos"), "_all": F.col("_pos") + F.col("_neg")}, by)
+    scores = running(_by_score(df, y, p, by), -value_bucket(p), [F.col(p).desc()], {"_tp": F.col("_pos"), "_all": F.col("_pos") + F.col("_neg")}, by)
     return scores.groupBy(*by).agg(F.try_divide(F.sum(F.col("_pos") * F.col("_tp") / F.col("_all")), F.sum("_pos").cast("double")).alias("pr_auc"))
 
 
@@ -159,7 +152,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
 
     def ranks(name: str, to: str) -> DataFrame:
         values = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, name).agg(F.count("*").alias("_n"))
-        lows = running(values, F.floor(F.col(name) * 64), [F.col(name)], {"_upto": F.col("_n")}, by)
+        lows = running(values, value_bucket(name), [F.col(name)], {"_upto": F.col("_n")}, by)
         return lows.select(*by, F.col(name).alias(f"_{to}"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(to))
 
     ra, rb = ranks(a, "ra"), ranks(b, "rb")
@@ -193,7 +186,7 @@ def top_overlap(df: DataFrame, a: str, b: str, row_id: str, share: float = 0.1,
     k = max(1, -(-int(round(n * share * 1e9)) // 10**9) if up else int(n * share + 0.5))
     tops = []
     for name in (a, b):
-        ranked = running(df.select(row_id, name), -_bucket(name), [F.col(name).desc(), F.col(row_id)], {"_rank": F.lit(1)})
+        ranked = running(df.select(row_id, name), -value_bucket(name), [F.col(name).desc(), F.col(row_id)], {"_rank": F.lit(1)})
         tops.append(ranked.where(F.col("_rank") <= k).select(row_id))
     return tops[0].join(tops[1], row_id, "left_semi").agg((F.count("*") / F.lit(float(k))).alias("top_overlap"))
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
-from tessera.operators.split import class_weight, k_fold
+from tessera.operators.split import class_weight, k_fold, stratified_split
+from tessera.sources.shared import written
 
 
 def classifiers(seed: int) -> dict:
@@ -35,7 +36,7 @@ def regressors(seed: int) -> dict:
         "lasso": MR.LinearRegression(regParam=1.0, elasticNetParam=1.0, **common),
         "elastic": MR.LinearRegression(regParam=1.0, elasticNetParam=0.5, **common),
         "huber": MR.LinearRegression(loss="huber", regParam=0.1, **common),
-        "poisson": MR.GeneralizedLinearRegression(family="gaussian", link="identity", regParam=0.1, **common),
+        "poisson": MR.GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, maxIter=25, **common),
     }
 
 
@@ -75,30 +76,52 @@ def candidate_table(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 def out_of_fold(pool: dict, df: DataFrame, row_id: str, k: int, seed: int, target: str | None = "y") -> DataFrame:
     """Long predictions (row_id, y, model, p) where each row's model never saw the row's fold."""
-    folded = k_fold(df, k, seed, row_id, target).persist()
+    folded = written(k_fold(df, k, seed, row_id, target), "folds")
     out = None
     for fold in range(k):
         part = fit_pool(pool, folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold), [row_id, "y"])
         out = part if out is None else out.unionByName(part)
-    return out
+    return written(out, "out-of-fold")
 
 
 def wide(long: DataFrame, row_id: str, models: list[str]) -> DataFrame:
     return long.groupBy(row_id, "y").pivot("model", models).agg(F.first("p"))
 
 
-def stack(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 3, seed: int = 42) -> DataFrame:
+def meta_classifier(train: DataFrame, names: list[str], regularisation: float = 0.01):
+    """A balanced logistic meta model on prediction columns of a table with y."""
+    return MC.LogisticRegression(featuresCol="features", labelCol="y", regParam=regularisation, maxIter=20, weightCol="weight").fit(class_weight(assembled(train, names), "y"))
+
+
+def tuned_meta_classifier(train: DataFrame, names: list[str], row_id: str, k: int = 5, repeats: int = 1, seed: int = 42, grid: tuple[float, ...] = (0.1, 0.01, 0.001)):
+    """The same with the strength of regularisation of the least log loss over (repeated) stratified folds."""
+    table_ = written(assembled(train, names), "meta-features")
+    losses = dict.fromkeys(grid, 0.0)
+    for repeat in range(repeats):
+        folded = written(k_fold(class_weight(table_, "y"), k, seed + repeat, row_id, "y"), "meta-folds")
+        for c in grid:
+            parts = None
+            for fold in range(k):
+                model = MC.LogisticRegression(featuresCol="features", labelCol="y", regParam=c, maxIter=20, weightCol="weight").fit(folded.where(F.col("fold") != fold))
+                part = scored(model, folded.where(F.col("fold") == fold), ["y"])
+                parts = part if parts is None else parts.unionByName(part)
+            losses[c] += M.probability_scores(parts).first()["log_loss"]
+    return meta_classifier(train, names, min(grid, key=lambda c: (losses[c], -c)))
+
+
+def stack(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 5, seed: int = 42, tune: bool = True) -> DataFrame:
     """row_id, y, p on test: a logistic meta model on out-of-fold probabilities, bases refitted on all of fit.
 
-    Test labels are carried but never used, so changing them changes nothing else.
+    Test labels are carried but never used, so changing them changes nothing else. Out-of-fold predictions are a written
+    table, as the meta model reads them several times.
     """
     names = list(pool)
-    oof = wide(out_of_fold(pool, fit, row_id, k, seed), row_id, names)
-    meta = MC.LogisticRegression(featuresCol="features", labelCol="y", regParam=0.01, maxIter=20, weightCol="weight").fit(class_weight(assembled(oof, names), "y"))
+    oof = written(wide(out_of_fold(pool, fit, row_id, k, seed), row_id, names), "stack-features")
+    meta = tuned_meta_classifier(oof, names, row_id, k, seed=seed) if tune else meta_classifier(oof, names)
     return scored(meta, assembled(wide(fit_pool(pool, fit, test, [row_id, "y"]), row_id, names), names), [row_id, "y"])
 
 
-def stack_regression(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 3, seed: int = 42) -> DataFrame:
+def stack_regression(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 5, seed: int = 42) -> DataFrame:
     """The same with a ridge meta model."""
     names = list(pool)
     oof = wide(out_of_fold(pool, fit, row_id, k, seed, None), row_id, names)
@@ -106,6 +129,123 @@ def stack_regression(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k
     return scored(meta, assembled(wide(fit_pool(pool, fit, test, [row_id, "y"]), row_id, names), names), [row_id, "y"])
 
 
+def stack_given(train: DataFrame, test: DataFrame, names: list[str], row_id: str, regression: bool = False) -> DataFrame:
+    """row_id, y, p of a meta model on given prediction columns: balanced logistic or ridge; a single column passes through."""
+    if len(names) == 1:
+        return test.select(row_id, "y", F.col(names[0]).alias("p"))
+    if regression:
+        meta = MR.LinearRegression(featuresCol="features", labelCol="y", regParam=1.0).fit(assembled(train, names))
+    else:
+        meta = meta_classifier(train, names)
+    return scored(meta, assembled(test, names), [row_id, "y"])
+
+
+def stack_cached(val: DataFrame, test: DataFrame, names: list[str], row_id: str, cut: float = 0.995, most: int = 5) -> tuple[list[str], DataFrame]:
+    """(columns taken, stack_given by them): cached predictions in ranked order, without near copies of one taken before; fitted on validation."""
+    from tessera.operators.tables import greedy_uncorrelated
+
+    taken = greedy_uncorrelated(val, names, cut, most)
+    return taken, stack_given(val, test, taken, row_id)
+
+
+def class_probabilities(model, df: DataFrame, keep: list[str], classes: int) -> DataFrame:
+    """keep and p, the array of class probabilities."""
+    return model.transform(df).select(*keep, F.slice(vector_to_array("probability"), 1, classes).alias("p"))
+
+
+def multiclass_pool(seed: int) -> dict:
+    common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
+    return {
+        "forest": MC.RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common),
+        "logistic": MC.LogisticRegression(family="multinomial", regParam=0.01, maxIter=20, **common),
+        "tree": MC.DecisionTreeClassifier(maxDepth=5, seed=seed, **common),
+    }
+
+
+def fit_multiclass(pool: dict, fit: DataFrame, other: DataFrame, keep: list[str], classes: int) -> DataFrame:
+    """Long predictions (keep, model, p: an array a class) on `other`."""
+    out = None
+    for name, estimator in pool.items():
+        part = class_probabilities(estimator.fit(fit), other, keep, classes).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stack_multiclass(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, classes: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """row_id, y, p (array) and label on test: blocks of class probabilities of out-of-fold bases feed a multinomial meta model.
+
+    y is a class code from 0 to classes - 1; codes are the places of p, so bases that miss a class in a fold stay aligned.
+    """
+    folded, oof = written(k_fold(fit, k, seed, row_id, "y"), "folds"), None
+    for fold in range(k):
+        part = fit_multiclass(pool, folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold), [row_id, "y"], classes)
+        oof = part if oof is None else oof.unionByName(part)
+
+    def blocks(long: DataFrame) -> DataFrame:
+        pivoted = long.groupBy(row_id, "y").pivot("model", list(pool)).agg(F.first("p"))
+        padded = lambda m: F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0.0)))
+        return pivoted.withColumn("features", array_to_vector(F.flatten(F.array(*[padded(m) for m in pool])))).drop(*pool)
+
+    train = written(class_weight(blocks(oof), "y"), "stack-features")
+    meta = MC.LogisticRegression(family="multinomial", featuresCol="features", labelCol="y", weightCol="weight", regParam=0.01, maxIter=30).fit(train)
+    out = class_probabilities(meta, blocks(fit_multiclass(pool, fit, test, [row_id, "y"], classes)), [row_id, "y"], classes)
+    return out.withColumn("label", F.array_position("p", F.array_max("p")).cast("int") - 1)
+
+
+def repeated_holdout(df: DataFrame, score, row_id: str, target: str, repeats: int, seed: int, val_size: float = 0.25) -> DataFrame:
+    """repeat and score(train, val) over stratified re-splits of a development set, seeds from `seed`."""
+    rows = []
+    for r in range(repeats):
+        parts = written(stratified_split(df, target, val_size, seed + r, row_id, ("train", "val")), "holdout")
+        rows.append((r, float(score(parts.where("split = 'train'"), parts.where("split = 'val'")))))
+    return df.sparkSession.createDataFrame(rows, "repeat int, score double")
+
+
+def revise(base: dict, neighbours: list[dict], score, higher: bool = True) -> tuple[dict, list[tuple[dict, float, bool]]]:
+    """(parameters kept, every try with its score and whether it was kept): a neighbour is kept only if it improves the validation score."""
+    best, tried = base, [(base, float(score(base)), True)]
+    value = tried[0][1]
+    for change in neighbours:
+        candidate = best | change
+        found = float(score(candidate))
+        better = found > value if higher else found < value
+        tried.append((candidate, found, better))
+        if better:
+            best, value = candidate, found
+    return best, tried
+
+
+def first_usable(candidates: list[tuple[str, object]], build, usable, fallback: list[tuple[str, object]]) -> tuple[str, object, list[tuple[str, str]]]:
+    """(name, result, log) of the first ranked candidate that builds and is usable; then of the fallback ones; an error if none is.
+
+    The log has a row a candidate that was tried: used, unusable, or its error.
+    """
+    log: list[tuple[str, str]] = []
+    for name, candidate in [*candidates, *fallback]:
+        try:
+            result = build(candidate)
+        except Exception as e:  # noqa: BLE001 - a candidate that fails is passed over
+            log.append((name, type(e).__name__))
+            continue
+        if usable(result):
+            log.append((name, "used"))
+            return name, result, log
+        log.append((name, "unusable"))
+    raise ValueError(f"no candidate is usable: {log}")
+
+
+def with_and_without(df: DataFrame, base: list[str], added: list[str], row_id: str, keys: dict[str, str], seed: int = 42) -> DataFrame:
+    """keys, method (base, generated), accuracy: the same model fitted on the training rows without and with added features."""
+    out = None
+    for method, features in (("base", base), ("generated", [*base, *added])):
+        parts = written(assembled(df, features).select(row_id, "y", "split", "features"), "method")
+        model = MC.RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed, featuresCol="features", labelCol="y").fit(parts.where("split <> 'test'"))
+        row = M.confusion(scored(model, parts.where("split = 'test'"), [row_id, "y"])).select("accuracy")
+        row = row.select(*[F.lit(v).alias(k) for k, v in keys.items()], F.lit(method).alias("method"), "accuracy")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def distill(teacher: DataFrame, student, fit: DataFrame, test: DataFrame, row_id: str) -> DataFrame:
     """row_id, y, p of a student that learns the teacher's hard labels (p >= 0.5), or the true ones if those are all alike."""
     labelled = fit.drop("y").join(teacher.select(row_id, (F.col("p") >= 0.5).cast("int").alias("y")), row_id)
@@ -127,6 +267,37 @@ def clusterers(k: int, seed: int) -> dict:
     }
 
 
+def light_clusterers(k: int, seed: int) -> dict:
+    """Few iterations from a random start in place of mini batches, and a divided tree in place of a clustering-feature tree."""
+    return {
+        "minibatch": ML.KMeans(k=k, seed=seed, maxIter=5, initMode="random", featuresCol="features", predictionCol="label"),
+        "birch": ML.BisectingKMeans(k=k, seed=seed, minDivisibleClusterSize=2.0, featuresCol="features", predictionCol="label"),
+    }
+
+
+def teacher_candidates(fit: DataFrame, val: DataFrame, truth: str, sizes: list[int], seed: int) -> DataFrame:
+    """candidate, k, ari, nmi, rand on validation of every clusterer and size; the input of a ranking."""
+    out = None
+    for k in sizes:
+        for name, estimator in (clusterers(k, seed) | light_clusterers(k, seed)).items():
+            labelled = estimator.fit(fit).transform(val)
+            row = M.label_scores(M.contingency(labelled, truth, "label"), truth, "label").select(F.lit(name).alias("candidate"), F.lit(k).alias("k"), "ari", "nmi", "rand")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def raw_or_scaled(df: DataFrame, raw: str, truth: str, k: int, seed: int) -> tuple[str, DataFrame]:
+    """(raw or scaled, ari of both): standardised features only if k-means agrees better with the truth on them."""
+    out = None
+    for name in ("raw", "scaled"):
+        v = df.withColumnRenamed(raw, "features") if name == "raw" else StandardScaler(inputCol=raw, outputCol="features", withMean=True).fit(df).transform(df)
+        labelled = clusterers(k, seed)["kmeans"].fit(v).transform(v)
+        row = M.label_scores(M.contingency(labelled, truth, "label"), truth, "label").select(F.lit(name).alias("features"), "ari")
+        out = row if out is None else out.unionByName(row)
+    out = written(out, "features-ari")
+    return out.orderBy(F.desc("ari"), "features").first()["features"], out
+
+
 def importances(df: DataFrame, features: list[str], seed: int = 42) -> dict[str, float]:
     """A forest's importance of each feature of a table with y."""
     model = MC.RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, featuresCol="features", labelCol="y").fit(assembled(df, features))

@@ -32,6 +32,22 @@ def running(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str,
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[(F.col(f"l.{n}") + F.col(f"r.{v}")).alias(n) for n, v in names.items()])
 
 
+def value_bucket(name: str, steps: int = 1024) -> Column:
+    """A bucket that does not decrease along a numeric column: `steps` to each power of two, so any range of values spreads.
+
+    The number of buckets follows from the powers of two that the values span (some ten thousand for most columns),
+    whatever the number of rows. A rounding of the logarithm moves no value past another, as the steps join up.
+    """
+    x = F.col(name).cast("double")
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    step = F.floor((size / F.pow(F.lit(2.0), power) - 1) * steps)
+    code = (power + 1100) * steps + step
+    top = 3000 * steps
+    finite = F.when(size == float("inf"), top).when(x == 0, 0).otherwise(code)
+    return F.when(F.isnan(x), top + 1).otherwise(F.signum(x) * finite).cast("long")
+
+
 def hash_rank(df: DataFrame, seed: int, row_id: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """df with each row's place (from 1) in the order of its hash, then row_id, within `by`. Hashes are even, so buckets are too."""
     hashed = df.withColumn("_h", row_hash(seed, row_id))

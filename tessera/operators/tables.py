@@ -32,10 +32,40 @@ def win_tie_loss(df: DataFrame, base: DataFrame, keys: list[str], by: list[str],
 
 
 def best_per_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group in `order`: partial maxima could not carry whole rows cheaper than this window."""
+    """The first row of each group in `order`. Spark cuts every group to its first row inside each partition before the
+    shuffle (WindowGroupLimit), so a group sends a row a partition, however many it has."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def class_cap(df: DataFrame, target: str, most: int) -> DataFrame:
+    """Rows of the first `most` classes in their order."""
+    return df.join(df.select(target).distinct().orderBy(target).limit(most), target, "left_semi").select(*df.columns)
+
+
+def row_cap(df: DataFrame, most: int, seed: int, row_id: str) -> DataFrame:
+    """The `most` rows of the least hash: counts by hash bucket find the bucket in which the last one lies, only that one is sorted."""
+    from tessera.operators.ranking import HASH_BUCKETS
+
+    width = (1 << 32) // HASH_BUCKETS
+    hashed = df.withColumn("_h", row_hash(seed, row_id))
+    counts = sorted((r[0], r[1]) for r in hashed.groupBy(F.floor(F.col("_h") / width).alias("b")).count().collect())  # HASH_BUCKETS rows
+    before = 0
+    for bucket, n in counts:
+        if before + n > most:
+            edge = hashed.where((F.col("_h") >= bucket * width) & (F.col("_h") < (bucket + 1) * width)).orderBy("_h", row_id).limit(most - before)
+            return hashed.where(F.col("_h") < bucket * width).unionByName(edge).drop("_h")
+        before += n
+    return df
+
+
+def merge_by_keys(records: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """records with the values of `extra` that are there for their keys; its other columns are added, null where it has no row."""
+    shared = [c for c in records.columns if c in extra.columns and c not in keys]
+    named = extra.withColumnsRenamed({c: f"_new_{c}" for c in shared})
+    joined = records.join(named, keys, "left")
+    return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in shared}).drop(*[f"_new_{c}" for c in shared]).select(*records.columns, *[c for c in extra.columns if c not in keys and c not in shared])
+
+
 def min_max(df: DataFrame, by: list[str], value: str, higher: bool, to: str = "score") -> DataFrame:
     """Values scaled to [0, 1] inside each group, 1 the best; a group without spread gives 1."""
     w = Window.partitionBy(*by)

@@ -109,9 +109,9 @@ def _(spark, d):
 
 
 @query("fea10_ewm", f"""{_EV}, r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e)
- SELECT a.event_id, round(sum(b.value * power(0.5, a.i - b.i)) / sum(power(0.5, a.i - b.i)), 6) AS ewm FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i AND b.i > a.i - 64 GROUP BY a.event_id""")
+ SELECT a.event_id, round(sum(b.value * power(0.5, a.i - b.i)) / sum(power(0.5, a.i - b.i)), 6) AS ewm FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id""")
 def _(spark, d):
-    return rounded(_ev(spark, d).select("event_id", P.ewm_mean(F.col("value"), Window.partitionBy("user_id").orderBy("ts", "event_id"), 0.5).alias("ewm")))
+    return rounded(P.ewm_mean(_ev(spark, d), "value", ["user_id"], ["ts", "event_id"], 0.5).select("event_id", "ewm"))
 
 
 @query("fea11_time_parts", "SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS week, count(*) AS n, round(avg(month(o_orderdate)), 6) AS month, round(avg(dayofweek(o_orderdate) + 1), 6) AS dow FROM orders GROUP BY 1")

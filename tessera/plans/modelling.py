@@ -14,11 +14,12 @@ from tessera.operators import models as L
 from tessera.operators.encode import encode
 from tessera.operators.split import class_weight, stratified_split, three_way_split
 from tessera.plans.base import query, table
+from tessera.sources.shared import written
 
 BASE = ["price", "customer", "month", "priority"]
 
 
-def _task(spark, d) -> DataFrame:
+def order_task(spark, d) -> DataFrame:
     """Orders as a binary task: is the status F? Row id, four features and their strongest interaction."""
     o = table(spark, d, "orders")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 1000).alias("customer"))
@@ -29,23 +30,24 @@ def _task(spark, d) -> DataFrame:
     return encode(t, t, ["priority"]).withColumn("priority", F.col("priority").cast("double")).withColumn("price_month", F.col("price") * F.col("month"))
 
 
-def _parts(spark, d, features=None, weight=True):
-    t = L.assembled(_task(spark, d), features or BASE)
-    parts = three_way_split(class_weight(t, "y") if weight else t, "y", 42, "row_id").persist()
+def order_parts(spark, d, features=None, weight=True):
+    t = L.assembled(order_task(spark, d), features or BASE)
+    parts = written(three_way_split(class_weight(t, "y") if weight else t, "y", 42, "row_id"), "order-parts")
     return [parts.where(F.col("split") == s) for s in ("fit", "val", "test")]
 
 
 @query("mod2_candidates")
 def _(spark, d):
     """Validation metrics of each classifier of the pool."""
-    fit, val, _ = _parts(spark, d)
+    fit, val, _ = order_parts(spark, d)
     return L.candidate_table(L.fit_pool(L.classifiers(42), fit, val, ["row_id", "y"]), ["model"])
 
 
 def _prices(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.avg("l_extendedprice").alias("e"), F.avg("l_discount").alias("dc"))
     o = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1000).alias("y"), "q", "e", "dc", F.col("o_orderstatus"))
-    parts = stratified_split(L.assembled(o, ["q", "e", "dc"]), "o_orderstatus", 0.25, 42, "row_id", ("fit", "test")).persist()
+    parts = stratified_split(L.assembled(o, ["q", "e", "dc"]), "o_orderstatus", 0.25, 42, "row_id", ("fit", "test"))
+    parts = written(parts, "price-parts")
     return [parts.where(F.col("split") == s) for s in ("fit", "test")]
 
 
@@ -63,19 +65,19 @@ def _(spark, d):
 
     from tessera.operators.split import k_fold
 
-    fit, val, _ = _parts(spark, d)
+    fit, val, _ = order_parts(spark, d)
     forest = MC.RandomForestClassifier(numTrees=10, seed=42, featuresCol="features", labelCol="y", weightCol="weight")
     grid = ParamGridBuilder().addGrid(forest.maxDepth, [3, 5]).addGrid(forest.minInstancesPerNode, [1, 5]).build()
-    folds = k_fold(fit, 3, 42, "row_id", "y")
-    cv = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="f1"), numFolds=3, foldCol="fold", parallelism=4)
+    folds = written(k_fold(fit, 5, 42, "row_id", "y"), "folds")
+    cv = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="f1"), numFolds=5, foldCol="fold", parallelism=4)
     return M.confusion(L.scored(cv.fit(folds).bestModel, val, ["row_id", "y"]))
 
 
 @query("stk1_stacking")
 def _(spark, d):
-    fit, _, test = _parts(spark, d)
-    pool = {n: m for n, m in L.classifiers(42).items() if n in ("forest", "logistic", "tree")}
-    return L.stack(pool, fit, test, "row_id").select("row_id", "y", "p")
+    """The whole pool out of fold (five folds), and a meta model tuned over its own stratified folds."""
+    fit, _, test = order_parts(spark, d)
+    return L.stack(L.classifiers(42), fit, test, "row_id").select("row_id", "y", "p")
 
 
 @query("stk3_stacking_regression")
@@ -87,7 +89,7 @@ def _(spark, d):
 
 @query("dis1_hard_labels")
 def _(spark, d):
-    fit, _, test = _parts(spark, d)
+    fit, _, test = order_parts(spark, d)
     teacher = L.fit_pool({"t": L.classifiers(42)["boosted"]}, fit, fit, ["row_id", "y"])
     student = MC.DecisionTreeClassifier(maxDepth=3, featuresCol="features", labelCol="y", seed=42)
     return L.distill(teacher, student, fit, test, "row_id")
@@ -138,7 +140,7 @@ def _(spark, d):
 
 @query("fsel1_importance")
 def _(spark, d):
-    found = L.importances(_task(spark, d), [*BASE, "price_month"])
+    found = L.importances(order_task(spark, d), [*BASE, "price_month"])
     return spark.createDataFrame(list(found.items()), "name string, importance double")
 
 
@@ -147,31 +149,36 @@ def _(spark, d):
     """Fall of the validation auc when a feature is left out; one fit a feature."""
     rows = []
     for left in (None, *BASE):
-        fit, val, _ = _parts(spark, d, [f for f in BASE if f != left])
+        fit, val, _ = order_parts(spark, d, [f for f in BASE if f != left])
         auc = M.roc_auc(L.fit_pool({"m": L.classifiers(42)["logistic"]}, fit, val, ["row_id", "y"])).first()[0]
         rows.append((left, auc))
     whole = rows[0][1]
     return spark.createDataFrame([(n, whole - a) for n, a in rows[1:]], "name string, drop double")
 
 
-def flagship(spark, d) -> DataFrame:
-    """metric, value on test of the calibrated stack, and which feature route and models won on validation."""
+def flagship(spark, d, task: DataFrame | None = None) -> DataFrame:
+    """metric, value on test of the calibrated stack, and which feature route and models won on validation.
+
+    Every classifier of the pool competes on both routes; the best two of the better route are stacked, tuned out of
+    fold, and calibrated on validation.
+    """
     routes = {"raw": BASE, "interaction": [*BASE, "price_month"]}
-    pool = {n: m for n, m in L.classifiers(42).items() if n in ("logistic", "tree")}
-    task = _task(spark, d).persist()
+    pool = L.classifiers(42)
+    task = written(order_task(spark, d) if task is None else task, "task")
     best = None
     for route, features in routes.items():
         if not P.within_budget(BASE, features[len(BASE) :]):
             continue
-        parts = three_way_split(class_weight(L.assembled(task, features), "y"), "y", 42, "row_id").persist()
+        parts = written(three_way_split(class_weight(L.assembled(task, features), "y"), "y", 42, "row_id"), "route")
         fit, val, test = (parts.where(F.col("split") == s) for s in ("fit", "val", "test"))
-        scores = L.candidate_table(L.fit_pool(pool, fit, val, ["row_id", "y"]), ["model"]).orderBy(F.col("auc").desc(), "model").collect()
+        predicted = written(L.fit_pool(pool, fit, val, ["row_id", "y"]), "candidates")
+        scores = L.candidate_table(predicted, ["model"]).orderBy(F.col("auc").desc(), "model").collect()  # models
         if best is None or scores[0]["auc"] > best[1]:
             best = (route, scores[0]["auc"], [r["model"] for r in scores[:2]], fit, val, test)
     route, auc, names, fit, val, test = best
-    chosen = {n: pool[n] for n in names}
-    raw = L.stack(chosen, fit, val.unionByName(test), "row_id").join(val.select("row_id", F.lit(True).alias("v")), "row_id", "left").persist()
-    calibrated = C.platt(raw.where("v"), "y", "p", raw.where("v is null"))
+    raw = L.stack({n: pool[n] for n in names}, fit, val.unionByName(test), "row_id", k=3, tune=False)
+    raw = written(raw.join(val.select("row_id", F.lit(True).alias("v")), "row_id", "left"), "stacked")
+    calibrated = written(C.platt(raw.where("v"), "y", "p", raw.where("v is null")).select("y", "calibrated"), "calibrated")
     table_ = M.roc_auc(calibrated, p="calibrated").crossJoin(M.average_precision(calibrated, p="calibrated")).crossJoin(M.probability_scores(calibrated, p="calibrated")).crossJoin(M.ece(calibrated, p="calibrated"))
     table_ = table_.crossJoin(M.confusion(calibrated, p="calibrated").select("accuracy", "balanced_accuracy", "f1"))  # single rows
     names_ = table_.columns

@@ -23,16 +23,22 @@ def task_csv(spark: SparkSession, paths: str | list[str], target: str | None = N
     return df.select(*features, target), TableSpec(tuple(features), target, categorical=tuple(c for c in features if kinds[c] == "string"))
 
 
-def first_that_exists(spark: SparkSession, candidates: list[str], **options) -> DataFrame:
+def first_path(spark: SparkSession, candidates: list[str]) -> str:
     """The first candidate path that Spark can read as CSV."""
     for path in candidates:
         try:
-            return spark.read.options(**options).csv(path, header=True)
+            spark.read.csv(path, header=True)
         except AnalysisException:
             continue
+        return path
     raise FileNotFoundError(f"none of {candidates}")
 
 
+def first_that_exists(spark: SparkSession, candidates: list[str], **options) -> DataFrame:
+    """The table at the first candidate path that Spark can read as CSV."""
+    return spark.read.options(**options).csv(first_path(spark, candidates), header=True)
+
+
 def csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV of a declared schema, empty if it is not there."""
     try:
