@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import logit, sigmoid, softmax
 from tessera.operators.metrics import clip, threshold_scores
-from tessera.operators.ranking import running, value_bucket
+from tessera.operators.ranking import linear_quantiles, running, step_count, value_bucket
 
 
 def temperature_losses(df: DataFrame, y: str, z: str, grid: list[float]) -> DataFrame:
@@ -41,10 +41,10 @@ def multiclass_temperature_losses(df: DataFrame, y: str, probabilities: dict[str
 def threshold_table(df: DataFrame, y: str, p: str, grid: list[float], by: list[str] | None = None) -> DataFrame:
     """Scores at each threshold of a grid. Rows are first summed by how many thresholds they reach, so only as many remain."""
     by = by or []
-    reached = sum((F.when(F.col(p) >= t, 1).otherwise(0) for t in grid), F.lit(0))
+    reached = step_count(F.col(p), sorted(grid))
     scores = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
     cells = scores.groupBy(*by, reached.alias("_reached")).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    rows = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(grid)], "_i int, threshold double")
+    rows = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(sorted(grid))], "_i int, threshold double")
     hit = F.col("_reached") > F.col("_i")
     counted = cells.crossJoin(F.broadcast(rows)).groupBy(*by, "threshold").agg(  # grid by grid
         F.sum(F.when(hit, F.col("_pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("_neg")).otherwise(0)).alias("fp"),
@@ -67,23 +67,10 @@ def order_statistic(df: DataFrame, value: str, level: Column, by: list[str]) ->
     return ranked.join(sizes, by).where(F.col("_upto") >= place).groupBy(*by).agg(F.min(value).alias("qhat"))
 
 
-def linear_quantile(df: DataFrame, value: str, level: float, by: list[str], name: str = "qhat") -> DataFrame:
-    """by and the interpolated quantile of each group, from counts of distinct values by bucket: no group is held in a task."""
-    sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
-    ranked = running(counted, value_bucket(value), [F.col(value)], {"_upto": F.col("_k")}, by)
-    joined = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
-    place = (F.col("_n") - 1) * F.lit(float(level))
-    low, high = F.floor(place + 1e-9) + 1, F.least(F.floor(place + 1e-9) + 2, F.col("_n"))
-    first = lambda at: F.min(F.when(F.col("_upto") >= at, F.col(value)))
-    found = joined.groupBy(*by).agg(first(low).alias("_a"), first(high).alias("_b"), F.first(place - F.floor(place + 1e-9)).alias("_s"))
-    return found.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.greatest("_s", F.lit(0.0))).alias(name))
-
-
 def conformal(df: DataFrame, residual: str, alpha: float, by: list[str], kind: str = "higher") -> DataFrame:
     """qhat of absolute residuals: `higher` quantile of 1 - alpha, its `finite` sample level, or the `linear` one."""
     if kind == "linear":
-        return linear_quantile(df, residual, 1 - alpha, by)
+        return linear_quantiles(df, residual, {"qhat": 1 - alpha}, by)
     n = F.col("_n")
     level = F.lit(1 - alpha) if kind == "higher" else F.ceil((n + 1) * (1 - alpha)) / n
     return order_statistic(df, residual, level, by)

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import HASH_BUCKETS, running
+from tessera.operators.ranking import HASH_BUCKETS, linear_quantiles, running
 from tessera.operators.tables import best_per_group
 
 
@@ -186,15 +186,25 @@ def output_control(long: DataFrame, truth: DataFrame) -> DataFrame:
     return out.select("source", "config", "ari", "nmi", "rand")
 
 
-def knn_join(df: DataFrame, row_id: str, features: list[str], k: int, queries: DataFrame, block: int = 512) -> DataFrame:
+def knn_join(df: DataFrame, row_id: str, features: list[str], k: int, queries: DataFrame, block: int = 512, held: int = 20_000) -> DataFrame:
     """(query, neighbour, distance) of the k nearest rows of df for each of a stated set of queries, ties by row_id.
 
-    df is dealt into parts; every part keeps its own k best for a block of queries, and k of those remain. The queries
-    are held in tasks, so they must be few.
+    df is dealt into parts; every part keeps its own k best for a block of queries, and k of those remain. Queries are
+    dealt into blocks of about `held` rows; df is read once a block, and only one block's queries are held in a task.
     """
+    n = queries.count()
+    out = None
+    for part in range(max(1, -(-n // held))):
+        asked = queries.where(F.pmod(F.xxhash64(row_id), F.lit(max(1, -(-n // held)))) == part).select(row_id, *features)
+        found = _near_block(df, row_id, features, k, asked, block)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _near_block(df: DataFrame, row_id: str, features: list[str], k: int, asked: DataFrame, block: int) -> DataFrame:
     import pandas as pd
 
-    asked = queries.select(row_id, *features).toPandas()  # the stated query set
+    asked = asked.toPandas()  # about `held` rows
     ids, points = asked[row_id].to_numpy(), asked[features].to_numpy(float)
 
     def near(parts):
@@ -225,7 +235,8 @@ def projection_bins(df: DataFrame, row_id: str, bins: int) -> DataFrame:
     weights = model.pc.toArray()[:, 0]
     sign = 1.0 if weights[np.argmax(np.abs(weights))] > 0 else -1.0
     p = model.transform(df).select(row_id, (vector_to_array("_p")[0] * sign).alias("score")).persist()
-    edges = p.agg(F.percentile("score", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_q"))  # one row
+    cuts = {f"_q{i}": i / bins for i in range(1, bins)}
+    edges = linear_quantiles(p, "score", cuts).select(F.array(*cuts).alias("_q"))  # one row
     out = p.crossJoin(F.broadcast(edges)).select(row_id, "score", F.size(F.filter("_q", lambda x: F.col("score") >= x)).alias("label"))
     labels, n, least, most, first, last = out.agg(F.count_distinct("label"), F.count("*"), F.min("score"), F.max("score"), F.min(row_id), F.max(row_id)).first()
     if labels > 1 or n < bins:

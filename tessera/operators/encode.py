@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import linear_quantiles, range_rank
+
 #: What counts as yes and no in a target, and the marks of missing categories.
 POSITIVE, NEGATIVE = ("1", "pos", "positive", "t", "true", "y", "yes"), ("0", "f", "false", "n", "neg", "negative", "no")
 MISSING, MISSING_UPPER = "__missing__", "__MISSING__"
@@ -44,7 +46,7 @@ def mapping(df: DataFrame, name: str, missing: str | None = MISSING) -> DataFram
     """(value, code) for the sorted distinct values, from 0. One row a category; `missing` stands for null."""
     value = F.trim(F.col(name).cast("string"))
     value = F.coalesce(value, F.lit(missing)) if missing is not None else value
-    return df.select(value.alias("value")).where("value is not null").distinct().withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    return range_rank(df.select(value.alias("value")).where("value is not null").distinct(), "value", "code").withColumn("code", F.col("code").cast("int"))
 
 
 def apply_mapping(df: DataFrame, codes: DataFrame, name: str, unknown: int = -1, missing: str | None = MISSING, to: str | None = None) -> DataFrame:
@@ -100,8 +102,10 @@ def final_columns(df: DataFrame, original: list[str], selected: list[str], targe
 
 def median_fill(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     """Nulls to the exact median of `fit` (0 if it has none). One row of medians joins."""
-    medians = fit.agg(*[F.coalesce(F.percentile(finite(n), F.lit(0.5)), F.lit(0.0)).alias(f"_m_{n}") for n in names])
-    joined = df.crossJoin(F.broadcast(medians))  # one row
+    joined = df
+    for n in names:
+        median = linear_quantiles(fit.select(finite(n).alias("_x")), "_x", {f"_m_{n}": 0.5}).agg(F.coalesce(F.max(f"_m_{n}"), F.lit(0.0)).alias(f"_m_{n}"))
+        joined = joined.crossJoin(F.broadcast(median))  # one row
     return joined.withColumns({n: F.coalesce(finite(n), F.col(f"_m_{n}")) for n in names}).drop(*[f"_m_{n}" for n in names])
 
 
@@ -115,8 +119,10 @@ def standardize(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
 
 def robust_scale(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     """(x - median) / interquartile range of `fit`."""
-    stats = fit.agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{n}") for n in names])
-    joined = df.crossJoin(F.broadcast(stats))  # one row
+    joined = df
+    for n in names:
+        three = linear_quantiles(fit.select(n), n, {"_a": 0.25, "_b": 0.5, "_c": 0.75}).agg(F.array(F.max("_a"), F.max("_b"), F.max("_c")).alias(f"_q_{n}"))
+        joined = joined.crossJoin(F.broadcast(three))  # one row
     spread = {n: F.col(f"_q_{n}")[2] - F.col(f"_q_{n}")[0] for n in names}
     return joined.withColumns({n: (F.col(n) - F.col(f"_q_{n}")[1]) / F.when(spread[n] > 0, spread[n]).otherwise(1.0) for n in names}).drop(*[f"_q_{n}" for n in names])
 
@@ -154,9 +160,11 @@ def quantile_normal(df: DataFrame, name: str, row_id: str) -> DataFrame:
     return ranked.withColumn(name, F.when(p < 0.5, -z).otherwise(z)).drop("_r")
 
 
-def one_hot(fit: DataFrame, df: DataFrame, name: str) -> DataFrame:
-    """One 0/1 column for each category of `fit` and one for null; others are 0 throughout."""
-    values = sorted(r[0] for r in fit.select(F.col(name).cast("string")).where(F.col(name).isNotNull()).distinct().collect())  # categories
+def one_hot(fit: DataFrame, df: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """One 0/1 column for each category of `fit` and one for null; others are 0 throughout. More than `most` categories are an error."""
+    values = sorted(r[0] for r in fit.select(F.col(name).cast("string")).where(F.col(name).isNotNull()).distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"{name} has more than {most} categories, which are no columns")
     hot = {f"{name}_{v}": F.coalesce((F.col(name).cast("string") == v).cast("int"), F.lit(0)) for v in values}
     return df.withColumns(hot | {f"{name}_nan": F.col(name).isNull().cast("int")}).drop(name)
 

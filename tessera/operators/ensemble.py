@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import softmax
+from tessera.operators.ranking import linear_quantiles
 
 
 def soft_vote(long: DataFrame, row_id: str = "row_id", p: str = "p") -> DataFrame:
@@ -76,5 +77,5 @@ def soft_targets(df: DataFrame, y: str, logits: Column, classes: list[str], temp
 
 def delivery_ratios(df: DataFrame, teacher: str, student: str, by: list[str]) -> DataFrame:
     """Medians of a measure of both models, and how many times the student is smaller or faster."""
-    out = df.groupBy(*by).agg(F.percentile(teacher, F.lit(0.5)).alias("teacher"), F.percentile(student, F.lit(0.5)).alias("student"))
+    out = linear_quantiles(df, teacher, {"teacher": 0.5}, by).join(linear_quantiles(df, student, {"student": 0.5}, by), by)
     return out.withColumn("factor", F.try_divide("teacher", "student"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import running, value_bucket
+from tessera.operators.ranking import running, step_count, value_bucket
 
 
 def _by_score(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def probability_scores(df: DataFrame, y: str = "y", p: str = "p", by: list[str]
 
 def right_closed_bin(p: str, bins: int = 10) -> Column:
     """The number of inner edges i / bins strictly below p: bins are open on the left, as 0.1 falls in bin 0."""
-    return sum((F.when(F.col(p) > i / bins, 1).otherwise(0) for i in range(1, bins)), F.lit(0))
+    return step_count(F.col(p), [i / bins for i in range(1, bins)], strict=True)
 
 
 def left_closed_bin(p: str, bins: int = 10) -> Column:

@@ -5,25 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import hash_rank
+from tessera.operators.ranking import hash_rank, hash_threshold
 
 
 def _counts(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("_n"))
 
 
-def _with_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    if not by:
-        return df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
-    counts = _counts(df, by)
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    return df.alias("l").join(counts.alias("r"), on).select("l.*", "r._n")
-
-
 def random_split(df: DataFrame, test_size: float, seed: int, row_id: str) -> DataFrame:
     """df with split = test for ceil(n * test_size) rows, else train."""
-    ranked = _with_counts(hash_rank(df, seed, row_id, name="_rank"), [])
-    return ranked.withColumn("split", F.when(F.col("_rank") <= F.ceil(F.col("_n") * test_size), "test").otherwise("train")).drop("_rank", "_n")
+    parted = hash_threshold(df, seed, row_id, F.ceil(F.col("_n") * test_size), name="_test")
+    return parted.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def stratified_split(df: DataFrame, target: str, test_size: float, seed: int, row_id: str, names: tuple[str, str] = ("train", "test")) -> DataFrame:
@@ -32,8 +24,8 @@ def stratified_split(df: DataFrame, target: str, test_size: float, seed: int, ro
     if smallest is not None and smallest < 2:
         out = random_split(df, test_size, seed, row_id)
         return out.withColumn("split", F.when(F.col("split") == "test", names[1]).otherwise(names[0]))
-    ranked = _with_counts(hash_rank(df, seed, row_id, [target], "_rank"), [target])
-    return ranked.withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * test_size + 0.5), names[1]).otherwise(names[0])).drop("_rank", "_n")
+    parted = hash_threshold(df, seed, row_id, F.floor(F.col("_n") * test_size + 0.5), [target], "_test")
+    return parted.withColumn("split", F.when(F.col("_test"), names[1]).otherwise(names[0])).drop("_test")
 
 
 def three_way_split(df: DataFrame, target: str, seed: int, row_id: str, test_size: float = 0.2, val_size: float = 0.25) -> DataFrame:
@@ -48,9 +40,8 @@ def stratified_take(df: DataFrame, target: str, most: int, seed: int, row_id: st
     total = df.count()
     if total <= most:
         return df
-    ranked = _with_counts(hash_rank(df, seed, row_id, [target], "_rank"), [target])
     quota = F.greatest(F.lit(1), F.floor(F.col("_n") * (most / total)))
-    return ranked.where(F.col("_rank") <= quota).drop("_rank", "_n")
+    return hash_threshold(df, seed, row_id, quota, [target], "_taken").where("_taken").drop("_taken")
 
 
 def k_fold(df: DataFrame, k: int, seed: int, row_id: str, target: str | None = None, name: str = "fold") -> DataFrame:
@@ -70,7 +61,7 @@ def repeated_k_fold(df: DataFrame, k: int, repeats: int, seed: int, row_id: str,
 
 def sample_rows(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
     """The n rows of the least hash."""
-    return hash_rank(df, seed, row_id, name="_rank").where(F.col("_rank") <= n).drop("_rank")
+    return hash_threshold(df, seed, row_id, F.lit(n), name="_taken").where("_taken").drop("_taken")
 
 
 def balanced_subsample(df: DataFrame, target: str, seed: int, row_id: str) -> DataFrame:

@@ -42,20 +42,26 @@ def class_cap(df: DataFrame, target: str, most: int) -> DataFrame:
     return df.join(df.select(target).distinct().orderBy(target).limit(most), target, "left_semi").select(*df.columns)
 
 
-def row_cap(df: DataFrame, most: int, seed: int, row_id: str) -> DataFrame:
-    """The `most` rows of the least hash: counts by hash bucket find the bucket in which the last one lies, only that one is sorted."""
-    from tessera.operators.ranking import HASH_BUCKETS
-
-    width = (1 << 32) // HASH_BUCKETS
-    hashed = df.withColumn("_h", row_hash(seed, row_id))
-    counts = sorted((r[0], r[1]) for r in hashed.groupBy(F.floor(F.col("_h") / width).alias("b")).count().collect())  # HASH_BUCKETS rows
-    before = 0
-    for bucket, n in counts:
-        if before + n > most:
-            edge = hashed.where((F.col("_h") >= bucket * width) & (F.col("_h") < (bucket + 1) * width)).orderBy("_h", row_id).limit(most - before)
-            return hashed.where(F.col("_h") < bucket * width).unionByName(edge).drop("_h")
-        before += n
-    return df
+def row_cap(df: DataFrame, most: int, seed: int, row_id: str, by: list[str] | None = None) -> DataFrame:
+    """The `most` rows of the least hash of each group, or all if there are no more."""
+    from tessera.operators.ranking import hash_threshold
+
+    return hash_threshold(df, seed, row_id, F.lit(most), by, "_taken").where("_taken").drop("_taken")
+
+
+def adaptive_threshold(df: DataFrame, by: list[str], values: list[str], share: float, most: int, ties: list[str]) -> DataFrame:
+    """Rows of which every value is at least `share` of its group's greatest, the `most` of greatest sum, ties by columns."""
+    tops = df.groupBy(*by).agg(*[F.max(v).alias(f"_top_{v}") for v in values])
+    kept = df.join(tops, by).where(" and ".join(f"{v} >= {share}D * _top_{v}" for v in values)).drop(*[f"_top_{v}" for v in values])
+    order = [sum((F.col(v) for v in values[1:]), F.col(values[0])).desc(), *map(F.col, ties)]
+    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+
+
+def gap_selection(df: DataFrame, by: list[str], value: str, gap: float, least: int, most: int, ties: list[str]) -> DataFrame:
+    """Of each group's `most` lowest rows, those within a relative gap of the best, and the `least` first in any case."""
+    best = df.groupBy(*by).agg(F.min(value).alias("_best"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value, *ties))).where(F.col("_r") <= most)
+    return ranked.join(best, by).where((F.col(value) <= F.col("_best") * (1 + gap)) | (F.col("_r") <= least)).drop("_r", "_best")
 
 
 def merge_by_keys(records: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:

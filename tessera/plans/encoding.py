@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import encode as E
+from tessera.operators import tables as T
 from tessera.plans.base import query, rounded, table
 
 _HOLES = """holes AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 13 = 0 THEN 'Infinity'::DOUBLE ELSE o_totalprice END AS x,
@@ -156,5 +157,4 @@ def _(spark, d):
 
 @query("prj2_class_cap", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN (SELECT DISTINCT o_orderstatus FROM orders ORDER BY 1 LIMIT 2)")
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return o.join(o.select("o_orderstatus").distinct().orderBy("o_orderstatus").limit(2), "o_orderstatus", "left_semi")
+    return T.class_cap(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", 2)

@@ -9,6 +9,7 @@ from tessera.operators import cluster as K
 from tessera.operators import ensemble as E
 from tessera.operators import metrics as M
 from tessera.operators import models as L
+from tessera.operators.ranking import linear_quantiles
 from tessera.plans.base import MULTI_SQL, PRED_SQL, REG_SQL, multiclass, predictions, query, regression, rounded, table
 
 _LONGP = f"WITH {PRED_SQL}, long AS (SELECT row_id, 'a' AS model, p FROM pred UNION ALL SELECT row_id, 'b', q FROM pred UNION ALL SELECT row_id, 'c', 1 - p * q FROM pred)"
@@ -200,12 +201,14 @@ def _(spark, d):
     return rounded(both.agg(F.avg(same.cast("double")).alias("agreement")))
 
 
-@query("clu4_projection_bins", "WITH p AS (SELECT vec_id, embedding[1] + 0.5 * embedding[2] - 0.25 * embedding[3] AS s FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)), q AS (SELECT quantile_cont(s, 0.25) AS a, median(s) AS b, quantile_cont(s, 0.75) AS c FROM p) SELECT vec_id, ((s > a)::INT + (s > b)::INT + (s > c)::INT)::BIGINT AS label FROM p, q")
+@query("clu4_projection_bins", "WITH p AS (SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x / i)) AS s FROM embeddings), q AS (SELECT quantile_cont(s, 0.25) AS a, median(s) AS b, quantile_cont(s, 0.75) AS c FROM p) SELECT vec_id, ((s > a)::INT + (s > b)::INT + (s > c)::INT)::BIGINT AS label FROM p, q")
 def _(spark, d):
-    e = [F.col("embedding")[i].cast("double") for i in range(3)]
-    p = table(spark, d, "embeddings").select("vec_id", (e[0] + 0.5 * e[1] - 0.25 * e[2]).alias("s"))
-    edges = p.agg(F.percentile("s", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))  # one row
-    return rounded(p.crossJoin(F.broadcast(edges)).select("vec_id", F.size(F.filter("q", lambda x: F.col("s") > x)).alias("label")))
+    """Quartiles along a fixed direction over the whole embedding."""
+    s = F.expr("aggregate(transform(embedding, (x, i) -> cast(x as double) / (i + 1)), 0D, (a, x) -> a + x)")
+    p = table(spark, d, "embeddings").select("vec_id", s.alias("s"))
+    edges = linear_quantiles(p, "s", {"a": 0.25, "b": 0.5, "c": 0.75})  # one row
+    above = sum(((F.col("s") > F.col(e)).cast("int") for e in "bc"), (F.col("s") > F.col("a")).cast("int"))
+    return rounded(p.crossJoin(F.broadcast(edges)).select("vec_id", above.alias("label")))
 
 
 @query("clu4_principal_bins")

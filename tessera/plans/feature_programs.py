@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features as P
 from tessera.operators.features import Feature
+from tessera.operators.ranking import linear_quantiles, range_rank
 from tessera.plans.base import query, rounded, table
 
 
@@ -62,8 +63,9 @@ _program("fea19_interaction", {"discount_tax": ("l_discount * l_tax", "l_discoun
 @query("fea6_cut_qcut", "WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, median(o_totalprice) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders) SELECT least(floor(o_totalprice / 100000), 4)::BIGINT AS cut, ((o_totalprice > a)::INT + (o_totalprice > b)::INT + (o_totalprice > c)::INT)::BIGINT AS qcut, count(*) AS n FROM orders, q GROUP BY ALL")
 def _(spark, d):
     o = table(spark, d, "orders").select("o_totalprice")
-    edges = o.agg(F.percentile("o_totalprice", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("e"))  # one row
-    both = o.crossJoin(F.broadcast(edges)).select(F.least(F.floor(F.col("o_totalprice") / 100000), F.lit(4)).alias("cut"), F.size(F.filter("e", lambda x: F.col("o_totalprice") > x)).alias("qcut"))
+    edges = linear_quantiles(o, "o_totalprice", {"a": 0.25, "b": 0.5, "c": 0.75})  # one row
+    above = sum(((F.col("o_totalprice") > F.col(e)).cast("int") for e in "bc"), (F.col("o_totalprice") > F.col("a")).cast("int"))
+    both = o.crossJoin(F.broadcast(edges)).select(F.least(F.floor(F.col("o_totalprice") / 100000), F.lit(4)).alias("cut"), above.alias("qcut"))
     return rounded(both.groupBy("cut", "qcut").agg(F.count("*").alias("n")))
 
 
@@ -71,9 +73,11 @@ def _(spark, d):
  SELECT l_linenumber::BIGINT AS l_linenumber, round(sum(m), 3) AS supp_mean, round(sum(md), 3) AS supp_median, round(sum(k), 3) AS supp_flags, round(sum(s), 3) AS supp_std FROM lineitem JOIN g USING (l_suppkey) GROUP BY 1""")
 def _(spark, d):
     li = _li(spark, d)
-    stats = {"supp_mean": "avg(l_quantity)", "supp_median": "median(l_quantity)", "supp_flags": "count(distinct l_returnflag)", "supp_std": "stddev_samp(l_quantity)"}
-    fitted = li.where("l_linenumber <= 5").groupBy("l_suppkey").agg(*[F.expr(e).alias(n) for n, e in stats.items()])
-    return _totals(li.join(fitted, "l_suppkey"), list(stats))
+    fit = li.where("l_linenumber <= 5")
+    sums = fit.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("supp_mean"), F.stddev_samp("l_quantity").alias("supp_std"))
+    flags = fit.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("_n")).groupBy("l_suppkey").agg(F.count("l_returnflag").alias("supp_flags"))
+    fitted = sums.join(flags, "l_suppkey").join(linear_quantiles(fit, "l_quantity", {"supp_median": 0.5}, ["l_suppkey"]), "l_suppkey")
+    return _totals(li.join(fitted, "l_suppkey"), ["supp_mean", "supp_median", "supp_flags", "supp_std"])
 
 
 _EV = "WITH e AS (SELECT event_id, user_id, ts, value, event_type FROM events)"
@@ -150,7 +154,7 @@ def _(spark, d):
 @query("fea17_categories", "SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT AS code, try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS DOUBLE) AS number, md5(p_type) AS hash FROM part")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    codes = p.select("p_brand").distinct().withColumn("code", F.row_number().over(Window.orderBy("p_brand")) - 1)  # one row a category
+    codes = range_rank(p.select("p_brand").distinct(), "p_brand", "code")
     return rounded(p.join(codes, "p_brand").select("p_partkey", "code", F.regexp_extract("p_brand", r"(\d+)", 1).try_cast("double").alias("number"), F.md5("p_type").alias("hash")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as T
-from tessera.operators.ranking import row_hash
+from tessera.operators.ranking import linear_quantiles
 from tessera.plans.base import BENCH_SQL, bench_rows, query, rounded, sql_hash, table
 
 _G = "WITH " + BENCH_SQL
@@ -127,8 +127,7 @@ def _(spark, d):
 
 @query("agg21_quantiles", f"{_G} SELECT task, round(quantile_cont(metric, 0.1), 6) AS q10, round(median(metric), 6) AS q50, round(quantile_cont(metric, 0.9), 6) AS q90, round(quantile_cont(metric, 0.95), 6) AS q95 FROM bench GROUP BY task")
 def _(spark, d):
-    q = F.percentile("metric", F.array(*map(F.lit, (0.1, 0.5, 0.9, 0.95))))
-    return rounded(bench_rows(spark, d).groupBy("task").agg(q.alias("q")).select("task", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90", "q95"))]))
+    return rounded(linear_quantiles(bench_rows(spark, d), "metric", {"q10": 0.1, "q50": 0.5, "q90": 0.9, "q95": 0.95}, ["task"]))
 
 
 @query("agg22_mixed_summary", f"{_CELL} SELECT a.*, b.over FROM (SELECT dataset, round(avg(value), 6) AS mean_value, count(*) AS n FROM cell GROUP BY dataset) a LEFT JOIN (SELECT dataset, count(*) FILTER (cost > 45) AS over FROM bench GROUP BY dataset) b USING (dataset)")
@@ -205,20 +204,19 @@ def _(spark, d):
 
 @query("top3_adaptive_threshold", f"{_CELL}, k AS (SELECT *, max(value) OVER (PARTITION BY task) AS mv, max(cost) OVER (PARTITION BY task) AS mc FROM cell), f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY value + cost DESC, framework, dataset, seed) AS r FROM k WHERE value >= 0.5 * mv AND cost >= 0.5 * mc) SELECT task, framework, dataset, seed, round(value, 6) AS value FROM f WHERE r <= 5")
 def _(spark, d):
-    w = Window.partitionBy("task")
-    f = _cell(spark, d).withColumn("mv", F.max("value").over(w)).withColumn("mc", F.max("cost").over(w)).where("value >= 0.5 * mv and cost >= 0.5 * mc")
-    f = f.withColumn("r", F.row_number().over(w.orderBy((F.col("value") + F.col("cost")).desc(), "framework", "dataset", "seed"))).where("r <= 5")
+    f = T.adaptive_threshold(_cell(spark, d), ["task"], ["value", "cost"], 0.5, 5, ["framework", "dataset", "seed"])
     return rounded(f.select("task", "framework", "dataset", "seed", "value"))
 
 
 @query("top4_gap_selection", f"{_CELL}, k AS (SELECT *, min(value) OVER (PARTITION BY task, dataset) AS best, row_number() OVER (PARTITION BY task, dataset ORDER BY value, framework, seed) AS r FROM cell) SELECT task, dataset, framework, seed, round(value, 6) AS value FROM k WHERE (value <= best * 1.1 OR r <= 2) AND r <= 5")
 def _(spark, d):
-    w = Window.partitionBy("task", "dataset")
-    k = _cell(spark, d).withColumn("best", F.min("value").over(w)).withColumn("r", F.row_number().over(w.orderBy("value", "framework", "seed")))
-    return rounded(k.where("(value <= best * 1.1D or r <= 2) and r <= 5").select("task", "dataset", "framework", "seed", "value"))
+    k = T.gap_selection(_cell(spark, d), ["task", "dataset"], "value", 0.1, 2, 5, ["framework", "seed"])
+    return rounded(k.select("task", "dataset", "framework", "seed", "value"))
 
 
-@query("top5_greedy_pruning", "SELECT unnest(['a', 'c', 'd']) AS name")
+@query("top5_greedy_pruning", """WITH l AS (SELECT l_quantity AS a, l_quantity * 2 + 1 AS b, l_discount AS c, l_tax AS d FROM lineitem),
+ p AS (SELECT abs(corr(a, b)) < 0.995 AS ab, abs(corr(a, c)) < 0.995 AS ac, abs(corr(a, d)) < 0.995 AS ad, abs(corr(b, c)) < 0.995 AS bc, abs(corr(b, d)) < 0.995 AS bd, abs(corr(c, d)) < 0.995 AS cd FROM l),
+ t AS (SELECT *, ac AND (NOT ab OR bc) AS c FROM p) SELECT 'a' AS name UNION ALL SELECT 'b' FROM t WHERE ab UNION ALL SELECT 'c' FROM t WHERE c UNION ALL SELECT 'd' FROM t WHERE ad AND (NOT ab OR bd) AND (NOT c OR cd)""")
 def _(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_quantity") * 2 + 1).alias("b"), F.col("l_discount").alias("c"), F.col("l_tax").alias("d"))
     return spark.createDataFrame([(n,) for n in T.greedy_uncorrelated(li, ["a", "b", "c", "d"])], "name string")
@@ -348,6 +346,5 @@ def _(spark, d):
 
 @query("prj4_capped_rows", f"SELECT dataset, count(*) AS n FROM (SELECT 'ds' || l_suppkey % 20 AS dataset, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY {sql_hash(2, 'l_orderkey')}, l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r <= 2000 GROUP BY dataset")
 def _(spark, d):
-    w = Window.partitionBy("dataset").orderBy(row_hash(2, "l_orderkey"), "l_orderkey", "l_linenumber", "l_partkey")
-    rows = table(spark, d, "lineitem").withColumn("dataset", F.concat(F.lit("ds"), F.col("l_suppkey") % 20)).withColumn("r", F.row_number().over(w))
-    return rows.where("r <= 2000").groupBy("dataset").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").withColumn("dataset", F.concat(F.lit("ds"), F.col("l_suppkey") % 20))
+    return T.row_cap(rows, 2000, 2, "l_orderkey", ["dataset"]).groupBy("dataset").agg(F.count("*").alias("n"))
