@@ -109,19 +109,22 @@ def rounds(log: DataFrame, gap: str = "2 hours", late: str = "10 minutes") -> Da
 
 
 def running_best(log: DataFrame) -> DataFrame:
-    """run, best, last and improved for every event, in event-time order of each micro batch; state is one row a run."""
+    """run, best and improved for every event, in event-time order of each micro batch; state is one row a run.
+
+    A run's events of one micro batch are gathered (the trigger bounds them) and sorted, ties by event_id. A null value
+    improves nothing; before any value, best is null.
+    """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, parts, state: GroupState):
-        best = state.get[0] if state.exists else float("-inf")
-        for pdf in parts:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            top = pdf["value"].cummax().clip(lower=best)
-            before = top.shift(fill_value=best)
-            yield pd.DataFrame({"run": key[0], "event_id": pdf["event_id"], "best": top, "improved": pdf["value"] > before})
-            best = float(top.iloc[-1])
-        state.update((best,))
+        start = state.get[0] if state.exists else float("-inf")
+        pdf = pd.concat([p[["ts", "event_id", "value"]] for p in parts]).sort_values(["ts", "event_id"])
+        top = pdf["value"].fillna(float("-inf")).cummax().clip(lower=start)
+        before = top.shift(fill_value=start)
+        yield pd.DataFrame({"run": key[0], "event_id": pdf["event_id"], "best": top.replace(-np.inf, np.nan), "improved": pdf["value"].notna() & (top > before)})
+        state.update((float(top.iloc[-1]),))
 
     return log.groupBy("user_id").applyInPandasWithState(step, "run long, event_id long, best double, improved boolean", "best double", "append", GroupStateTimeout.NoTimeout)
 
