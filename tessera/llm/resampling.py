@@ -102,8 +102,8 @@ def kth_largest(values: DataFrame, name: str, k: int, most: int = 20_000) -> flo
     return rows[0]
 
 
-def weighed(docs: DataFrame, labels: DataFrame, keep: list[str], loss: float = 0.001, margin: float = 4.0, most: int = 40_000, seed: int = 1) -> tuple[DataFrame, float | None]:
-    """(columns `keep` of docs with _weight and _key as a written table, least Gumbel key of the sample).
+def weighed(docs: DataFrame, labels: DataFrame, keep: list[str], loss: float = 0.001, margin: float = 4.0, most: int = 40_000, seed: int = 1) -> tuple[DataFrame, np.ndarray, float | None]:
+    """(columns `keep` of docs with _weight and _key as a written table, log ratios, least Gumbel key of the sample).
 
     Half of the labelled sample makes the target model, the other half sets k: the number of documents whose weight is at
     least that of all but `loss` of the held-out good ones, less `margin` for the noise. Without good labelled documents
@@ -118,8 +118,8 @@ def weighed(docs: DataFrame, labels: DataFrame, keep: list[str], loss: float = 0
     n = known.count()
     least = kth_largest(known, "_weight", n - int(n * loss))
     if least is None:
-        return scored, None
-    return scored, kth_largest(scored, "_key", scored.where(F.col("_weight") >= least - margin).count())
+        return scored, ratios, None
+    return scored, ratios, kth_largest(scored, "_key", scored.where(F.col("_weight") >= least - margin).count())
 
 
 def _kept(cut: float | None) -> Column:
@@ -134,15 +134,16 @@ def resample(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     contradict each other or have a null drop out. Other columns, whatever their names, are kept only if asked for. An
     empty table gives no rows.
     """
-    scored, cut = weighed(docs, labels, list(keep), **how)
+    scored, _, cut = weighed(docs, labels, list(keep), **how)
     return scored.select(*keep, F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), _kept(cut).alias("kept"))
 
 
-def keep_sample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs without the rows that `resample` does not keep; all columns stay."""
+def keep_sample(docs: DataFrame, labels: DataFrame, seed: int = 1, **how) -> DataFrame:
+    """docs without the rows that `resample` does not keep; all columns stay. Weighed once more, so that no text is written."""
     names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
-    scored, cut = weighed(docs.toDF(*names), labels, names, **how)
-    return scored.where(_kept(cut)).select(*names).toDF(*docs.columns)
+    named = docs.toDF(*names)
+    _, ratios, cut = weighed(named, labels, [], seed=seed, **how)
+    return docs if cut is None else named.where(gumbel_key(log_weight(named, ratios), seed) >= cut).toDF(*docs.columns)
 
 
 def op1_importance_resampling(spark, sf_dir: str) -> DataFrame:
