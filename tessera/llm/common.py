@@ -74,9 +74,10 @@ def local_stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(vertex, component) for every vertex of edges (a, b), component the smallest vertex reachable.
 
-    Large-star and small-star rounds: each groups by vertex with partial minima, so that a vertex with very many
-    edges costs no task more than its share. Every round is a written table. Nulls in an edge drop it; an edge from
-    a vertex to itself and repeated edges change nothing.
+    Edges become stars inside each partition first. Then large-star and small-star rounds: each takes minima by vertex
+    with partial aggregation, and joins them to the edges; the join's partition of a vertex with very many edges is
+    split at run time by Spark's skew join. Every round is a written table. Nulls in an edge drop it; an edge from a
+    vertex to itself and repeated edges change nothing.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = written(local_stars(edges).distinct(), "edges")

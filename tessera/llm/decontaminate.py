@@ -156,18 +156,18 @@ def _hits(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, most_items: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 3, most_items: int = 20_000, most_bytes: int = 1 << 26, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of docs, n_words, hit (begins and ends of runs of hit words, in turn), items (item_ids with an occurring window).
 
-    Items (item_id, text) are held in tasks only in parts of at most most_items; more items mean more passes over the
-    documents, whose hits are then merged. Null texts have no words. Items without words are never found; an item
+    Items (item_id, text) are held in tasks only in parts of about most_items items and most_bytes of text; more items
+    mean more passes over the documents, whose hits are then merged. Words are compared by 64-bit fingerprints. Null texts have no words. Items without words are never found; an item
     with a null id hits words but is not listed. Repeated rows each get a result; an empty table of documents gives no
     rows, an empty table of items no hits. Other columns, whatever their names, are kept only if asked for.
     """
     docs, keep = docs.select(*dict.fromkeys([*keep, "text"])), list(keep)
     items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    n = items.count()
-    parts = -(-n // most_items)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // most_items), -(-size // most_bytes))
     if parts <= 1:
         return _hits(docs, prefix_index(item_windows([tuple(r) for r in items.collect()], window), docs, window, shingle), keep)
     numbered = written(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")

@@ -85,6 +85,16 @@ class Lattice:
                 counts += np.bincount(ids, np.exp(ahead[i, rows] + step - ahead[m, rows]) * times[rows], len(counts))
         return ahead[m]
 
+    def marginals(self, words: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+        """Natural log probabilities of equally long words under several weightings of the pieces; the lattice is built once."""
+        n, m = words.shape
+        ahead = np.full((len(weights), m + 1, n), -np.inf)
+        ahead[:, 0] = 0
+        for (i, j), (rows, ids) in self._edges(words).items():
+            for a, weight in zip(ahead, weights, strict=True):
+                a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + weight[ids])
+        return ahead[:, m]
+
     def _pieces(self, word: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """begin, end and id of the word's pieces that begin in low ... high - 1, by begin."""
         part = word[low : high + self.longest]
@@ -197,12 +207,14 @@ class Words:
             yield part, b"".join(words), np.cumsum([len(w) for w in words])
 
 
-def likelihoods(model: Lattice, weight: np.ndarray, words: Words) -> np.ndarray:
-    out, of = np.zeros(len(words.prints)), np.arange(len(words.prints))
+def likelihoods(model: Lattice, weights: list[np.ndarray], words: Words) -> np.ndarray:
+    """Natural log probabilities of the words, a row a weighting."""
+    out, of = np.zeros((len(weights), len(words.prints))), np.arange(len(words.prints))
     for part, matrix in words.groups(of):
-        out[part] = model.likelihood(matrix, weight)
+        out[:, part] = model.marginals(matrix, weights)
     for part, run, stops in words.runs(of):
-        out[part] = model.long_likelihoods(run, stops, weight)
+        for row, weight in zip(out, weights, strict=True):
+            row[part] = model.long_likelihoods(run, stops, weight)
     return out
 
 
@@ -211,17 +223,20 @@ def _text_batches(rows: pa.Table) -> list[pa.RecordBatch]:
 
 
 def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, learnt from those not held out.
-
-    Texts are dealt into chunks by their own hash, so a source, key or copy of any size spreads evenly. A chunk gives
-    its distinct words with their training counts and the expected counts of pieces; each word's counts are summed over
-    chunks and go back to the chunks that hold it. Only the piece weights (as many as the vocabulary has) reach the
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and vocabulary_score of every text.
+
+    vocabulary_score weights all segmentations by the file's own scores, without an end; score by piece weights that one
+    expectation pass from those scores learns from the texts not held out, with an end. Texts are dealt into chunks by
+    the hash of id and text, so a source, or copies under many ids, spread evenly; a null doc_id is not held out and
+    stays null; rows equal in id and text share a chunk and a result. A chunk gives its distinct words with their
+    training counts and the expected counts of pieces; each word's counts are summed over chunks, where it has a row a
+    chunk at most, and go back to the chunks that hold it. Only the piece weights (as many as the vocabulary has) reach the
     driver. Null and empty texts are an end alone; without training texts every count is 0; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // CHUNK_BYTES
-    dealt = base.withColumn("learn", ~F.coalesce(held_out, F.lit(False))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
+    dealt = base.withColumn("learn", ~F.coalesce(held_out, F.lit(False))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     def gather(rows: pa.Table) -> pa.Table:
         chunk = rows.column("chunk")[0].as_py()
@@ -266,7 +281,7 @@ def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
         under = tokens + distinct + 1
         each = np.log10((c + 1) / under)
         model = lattice(path)
-        marginal = likelihoods(model, weight, words) / math.log(10)
+        marginal, plain = likelihoods(model, [weight, model.prior], words) / math.log(10)
         add = lambda x: np.bincount(doc, x[words.place], len(words.sizes)) if len(doc) else np.zeros(len(words.sizes))
         n = len(words.sizes)
         return pa.table({
@@ -274,9 +289,10 @@ def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
             "n_tokens": pa.array(words.sizes + 1, pa.int64()), "n_known": pa.array(add((c > 0).astype(float)).astype(np.int64) + (ends > 0), pa.int64()),
             "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
             "base_score": pa.array(add(each) + math.log10((ends + 1) / under), pa.float64()), "score": pa.array(add(marginal) + end / math.log(10), pa.float64()),
+            "vocabulary_score": pa.array(add(plain), pa.float64()),
         })
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, vocabulary_score double"
     return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, out)
 
 

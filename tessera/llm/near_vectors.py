@@ -109,7 +109,8 @@ def linked(found: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     mine = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
     blocks = shared.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("vec_id", "number", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-    met = blocks.join(found, "vec_id").repartition("number", "bucket", "i", "j").sortWithinPartitions("number", "bucket", "i", "j")
+    met = blocks.join(found, "vec_id").withColumn("buckets", F.expr("slice(buckets, 1, number)"))  # only those of the tables before
+    met = met.repartition("number", "bucket", "i", "j").sortWithinPartitions("number", "bucket", "i", "j")
 
     def run(batches):
         rest = None
@@ -123,14 +124,15 @@ def linked(found: DataFrame, threshold: float, block: int = 512) -> DataFrame:
             done = done.combine_chunks()
             ids, weights, side = (done.column(c).to_numpy() for c in ("vec_id", "n", "side"))
             vector, buckets = (done.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("vector", "buckets"))
-            buckets = buckets.reshape(len(ids), -1)
+            began = np.concatenate([[0], np.cumsum(key[0])])
             width = np.diff(np.asarray(done.column("vector").chunk(0).offsets))
             at = np.concatenate([[0], np.cumsum(width)])
             for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if high - low < 2:
                     continue
                 unit = _unit(vector[at[low] : at[high]].reshape(high - low, -1))  # a bucket's vectors have one length
-                links = _compare(ids[low:high], weights[low:high], unit, buckets[low:high], side[low:high], int(key[0, low]), threshold)
+                number = int(key[0, low])
+                links = _compare(ids[low:high], weights[low:high], unit, buckets[began[low] : began[high]].reshape(high - low, number), side[low:high], number, threshold)
                 if links:
                     out.append(links)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import attach, table, written
 
 #: The rules, as (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -48,9 +48,10 @@ def lexical(urls: DataFrame) -> DataFrame:
     """urls (url, host, path, query) with FEATURES; suffix statistics count all rows, and join by suffix."""
     known = urls.withColumn("_url", F.coalesce("url", F.lit(""))).withColumn("_suffix", F.regexp_extract("host", "[^.]*$", 0))
     stats = known.groupBy("_suffix").agg(F.count("*").alias("_n"), F.approx_count_distinct("host").alias("_hosts"))
-    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))  # one row a suffix
-    stats = stats.withColumn("suffix_share", F.log1p(F.col("_n")) - F.log1p(total)).withColumn("suffix_hosts", F.log1p(F.col("_hosts").cast("double"))).drop("_n", "_hosts")
-    joined = known.join(stats, "_suffix")
+    total = stats.agg(F.sum("_n").alias("_total"))  # one row
+    stats = stats.crossJoin(F.broadcast(total)).withColumn("suffix_share", F.log1p(F.col("_n")) - F.log1p(F.col("_total")))
+    stats = stats.withColumn("suffix_hosts", F.log1p(F.col("_hosts").cast("double"))).select("_suffix", "_n", "suffix_share", "suffix_hosts")
+    joined = attach(known, stats, ["_suffix"], "_n").drop("_n")
     return joined.withColumns({
         "url_length": F.length("_url"), "host_length": F.length("host"), "path_length": F.length("path"),
         "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")), "labels": F.size(F.split("host", "[.]")),

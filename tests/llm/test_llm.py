@@ -13,7 +13,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, jaccard, lattice, near_vectors, packing, resampling, secrets, segments, token_counts, token_files, urls
+from tessera.llm import common, decontaminate, jaccard, lattice, near_vectors, packing, resampling, secrets, segments, token_counts, token_files, urls
 from tessera.llm.common import components
 from tessera.llm.encode import Encoder, vocabulary
 from tessera.llm.queries import QUERIES
@@ -200,6 +200,22 @@ def test_near_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(990, 995))
 
 
+def test_near_vectors_odd_tables_and_large_buckets(spark):
+    """Empty tables, null ids, other lengths, clashing columns, and a bucket of several blocks, all against brute force."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(8)
+    rows = [(i, [float(x) for x in base + 0.05 * rng.standard_normal(8)]) for i in range(700)] + [(None, [1.0] * 8), (800, [1.0, 2.0]), (801, [1.0, 2.0]), (802, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"n": F.lit("clash"), "buckets": F.lit("clash"), "vector": F.lit("clash")})
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect()}
+    m = np.array([v for i, v in rows[:700]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.95
+    found, want = sum(got[i][0] for i in range(700)), int(near.sum()) - 700
+    assert 0.98 * want <= found <= want and all(got[i][0] <= int(near[i].sum()) - 1 for i in range(700))
+    assert got[800] == (2, 800, True) and got[801] == (2, 800, False) and got[802] == (2, 800, False) and got[None] == (0, None, False)
+    assert near_vectors.near_vectors(df.limit(0)).count() == 0
+
+
 def test_decontamination(spark, docs, odd):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, "one"), (901, ""), (902, None), (903, "a B c")], "item_id long, text string"))
     whole = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
@@ -217,8 +233,8 @@ def test_decontamination(spark, docs, odd):
                     hit |= set(range(k, k + n))
                     ids |= windows[tuple(w[k : k + n])]
         want[r.doc_id, len(w), len(hit), tuple(sorted(ids))] += 1
-    for most in (20_000, 30):  # in one part, and in several whose hits are merged
-        found = decontaminate.find_passages(whole, items, most_items=most).withColumn("n_hit", decontaminate.n_hit())
+    for most, size in ((20_000, 1 << 26), (30, 1 << 26), (20_000, 4000)):  # in one part, and in several whose hits are merged
+        found = decontaminate.find_passages(whole, items, most_items=most, most_bytes=size).withColumn("n_hit", decontaminate.n_hit())
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == want
     assert decontaminate.find_passages(whole, items.limit(0)).where("size(hit) > 0").count() == 0
 
@@ -336,10 +352,12 @@ def test_lattice_learns_from_long_unspaced_words(spark, monkeypatch):
     total = counts.sum() + 0.1 * len(counts) + ends + 0.1
     weight = np.log((counts + 0.1) / total)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r.doc_id: r.score for r in lattice.lattice_scores(df, path, F.col("doc_id") == 3).collect()}
+    found = lattice.lattice_scores(df, path, F.col("doc_id") == 3).collect()
+    rows, plain = {r.doc_id: r.score for r in found}, {r.doc_id: r.vocabulary_score for r in found}
     for i, ws in enumerate(words):
         want = sum(sums(w, weight) for w in ws) + math.log((ends + 0.1) / total)
         assert rows[i] * math.log(10) == pytest.approx(want, rel=1e-9)
+        assert plain[i] * math.log(10) == pytest.approx(sum(sums(w, model.prior) for w in ws), rel=1e-9)
     # words over many blocks
     monkeypatch.setattr(lattice, "BLOCK", 50)
     raw, times, found, want = [*words[0], words[1][2]], np.array([2.0, 3.0]), np.zeros(len(counts)), np.zeros(len(counts))
@@ -491,6 +509,50 @@ def test_url_rules_and_model(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_features_by_hand(spark):
+    """Every lexical feature and suffix statistic against plain Python; repeated rows; a suffix dealt over salts; one action only."""
+    rng = random.Random(3)
+    rows = [f"{rng.choice(['http', 'https'])}://{rng.choice(['A1', 'b-c', 'x.y2'])}.{rng.choice(['example', 'zz9'])}.{rng.choice(['com', 'net', 'info'])}{rng.choice(['', '/', '/en/a1', '/x//y/'])}{rng.choice(['', '?a=1&b=2', '?', '?x&&y'])}{rng.choice(['', '#f'])}" for _ in range(120)]
+    rows += [None, "", "no scheme 12", rows[0], rows[0], "http://" + "9" * 3000 + ".org/p?q"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumns(urls.parts())
+    got = {r.page_id: r for r in urls.lexical(pages).collect()}
+    assert len(got) == len(rows)
+
+    def pieces(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        tail = rest[len(host) :]
+        path = re.match(r"[^?#]*", tail).group()
+        query = re.match(r"[^?#]*\?([^#]*)", tail)
+        return host.translate(LOWER), path, query.group(1) if query else ""
+
+    entropy = lambda t: -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+    digits = lambda t: sum(c in "0123456789" for c in t) / len(t) if t else 0.0
+    suffix = [re.search(r"[^.]*$", pieces(u)[0]).group() for u in rows]
+    n, hosts = Counter(suffix), defaultdict(set)
+    for u, s in zip(rows, suffix, strict=True):
+        hosts[s].add(pieces(u)[0])
+    for i, (u, s) in enumerate(zip(rows, suffix, strict=True)):
+        host, path, query = pieces(u)
+        t = u or ""
+        want = {
+            "url_length": len(t), "host_length": len(host), "path_length": len(path), "depth": sum(x != "" for x in path.split("/")), "labels": len(host.split(".")), "digit_ratio": digits(t),
+            "host_digit_ratio": digits(host), "hyphens": host.count("-"), "entropy": entropy(t), "host_entropy": entropy(host), "parameters": sum(x != "" for x in query.split("&")), "has_fragment": int("#" in t),
+            "suffix_length": len(s), "suffix_share": math.log1p(n[s]) - math.log1p(len(rows)), "suffix_hosts": math.log1p(len(hosts[s])),
+        }
+        assert set(want) == set(urls.FEATURES)
+        for name, value in want.items():
+            assert got[i][name] == pytest.approx(value, rel=0.1 if name == "suffix_hosts" else 1e-6), (u, name)  # hosts are counted about
+    verdicts = {r.page_id: (r.verdict, r.block_score) for r in urls.judge(pages.drop("host", "path", "query")).collect()}
+    assert verdicts[0] == verdicts[len(rows) - 3] == verdicts[len(rows) - 2]
+    only = spark.createDataFrame([(0, "http://a.net/"), (1, "http://b.com/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(only).collect()} == {0: "block", 1: "block"}
+    values = spark.createDataFrame([("a", 5, 1.0), ("b", 1, 2.0)], "k string, n long, v double")
+    many = spark.createDataFrame([("a",)] * 5 + [("b",), ("c",)], "k string")
+    met = common.attach(many, values, ["k"], "n", per_task=2)
+    assert Counter((r.k, r.v) for r in met.collect()) == {("a", 1.0): 5, ("b", 2.0): 1}
+
+
 def test_resampling_ratios_and_weights_by_hand(spark, odd):
     """Log ratios, weights and keys against counts in plain Python; nulls, repeated rows, big ids and clashing columns."""
     rng = random.Random(6)
