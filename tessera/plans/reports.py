@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import tables as T
 from tessera.plans.base import BENCH_SQL, PRED_SQL, bench_rows, predictions, query, rounded, table
-from tessera.sources.files import path_keys, sections
+from tessera.sources.files import json_lines, path_keys, sections
+from tessera.sources.shared import fresh_dir
 
 _G = "WITH " + BENCH_SQL
 _CELL = f"{_G}, cell AS (SELECT task, framework, dataset, seed, avg(metric) AS value, avg(cost) AS cost FROM bench GROUP BY ALL)"
@@ -31,11 +32,14 @@ def _(spark, d):
     return both.groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("n_clusters"), F.round(F.sum("x"), 4).alias("total"))
 
 
-@query("src9_json_events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 10 = 0 AS corrupt FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id, NULL, true FROM events WHERE event_id % 10 = 0")
+@query("src9_json_events", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, NULL AS corrupt FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT NULL, NULL, '{"event_id":' || event_id FROM events WHERE event_id % 10 = 0""")
 def _(spark, d):
-    line = F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
-    parsed = F.from_json(line, "k long, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return table(spark, d, "events").select("event_id", parsed.alias("r")).select("event_id", "r.k", F.col("r._corrupt").isNotNull().alias("corrupt"))
+    """Events written as JSON lines, every tenth cut off, and read back: a bad line is a row with its text."""
+    path = fresh_dir(spark, "json-lines")
+    k = F.get_json_object("props", "$.k")
+    line = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.when(F.col("event_id") % 10 != 0, F.concat(F.lit(', "k": '), k, F.lit("}"))).otherwise(""))
+    table(spark, d, "events").select(line.alias("value")).write.text(path)
+    return json_lines(spark, path, "event_id long, k long").withColumnRenamed("_corrupt", "corrupt").withColumn("event_id", F.when(F.col("corrupt").isNull(), F.col("event_id")))
 
 
 @query("src10_artifact_keys", f"{_G} SELECT task, dataset, seed, version AS condition, count(*) AS n FROM bench GROUP BY ALL")

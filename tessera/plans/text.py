@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as X
 from tessera.plans.base import MULTI_SQL, PRED_SQL, multiclass, predictions, query, rounded, table
+from tessera.sources import files
+from tessera.sources.shared import fresh_dir
 
 
 @query("flt4_banned_patterns", f"SELECT doc_id, len(regexp_extract_all(text, '(er|st)ing\\b')) AS hits FROM documents WHERE regexp_matches(text, '(er|st)ing\\b')")
@@ -77,17 +79,17 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(alias, key), key).alias("name"))
 
 
-@query("str8_mean_std_cells", "SELECT o_orderkey, (o_custkey % 90 / 100.0)::DOUBLE * -1 AS mean, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.02 END::DOUBLE AS std FROM orders WHERE o_custkey % 90 > 0")
+@query("str8_mean_std_cells", "SELECT o_orderkey, (o_custkey % 90 / 100.0)::DOUBLE * -1 + 0.0 AS mean, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.02 END::DOUBLE AS std FROM orders")
 def _(spark, d):
     cell = F.concat(F.lit("−"), F.format_string("%.2f", F.col("o_custkey") % 90 / F.lit(100.0)), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("±0.02"))
-    o = table(spark, d, "orders").where("o_custkey % 90 > 0").select("o_orderkey", cell.alias("cell"))
+    o = table(spark, d, "orders").select("o_orderkey", cell.alias("cell"))
     mean, std = X.mean_std("cell")
     return o.select("o_orderkey", mean.alias("mean"), std.alias("std"))
 
 
 @query("str8_mean_std_cells_whole")
 def _(spark, d):
-    """Every order, those of a zero mean (a cell of −0.00) too; SQL covers the rows of str8_mean_std_cells."""
+    """Every order, those of a zero mean (a cell of −0.00) too; tested by brute force besides."""
     cell = F.concat(F.lit("−"), F.format_string("%.2f", F.col("o_custkey") % 90 / F.lit(100.0)), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("±0.02"))
     mean, std = X.mean_std("cell")
     return table(spark, d, "orders").select("o_orderkey", cell.alias("cell")).select("o_orderkey", mean.alias("mean"), std.alias("std"))
@@ -141,10 +143,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.substring("text", 1, 120)).alias("head"))
 
 
-@query("str17_display_repair", "SELECT c_custkey, round(c_acctbal, 1) AS c_acctbal, replace('0.5?0.1', '?', '±') AS cell FROM customer WHERE c_acctbal * 10 <> floor(c_acctbal * 10) + 0.5")
+@query("str17_display_repair", "SELECT c_custkey, round(c_acctbal::DECIMAL(18, 6), 1)::DOUBLE AS c_acctbal, c_nationkey || '.5±' || c_custkey AS cell FROM customer")
 def _(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal * 10 <> floor(c_acctbal * 10) + 0.5D")
-    return c.select("c_custkey", F.round("c_acctbal", 1).alias("c_acctbal"), F.regexp_replace(F.lit("0.5?0.1"), r"\?", "±").alias("cell"))
+    """Ties go away from zero, in decimals, in both engines."""
+    c = table(spark, d, "customer").withColumn("cell", F.concat(F.col("c_nationkey").cast("string"), F.lit(".5?"), F.col("c_custkey").cast("string")))
+    return c.select("c_custkey", X.half_up("c_acctbal", 1).alias("c_acctbal"), X.repaired("cell").alias("cell"))
 
 
 @query("str17_display_repair_whole")
@@ -183,10 +186,13 @@ def _(spark, d):
     return multiclass(spark, d).select("row_id", X.arg_max(F.array("pf", "po", "pp"), ["F", "O", "P"]).alias("label"))
 
 
-@query("snk5_checksums", "SELECT doc_id, sha256(text) AS sha FROM documents UNION ALL SELECT page_id + 1000000, sha256(html) FROM pages")
+@query("snk5_checksums", "SELECT doc_id % 20 AS k, strlen(x) AS length, sha256(x) AS sha256 FROM (SELECT doc_id % 20 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS x FROM documents GROUP BY 1)")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return docs.union(table(spark, d, "pages").select(F.col("page_id") + 1000000, F.sha2("html", 256)))
+    """Documents written as one text file for each rest of the id by 20, and every file's length and checksum."""
+    path = fresh_dir(spark, "texts")
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 20).alias("k"), "text")
+    docs.repartition("k").sortWithinPartitions("k", "doc_id").select("k", "text").write.partitionBy("k").text(path)
+    return files.checksums(spark, path, "*.txt").select(F.regexp_extract("path", r"k=(\d+)/", 1).cast("long").alias("k"), "length", "sha256")
 
 
 @query("src11_log_scan", "SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
