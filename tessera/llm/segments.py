@@ -18,6 +18,8 @@ from tessera.llm.words import Scanner, mix, shingles
 _M = np.uint64(0x9FB21C651E98DF25)
 #: Costs are measured for segments of a band apart, and above so many segments for groups of them.
 GROUPS = 64
+#: Bytes of text whose sets are worked on at once: some fifty numbers a word are held for each.
+SLICE_BYTES = 1 << 19
 #: Counters of one group's sketch of how many pairs of sets share a signature.
 COUNTERS = 16
 
@@ -73,7 +75,7 @@ def sets_of(batches, width: int):
     """(batch, first row, row after the last, owner, shingle, sizes) for runs of rows of each batch."""
     scanner = Scanner("space")
     for batch in batches:
-        for low, high, data, offsets in text_slices(batch, "text"):
+        for low, high, data, offsets in text_slices(batch, "text", SLICE_BYTES):
             yield (batch, low, high, *owned_sets(data, offsets, width, scanner))
 
 
