@@ -220,26 +220,19 @@ def labelled(rows: DataFrame, links: DataFrame, vertices: list[str]) -> DataFram
 def find_links(reps: DataFrame, width: int, percent: int, units: dict[int, np.ndarray]) -> DataFrame:
     """Links (a, b) between sets, as many as join their components. reps: vertex, text; no two sets are equal.
 
-    In each round a head of every signature meets the others: first the set whose signatures are shared most, as an
-    original is among its copies, then the least and the greatest vertex, until a round finds nothing. What is still
-    apart then meets in blocks.
+    A head of every signature meets the others first: the set whose signatures are shared most, as an original is among
+    its copies. What is still apart then meets in blocks.
     """
     kept = kept_signatures(reps, width, percent, units)
     bits = written(set_bits(reps, kept.select(F.col("vertex").alias("id")), width), "bits")
-    rest, links, tried = kept.withColumn("label", F.col("vertex")), None, None
-    for head in (F.max_by("vertex", "degree"), F.min("vertex"), F.max("vertex")):
-        heads = rest.groupBy("signature").agg(head.alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        met = rest.join(heads.select("signature", "head"), "signature").select(F.least("head", "vertex").alias("a"), F.greatest("head", "vertex").alias("b")).where("a < b").distinct()
-        if tried is not None:
-            met = labelled(met.join(tried, ["a", "b"], "left_anti"), links, ["a", "b"]).where("label_a <> label_b").select("a", "b")
-        met = written(met, "met")
-        found = verified(plausible(met, bits, percent), reps, width, percent)
-        links, tried = (found, met) if links is None else (links.union(found), tried.union(met))
-        if len(found.take(1)) == 0 and "n" in rest.columns:
-            break
-        rest = written(apart(labelled(rest, links, ["vertex"]).select("signature", "vertex", "degree", "label")), "apart")
+    heads = kept.groupBy("signature").agg(F.max_by("vertex", "degree").alias("head"), F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high")
+    met = kept.join(heads.select("signature", "head"), "signature").select(F.least("head", "vertex").alias("a"), F.greatest("head", "vertex").alias("b")).where("a < b").distinct()
+    met = written(met, "met")
+    links = verified(plausible(met, bits, percent), reps, width, percent)
+
+    rest = apart(labelled(kept, links, ["vertex"]).select("signature", "vertex", "label"))
     pairs = block_pairs(rest.join(bits, "vertex"), percent).distinct()
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "apart-pairs")
+    pairs = written(pairs.join(met, ["a", "b"], "left_anti"), "apart-pairs")
     if not pairs.limit(1).count():
         return links
     # one pair for each two components first: most others are then joined
