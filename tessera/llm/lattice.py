@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_slices, written
 from tessera.llm.encode import vocabulary
-from tessera.llm.words import Keys, Scanner, _BASE, mix
+from tessera.llm.words import Keys, Scanner, mix
 
 MARK = "▁".encode()
+_BASE = 0x9E3779B97F4A7C15  # of fingerprints modulo 2^64, of pieces only: none is long enough for a pattern to cancel
 LONG = 96
 BLOCK = 1 << 14
 CHUNK_BYTES = 16 << 20

@@ -1,4 +1,4 @@
-"""Vectorised word scanner over UTF-8 bytes: starts, ends and 64-bit fingerprints of words, A-Z lower-cased."""
+"""Vectorised word scanner over UTF-8 bytes: starts, ends and fingerprints of words, A-Z lower-cased."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_STEP = 1 << 22
+#: Two primes below 2^31 and a base for each; a word's value under both is its fingerprint, so no pattern of letters cancels.
+_PRIMES = ((2_147_483_647, 1_367_130_551), (2_147_483_629, 918_273_645))
+_STEP = 1 << 20
 _FILTER_BITS = 22
 
 
@@ -34,24 +34,39 @@ def _classes(kind: str) -> np.ndarray:
     return out
 
 
+class _Powers:
+    """Powers of a base and of its inverse modulo a prime, as many as were asked for."""
+
+    def __init__(self, prime: int, base: int):
+        self.prime, self.bases = prime, (base, pow(base, -1, prime))
+        self.up = self.down = np.ones(1, np.uint32)
+
+    def reach(self, n: int) -> None:
+        size = len(self.up)
+        if size >= n:
+            return
+        up, down = (np.ones(1 << (n - 1).bit_length(), np.uint32) for _ in range(2))
+        for out, base in ((up, self.bases[0]), (down, self.bases[1])):
+            done = 1
+            while done < len(out):
+                out[done : 2 * done] = out[:done].astype(np.uint64) * np.uint64(pow(base, done, self.prime)) % np.uint64(self.prime)
+                done *= 2
+        self.up, self.down = up, down
+
+
 class Scanner:
-    """Words of kind "space", "alnum" or "mixed". scan() takes concatenated texts and their offsets."""
+    """Words of kind "space", "alnum" or "mixed". scan() takes concatenated texts and their offsets.
+
+    A fingerprint holds the values of the word's bytes as a polynomial modulo two primes, mixed with its length: two
+    different words of n bytes share one with a probability of about (n / 2^31)^2, whatever their pattern.
+    """
 
     def __init__(self, kind: str):
         self.classes = _classes(kind)
-        byte = np.arange(256, dtype=np.uint64)
+        byte = np.arange(1, 257, dtype=np.uint64)
         byte[0x41:0x5B] += np.uint64(0x20)
-        self.value = mix(byte * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
-        self.power = self.inverse = np.zeros(0, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            n = max(n, 1 << 16)
-            back = np.uint64(pow(_BASE, -1, 1 << 64))
-            for name, base in (("power", np.uint64(_BASE)), ("inverse", back)):
-                step = np.full(n, base, np.uint64)
-                step[0] = 1
-                setattr(self, name, np.cumprod(step, dtype=np.uint64))
+        self.value = byte
+        self.powers = [_Powers(*x) for x in _PRIMES]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """starts, ends, fingerprints of all words, and for each text the index of its first word (one more at the end)."""
@@ -76,12 +91,42 @@ class Scanner:
         ends = np.append(edges[1:], len(block))
         word = kind[edges] != 0
         starts, ends = edges[word], ends[word]
-        self._powers(len(block))
-        total = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(self.value[block] * self.power[: len(block)], out=total[1:])
-        prints = mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        value = self.value[block]
+        whole = np.zeros(len(starts), np.uint64)
+        for powers in self.powers:
+            whole = (whole << np.uint64(31)) | self._sums(value, starts, ends, powers)
+        prints = mix(whole + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         return starts + at, ends + at, prints
 
+    @staticmethod
+    def _sums(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+        powers.reach(len(value))
+        prime = np.uint64(powers.prime)
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.multiply(value, powers.up[: len(value)], out=total[1:])
+        for low in range(0, len(value), _STEP):  # 2^8 x 2^31 x 2^20 stays below 2^63
+            part = total[low + 1 : low + _STEP + 1]
+            np.cumsum(part, out=part)
+            if low:
+                part += total[low] % prime
+        return (total[ends] % prime + prime - total[starts] % prime) % prime * powers.down[starts] % prime
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether each span of data, A-Z lower-cased, is word `which` of those laid end to end in `words` from `begin`."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[0x41:0x5B] += 0x20
+    same = ends - starts == np.diff(begin)[which]
+    rows, k = np.flatnonzero(same), 0
+    while len(rows) and k < 64:
+        rows = rows[starts[rows] + k < ends[rows]]
+        differ = lower[data[starts[rows] + k]] != words[begin[which[rows]] + k]
+        same[rows[differ]] = False
+        rows, k = rows[~differ], k + 1
+    for i in rows.tolist():  # few words are as long as that
+        same[i] = np.array_equal(lower[data[starts[i] + 64 : ends[i]]], words[begin[which[i]] + 64 : begin[which[i] + 1]])
+    return same
+
 
 def shingles(prints: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all runs of `width` words, and each text's first in them; a shorter text, but not an empty one, is one run."""
