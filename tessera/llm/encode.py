@@ -6,6 +6,8 @@ import os
 import re
 
 import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 #: The characters that Unicode calls white space.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -18,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The text of a tokenizer file that the driver has, for all executors; a vocabulary, so some MB whatever the corpus."""
+    with open(path, encoding="utf-8") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian uint32 bytes, equal to the library's encode(text, add_special_tokens=False).
 
@@ -31,11 +39,12 @@ class Encoder:
     whose id shows where each begins; those that hold the separator go alone.
     """
 
-    def __init__(self, path: str, ordinary: bool = False, keep: int = 60_000):
+    def __init__(self, vocabulary: str, ordinary: bool = False, keep: int = 60_000):
+        """vocabulary: the text of a tokenizer file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # texts are split at special strings before
         special = {} if ordinary else {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = special
@@ -91,8 +100,9 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, ordinary: bool = False) -> Encoder:
+def encoder(held: Broadcast, ordinary: bool = False) -> Encoder:
     """One for each Python worker, which Spark keeps between tasks."""
-    if (path, ordinary) not in _encoders:
-        _encoders[path, ordinary] = Encoder(path, ordinary)
-    return _encoders[path, ordinary]
+    key = held.value, ordinary
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_slices, written
-from tessera.llm.encode import encoder, vocabulary
+from tessera.llm.encode import encoder, shipped, vocabulary
 
 
 def cut_pieces(docs: DataFrame, path: str, end_id: int, room: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with the end id, in pieces of at most room ids."""
+    held = shipped(docs.sparkSession, path)
 
     def run(batches):
-        code = encoder(path)
+        code = encoder(held)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * room
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_dir, table, text_slices, written
-from tessera.llm.encode import encoder, vocabulary
+from tessera.llm.encode import encoder, shipped, vocabulary
 from tessera.llm.token_files import store
 
 #: The byte-level vocabulary's own end-of-document id. Texts are encoded as ordinary text, so no text's ids hold it.
@@ -24,10 +24,10 @@ def write_flat_files(docs: DataFrame, path: str, end_id: int = END_ID, folder: s
     Null and empty texts are empty documents, a null doc_id stays null, and repeated rows are documents each. The order
     inside a file is that of the rows; nothing is shuffled. Other columns are ignored; an empty table gives no files.
     """
-    folder = folder or fresh_dir(docs.sparkSession, "flat-tokens")
+    folder, held = folder or fresh_dir(docs.sparkSession, "flat-tokens"), shipped(docs.sparkSession, path)
 
     def run(batches):
-        code = encoder(path, ordinary=True)
+        code = encoder(held, ordinary=True)
         if max(code.tokenizer.get_vocab_size() - 1, end_id) >= 65536:
             raise ValueError("flat files hold ids of two bytes")
         end = np.array([end_id], "<u4").tobytes()
@@ -39,8 +39,8 @@ def write_flat_files(docs: DataFrame, path: str, end_id: int = END_ID, folder: s
                 if out is None:
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(place)
-                held = b"".join(x + end for x in code.ids(batch.column("text")[first:last].to_pylist()))
-                out.write(np.frombuffer(held, "<u4").astype("<u2").tobytes())
+                ids = b"".join(x + end for x in code.ids(batch.column("text")[first:last].to_pylist()))
+                out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                 size = last - first
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(uri), size), pa.array(np.arange(n, n + size), pa.int64()), batch.column("doc_id")[first:last]], ["file", "ordinal", "doc_id"])
                 n += size

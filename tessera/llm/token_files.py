@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_dir, table, text_slices, written
-from tessera.llm.encode import encoder, vocabulary
+from tessera.llm.encode import encoder, shipped, vocabulary
 
 #: Fixed values of the public seekable format.
 SKIP_LIST, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -124,13 +124,13 @@ def write_file(uri: str, documents: Iterable[tuple[int | None, bytes]], width: i
 
 
 def _files(documents: Iterator[tuple[int | None, bytes]], most: int) -> Iterator[Iterator[tuple[int | None, bytes]]]:
-    """The documents in runs of about `most` bytes, each to be used up before the next."""
+    """The documents in runs of about `most` bytes, 32 of them for a document's place in the list; each to be used up before the next."""
     rest = [next(documents, None)]
 
     def run():
         size = 0
         while (row := rest[0]) is not None and size < most:
-            size += len(row[1])
+            size += len(row[1]) + 32
             yield row
             rest[0] = next(documents, None)
 
@@ -146,10 +146,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
     closes a file after `most` bytes of ids. A task that is run again writes other files, and only files that the
     returned table names count.
     """
-    folder = folder or fresh_dir(docs.sparkSession, "token-files")
+    folder, held = folder or fresh_dir(docs.sparkSession, "token-files"), shipped(docs.sparkSession, path)
 
     def run(batches):
-        code = encoder(path)
+        code = encoder(held)
         width = 2 if code.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         end = np.array([end_id], "<u4").tobytes()
 

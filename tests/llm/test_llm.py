@@ -17,6 +17,7 @@ from tessera.llm import common, decontaminate, jaccard, lattice, near_vectors, p
 from tessera.llm.common import components
 from tessera.llm.encode import Encoder, vocabulary
 from tessera.llm.queries import QUERIES
+from tessera.llm.words import Scanner
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,6 +66,37 @@ def brute_classes(texts, width, percent):
     return sets, unions(pairs, sets)
 
 
+def opposite_words(n):
+    """Two words of n letters a and b whose polynomial values agree modulo a power of two."""
+    signs = [0]
+    while len(signs) < n:
+        signs += [1 - x for x in signs]
+    return "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+
+
+@pytest.mark.parametrize("kind", ["space", "alnum", "mixed"])
+def test_structured_words_have_fingerprints_of_their_own(kind):
+    words = [w for n in (512, 1024, 2048, 4096) for w in opposite_words(n)] + ["ab" * 1024, "ba" * 1024, "a" * 2048, "a" * 2049, "b"]
+    data = " ".join([*words, *words]).upper().encode()
+    _, _, prints, first = Scanner(kind).scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert first.tolist() == [0, 2 * len(words)] and prints[: len(words)].tolist() == prints[len(words) :].tolist() and len(set(prints.tolist())) == len(words)
+    long = ("é" * 700_000, "x" * 3_000_000 + "y", "x" * 3_000_001)  # words over several blocks
+    data = " ".join(["q", *long, "a", *long]).encode()
+    prints = Scanner("space").scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[2].tolist()
+    assert prints[1:4] == prints[5:] and len(set(prints)) == 5
+
+
+def test_structured_words_are_different_words_to_every_operator(spark):
+    a, b = opposite_words(2048)
+    rows = [(1, a), (2, b), (3, a + " tail"), (4, b + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in jaccard.similarity_classes(docs, 3, 90).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    found = decontaminate.find_passages(docs, spark.createDataFrame([("i", a)], "item_id string, text string")).orderBy("doc_id").collect()
+    assert [list(r["items"]) for r in found] == [["i"], [], ["i"], []]
+    scores = lattice.lattice_scores(docs, vocabulary("piece_bpe_32k.model"), F.col("doc_id") == 2).orderBy("doc_id").collect()
+    assert [r.n_known for r in scores] == [2, 1 + 1, 3, 3] and scores[0].n_tokens == 2
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
@@ -257,7 +289,8 @@ def test_encoder_equals_library(name, ordinary):
     rng = random.Random(4)
     bits = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|", "a", "B c", " ", "\n", "  \n ", "it's", "123", "é", "!!", "Ünï", "漢字", "\x01", "x" * 30]
     texts = [*ODD, *("".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(2000))]
-    e = Encoder(vocabulary(name), ordinary, keep=20)
+    with open(vocabulary(name), encoding="utf-8") as file:
+        e = Encoder(file.read(), ordinary, keep=20)
     for i in range(0, len(texts), 100):
         part = texts[i : i + 100]
         assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(part)] == [library_ids(name, x, ordinary) for x in part]
