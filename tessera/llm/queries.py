@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.byte_pairs import op11_byte_pairs
 from tessera.llm.decontaminate import op4_decontamination
 from tessera.llm.jaccard import op3_jaccard_join
 from tessera.llm.lattice import op7_lattice_likelihood
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
+    "op11_byte_pairs": op11_byte_pairs,
 }
 
 ORACLE_SQL: dict[str, str] = {
