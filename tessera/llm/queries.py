@@ -12,6 +12,7 @@ from tessera.llm.packing import op8_best_fit_packing
 from tessera.llm.resampling import op1_importance_resampling
 from tessera.llm.search import op12_ranked_search
 from tessera.llm.secrets import op10_secret_scans
+from tessera.llm.spelling import op13_spelling_variants
 from tessera.llm.token_counts import op9_token_counts
 from tessera.llm.token_files import op6_token_files
 from tessera.llm.urls import op5_url_filters
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_byte_pairs": op11_byte_pairs,
     "op12_ranked_search": op12_ranked_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -29,6 +29,9 @@ def _classes(kind: str) -> np.ndarray:
         out[[0x20, *range(0x09, 0x0E)]] = 0
     else:  # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing
         out[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = 1
+    if kind == "letters":  # A-Z, a-z, and U+00C0 to U+00FF, all of which begin with C3; see Scanner.kinds
+        out[:] = 0
+        out[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = 1
     if kind == "mixed":  # runs of letters and digits, and runs of other visible characters
         out[[i for i in range(0x21, 0x7F) if not out[i]]] = 2
     return out
@@ -55,34 +58,40 @@ class _Powers:
 
 
 class Scanner:
-    """Words of kind "space", "alnum" or "mixed". scan() takes concatenated texts and their offsets.
+    """Words of kind "space", "alnum", "mixed" or "letters". scan() takes concatenated texts and their offsets.
 
     A fingerprint holds the values of the word's bytes as a polynomial modulo two primes, mixed with its length: two
     different words of n bytes share one with a probability of about (n / 2^31)^2, whatever their pattern.
     """
 
     def __init__(self, kind: str):
-        self.classes = _classes(kind)
+        self.classes, self.pairs = _classes(kind), kind == "letters"
         byte = np.arange(1, 257, dtype=np.uint64)
         byte[0x41:0x5B] += np.uint64(0x20)
         self.value = byte
         self.powers = [_Powers(*x) for x in _PRIMES]
 
+    def kinds(self, data: np.ndarray) -> np.ndarray:
+        """The class of every byte."""
+        out = self.classes[data]
+        if self.pairs and len(data):
+            out[1:] |= data[:-1] == 0xC3
+        return out
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """starts, ends, fingerprints of all words, and for each text the index of its first word (one more at the end)."""
-        parts, at = [], 0
+        parts, at, kinds = [], 0, self.kinds(data)
         while at < len(data):
             to = min(at + _STEP, len(data))
-            while to < len(data) and self.classes[data[to]] == self.classes[data[to - 1]] != 0:
+            while to < len(data) and kinds[to] == kinds[to - 1] != 0:
                 to += 1
-            parts.append(self._block(data, offsets, at, to))
+            parts.append(self._block(data, kinds[at:to], offsets, at, to))
             at = to
         starts, ends, prints = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.uint64)))
         return starts, ends, prints, np.searchsorted(starts, offsets, "left")
 
-    def _block(self, data, offsets, at, to):
+    def _block(self, data, kind, offsets, at, to):
         block = data[at:to]
-        kind = self.classes[block]
         first = np.ones(len(block), bool)
         first[1:] = kind[1:] != kind[:-1]
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
