@@ -154,9 +154,11 @@ def consensus_top_k(long: DataFrame, truth: DataFrame, most: int | None = 5, lea
     return aligned_vote(long.where(F.col("candidate").isin(names)), names[0])
 
 
-def output_control(long: DataFrame, truth: DataFrame) -> DataFrame:
+def output_control(long: DataFrame, truth: DataFrame, cut: bool = False) -> DataFrame:
     """source, config, ari, nmi, rand on test of eight configurations: teacher or student labelings, one or their vote.
 
+    With `cut` a ninth and tenth, coassociation: the labels of consensus.coassociation_cut over each source's labelings.
+
     long: source, candidate, row_id, label. truth: row_id, y, split (val or test). single is the candidate of the best
     validation ari, majority and weighted vote after alignment to it (weights are validation ari), and auto is
     whichever of the three is best on validation.
@@ -172,6 +174,10 @@ def output_control(long: DataFrame, truth: DataFrame) -> DataFrame:
             "single": part.where(F.col("candidate") == anchor).select("row_id", F.col("label").cast("long").alias("label")),
             "majority": aligned_vote(part, anchor), "weighted": aligned_vote(part, anchor, names),
         }
+        if cut:
+            from tessera.operators.consensus import coassociation_cut
+
+            made["coassociation"] = coassociation_cut(part)
         rows = None
         for config, labels in made.items():
             row = labels.withColumn("config", F.lit(config))
@@ -179,7 +185,7 @@ def output_control(long: DataFrame, truth: DataFrame) -> DataFrame:
         cells = rows.join(truth, "row_id").groupBy("config", "split", "label", "y").agg(F.count("*").alias("n"))
         scores = label_scores(cells, "label", "y", by=["config", "split"])
         order = Window.orderBy(F.desc("ari"), "config")  # three rows
-        auto = scores.where("split = 'val'").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("config")
+        auto = scores.where("split = 'val' and config <> 'coassociation'").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("config")
         test = scores.where("split = 'test'").drop("split")
         whole = test.unionByName(test.join(auto, "config", "left_semi").withColumn("config", F.lit("auto"))).withColumn("source", F.lit(source))
         out = whole if out is None else out.unionByName(whole)

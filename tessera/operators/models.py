@@ -268,11 +268,10 @@ def clusterers(k: int, seed: int) -> dict:
 
 
 def light_clusterers(k: int, seed: int) -> dict:
-    """Few iterations from a random start in place of mini batches, and a divided tree in place of a clustering-feature tree."""
-    return {
-        "minibatch": ML.KMeans(k=k, seed=seed, maxIter=5, initMode="random", featuresCol="features", predictionCol="label"),
-        "birch": ML.BisectingKMeans(k=k, seed=seed, minDivisibleClusterSize=2.0, featuresCol="features", predictionCol="label"),
-    }
+    """Clusterers that see a row once or less."""
+    from tessera.operators.batches import Birch, MiniBatchKMeans
+
+    return {"minibatch": MiniBatchKMeans(k, seed), "birch": Birch(k, seed)}
 
 
 def teacher_candidates(fit: DataFrame, val: DataFrame, truth: str, sizes: list[int], seed: int) -> DataFrame:

@@ -12,6 +12,8 @@ from tessera.operators import cluster as K
 from tessera.operators import ensemble as N
 from tessera.operators import metrics as M
 from tessera.operators import models as L
+from tessera.operators.consensus import coassociation_cut
+from tessera.operators.mixtures import KINDS, fit_mixture
 from tessera.operators.split import class_weight, random_split, stratified_split
 from tessera.plans.base import MULTI_SQL, PRED_SQL, multiclass, predictions, query, rounded, table
 from tessera.plans.modelling import BASE, order_parts, order_task
@@ -172,12 +174,20 @@ def _points(spark, d) -> tuple[DataFrame, DataFrame]:
 def _(spark, d):
     fit, val = _points(spark, d)
     out = None
-    for name, estimator in L.light_clusterers(4, 42).items():
+    for name, estimator in L.light_clusterers(10, 42).items():
         row = M.label_scores(M.contingency(estimator.fit(fit).transform(val), "truth", "label"), "truth", "label").withColumn("candidate", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("clu2_mixtures")
+def _(spark, d):
+    """Mixtures of line items by each kind of covariance: components by size with the least and largest weight, and the mean log likelihood."""
+    lines = table(spark, d, "lineitem").select((F.col("l_quantity") / 10).alias("quantity"), (F.col("l_extendedprice") / 20000).alias("price"), (F.col("l_discount") * 30).alias("discount"), (F.col("l_tax") * 40).alias("tax"))
+    found = [(kind, fit_mixture(lines, lines.columns, 3, kind, max_iter=15)) for kind in KINDS]
+    return spark.createDataFrame([(kind, float(m.weights.min()), float(m.weights.max()), m.history[-1], all(b >= a - 1e-9 for a, b in zip(m.history, m.history[1:]))) for kind, m in found], "kind string, least double, largest double, log_likelihood double, rises boolean")
+
+
 @query("clu5_materialised")
 def _(spark, d):
     """The first ranked clusterer whose labels are valid; one that gives one cluster, and one that fails, are passed over."""
@@ -193,7 +203,7 @@ def _(spark, d):
 @query("clu6_teacher_candidates")
 def _(spark, d):
     fit, val = _points(spark, d)
-    return L.teacher_candidates(fit, val, "truth", [4], 42)
+    return L.teacher_candidates(fit, val, "truth", [4, 10], 42)
 
 
 @query("enc18_raw_or_scaled")
@@ -239,9 +249,24 @@ def _(spark, d):
     return K.consensus_top_k(_labelings(spark, d), _truth(spark, d), most=None)
 
 
-@query("cns8_output_control")
+@query("cns6_coassociation_labels")
 def _(spark, d):
+    """Each customer's label by the cut of the co-association of four labelings."""
+    return coassociation_cut(_labelings(spark, d))
+
+
+def _sources(spark, d) -> DataFrame:
     teacher = _labelings(spark, d)
     student = teacher.withColumn("label", F.when(F.col("row_id") % 11 == 0, (F.col("label") + 1) % 4).otherwise(F.col("label")))
-    long = teacher.withColumn("source", F.lit("teacher")).unionByName(student.withColumn("source", F.lit("student")))
-    return K.output_control(written(long, "labelings"), _truth(spark, d))
+    return written(teacher.withColumn("source", F.lit("teacher")).unionByName(student.withColumn("source", F.lit("student"))), "labelings")
+
+
+@query("cns8_output_control")
+def _(spark, d):
+    return K.output_control(_sources(spark, d), _truth(spark, d))
+
+
+@query("cns8_output_control_cut")
+def _(spark, d):
+    """The same with the co-association cut among the configurations."""
+    return K.output_control(_sources(spark, d), _truth(spark, d), cut=True)
