@@ -95,7 +95,7 @@ def count_words(docs: DataFrame, drop_one_in: int = 97) -> DataFrame:
     return runs.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_grams(words: DataFrame, most: int = 4_000, least: int = 100) -> frozenset[str]:
+def frequent_grams(words: DataFrame, most: int = 20_000, least: int = 50) -> frozenset[str]:
     """Grams of 2 to LONGEST - 1 characters, counted once for each place in the words, that occur more often than a threshold, and so do all their beginnings.
 
     The threshold is `least`, or the number of places / `most` if that is more: at most `most` grams of each length reach
