@@ -88,6 +88,26 @@ def ece(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, right_closed:
     return table.groupBy(*(by or [])).agg(F.try_divide(F.sum(F.col("count") * gap), F.sum("count").cast("double")).alias("ece"))
 
 
+def binary_scores(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5, bins: int = 10) -> DataFrame:
+    """metric and value of every binary metric: all from the positives and negatives of each distinct score, which is one pass over the rows."""
+    counts = _by_score(df, y, p, [])
+    total = counts.agg(F.sum("_pos").cast("double").alias("_P"), F.sum("_neg").cast("double").alias("_N"))
+    both = running(counts, value_bucket(p), [F.col(p)], {"_pu": F.col("_pos"), "_nu": F.col("_neg")}).crossJoin(F.broadcast(total))  # one row
+    pos, neg, q = F.col("_pos"), F.col("_neg"), F.col(p)
+    tp, fp = F.col("_P") - F.col("_pu") + pos, F.col("_N") - F.col("_nu") + neg  # at this score and above
+    hit = q >= threshold
+    cells = {"tp": F.sum(F.when(hit, pos).otherwise(0)), "fp": F.sum(F.when(hit, neg).otherwise(0)), "fn": F.sum(F.when(hit, 0).otherwise(pos)), "tn": F.sum(F.when(hit, 0).otherwise(neg))}
+    n = F.first("_P") + F.first("_N")
+    row = both.agg(
+        F.try_divide(F.sum(pos * (F.col("_nu") - neg / 2.0)), F.first("_P") * F.first("_N")).alias("auc"), F.try_divide(F.sum(pos * tp / (tp + fp)), F.first("_P")).alias("pr_auc"),
+        F.try_divide(F.sum(pos * F.pow(q - 1, 2) + neg * F.pow(q, 2)), n).alias("brier"), F.try_divide(F.sum(-pos * F.log(clip(q)) - neg * F.log(1 - clip(q))), n).alias("log_loss"), *[c.alias(k) for k, c in cells.items()],
+    )
+    binned = counts.groupBy(right_closed_bin(p, bins).alias("bin")).agg(F.abs(F.sum(pos) - F.sum((pos + neg) * q)).alias("gap"), F.sum(pos + neg).alias("n"))
+    row = row.withColumns(threshold_scores(*[F.col(k) for k in cells])).drop(*cells)
+    row = row.crossJoin(F.broadcast(binned.agg(F.try_divide(F.sum("gap"), F.sum("n").cast("double")).alias("ece"))))  # one row
+    return row.unpivot([], row.columns, "metric", "value")
+
+
 def multiclass_scores(df: DataFrame, y: str = "y", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """accuracy and weighted and macro precision, recall and f1, from the contingency counts."""
     by = by or []

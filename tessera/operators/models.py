@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import classification as MC
 from pyspark.ml import clustering as ML
 from pyspark.ml import regression as MR
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
@@ -60,12 +63,43 @@ def scored(model, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, p.alias("p"))
 
 
-def fit_pool(pool: dict, fit: DataFrame, other: DataFrame, keep: list[str]) -> DataFrame:
-    """Long predictions (keep, model, p) on `other` by each model of the pool; one that cannot be fitted is left out."""
+def together(tasks: dict, workers: int = 4) -> tuple[dict, dict]:
+    """(results, errors) of functions by key, some of them at a time: each starts Spark jobs of its own, and one that raises stops no other."""
+    results, errors = {}, {}
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as threads:
+        inherit = inheritable_thread_target(SparkSession.getActiveSession())
+        running = {key: threads.submit(inherit(task)) for key, task in tasks.items()}
+        for key, future in running.items():
+            try:
+                results[key] = future.result()
+            except Exception as e:  # noqa: BLE001 - whatever a model raises
+                errors[key] = e
+    return results, errors
+
+
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:200]
+
+
+def fit_pool(pool: dict, fit: DataFrame, other: DataFrame, keep: list[str], log: list[tuple[str, str]] | None = None, workers: int = 4) -> DataFrame:
+    """Long predictions (keep, model, p) on `other` by each model of the pool, fitted `workers` at a time.
+
+    One that cannot be fitted is left out, and goes with why into log, if given; if none can be, it is an error.
+    """
+    fitted, errors = together({name: (lambda e=estimator: e.fit(fit)) for name, estimator in pool.items()}, workers)
     out = None
-    for name, estimator in pool.items():
-        part = scored(estimator.fit(fit), other, keep).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    for name in pool:
+        if name in fitted:
+            try:
+                part = scored(fitted[name], other, keep).withColumn("model", F.lit(name))
+            except Exception as e:  # noqa: BLE001 - a model that cannot predict
+                errors[name] = e
+                continue
+            out = part if out is None else out.unionByName(part)
+    if log is not None:
+        log += [(name, _reason(errors[name])) for name in pool if name in errors]
+    if out is None:
+        raise ValueError(f"no model could be fitted: {({n: _reason(e) for n, e in errors.items()})}")
     return out
 
 
@@ -74,13 +108,23 @@ def candidate_table(predictions: DataFrame, by: list[str]) -> DataFrame:
     return M.roc_auc(predictions, by=by).join(M.probability_scores(predictions, by=by), by)
 
 
-def out_of_fold(pool: dict, df: DataFrame, row_id: str, k: int, seed: int, target: str | None = "y") -> DataFrame:
-    """Long predictions (row_id, y, model, p) where each row's model never saw the row's fold."""
+def out_of_fold(pool: dict, df: DataFrame, row_id: str, k: int, seed: int, target: str | None = "y", log: list[tuple[str, str]] | None = None, workers: int = 4) -> DataFrame:
+    """Long predictions (row_id, y, model, p) where each row's model never saw the row's fold; models and folds are fitted `workers` at a time.
+
+    A model that cannot be fitted on some fold is left out of all, and goes with why into log, if given.
+    """
     folded = written(k_fold(df, k, seed, row_id, target), "folds")
+    fitted, errors = together({(name, fold): (lambda e=e, fold=fold: e.fit(folded.where(F.col("fold") != fold))) for name, e in pool.items() for fold in range(k)}, workers)
+    failed = {name: e for (name, _), e in reversed(errors.items())}
+    if log is not None:
+        log += [(name, _reason(failed[name])) for name in pool if name in failed]
     out = None
-    for fold in range(k):
-        part = fit_pool(pool, folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold), [row_id, "y"])
-        out = part if out is None else out.unionByName(part)
+    for (name, fold), model in fitted.items():
+        if name not in failed:
+            part = scored(model, folded.where(F.col("fold") == fold), [row_id, "y"]).withColumn("model", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no model could be fitted on all folds: {({n: _reason(e) for n, e in failed.items()})}")
     return written(out, "out-of-fold")
 
 
@@ -109,24 +153,34 @@ def tuned_meta_classifier(train: DataFrame, names: list[str], row_id: str, k: in
     return meta_classifier(train, names, min(grid, key=lambda c: (losses[c], -c)))
 
 
+def _bases(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int, seed: int, target: str | None) -> tuple[list[str], DataFrame, DataFrame]:
+    """(names of the bases that could be fitted throughout, their out-of-fold predictions, those on test), a column a base; fitted one by one, so that sums come in the same order each time."""
+    log: list[tuple[str, str]] = []
+    long = out_of_fold(pool, fit, row_id, k, seed, target, log, workers=1)
+    names = [n for n in pool if n not in dict(log)]
+    on_test = fit_pool({n: pool[n] for n in names}, fit, test, [row_id, "y"], log, workers=1)
+    names = [n for n in names if n not in dict(log)]
+    return names, wide(long.where(F.col("model").isin(names)), row_id, names), wide(on_test, row_id, names)
+
+
 def stack(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 5, seed: int = 42, tune: bool = True) -> DataFrame:
     """row_id, y, p on test: a logistic meta model on out-of-fold probabilities, bases refitted on all of fit.
 
     Test labels are carried but never used, so changing them changes nothing else. Out-of-fold predictions are a written
-    table, as the meta model reads them several times.
+    table, as the meta model reads them several times. Bases that cannot be fitted are left out; stacking.stack_binary
+    names them, scales, searches, calibrates and sets a threshold.
     """
-    names = list(pool)
-    oof = written(wide(out_of_fold(pool, fit, row_id, k, seed), row_id, names), "stack-features")
+    names, oof, on_test = _bases(pool, fit, test, row_id, k, seed, "y")
+    oof = written(oof, "stack-features")
     meta = tuned_meta_classifier(oof, names, row_id, k, seed=seed) if tune else meta_classifier(oof, names)
-    return scored(meta, assembled(wide(fit_pool(pool, fit, test, [row_id, "y"]), row_id, names), names), [row_id, "y"])
+    return scored(meta, assembled(on_test, names), [row_id, "y"])
 
 
 def stack_regression(pool: dict, fit: DataFrame, test: DataFrame, row_id: str, k: int = 5, seed: int = 42) -> DataFrame:
     """The same with a ridge meta model."""
-    names = list(pool)
-    oof = wide(out_of_fold(pool, fit, row_id, k, seed, None), row_id, names)
+    names, oof, on_test = _bases(pool, fit, test, row_id, k, seed, None)
     meta = MR.LinearRegression(featuresCol="features", labelCol="y", regParam=1.0).fit(assembled(oof, names))
-    return scored(meta, assembled(wide(fit_pool(pool, fit, test, [row_id, "y"]), row_id, names), names), [row_id, "y"])
+    return scored(meta, assembled(on_test, names), [row_id, "y"])
 
 
 def stack_given(train: DataFrame, test: DataFrame, names: list[str], row_id: str, regression: bool = False) -> DataFrame:

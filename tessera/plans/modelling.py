@@ -13,8 +13,10 @@ from tessera.operators import metrics as M
 from tessera.operators import models as L
 from tessera.operators.encode import encode
 from tessera.operators.split import class_weight, stratified_split, three_way_split
+from tessera.operators.stacking import stack_binary
+from tessera.operators.store import PredictionStore, classification_candidates
 from tessera.plans.base import query, table
-from tessera.sources.shared import written
+from tessera.sources.shared import fresh_dir, written
 
 BASE = ["price", "customer", "month", "priority"]
 
@@ -80,11 +82,37 @@ def _(spark, d):
     return L.stack(L.classifiers(42), fit, test, "row_id").select("row_id", "y", "p")
 
 
+def _broken():
+    """A base that raises when it is fitted."""
+    return MC.LogisticRegression(featuresCol="no such column", labelCol="y")
+
+
+@query("stk1_full_stack")
+def _(spark, d):
+    """The pool and a base that raises: test metrics at the chosen threshold, which bases were used and which dropped, and the C found in three times five folds."""
+    fit, _, test = order_parts(spark, d)
+    found = stack_binary(L.classifiers(42) | {"broken": _broken()}, fit, test, "row_id")
+    return found.scores().withColumns({"used": F.lit(",".join(found.names)), "dropped": F.lit(",".join(n for n, _ in found.dropped)), "c": F.lit(found.strength), "threshold": F.lit(found.threshold)})
+
+
 @query("stk3_stacking_regression")
 def _(spark, d):
+    """The whole pool of regressors, out of five folds."""
     fit, test = _prices(spark, d)
-    pool = {n: m for n, m in L.regressors(42).items() if n in ("forest", "ridge")}
-    return L.stack_regression(pool, fit, test, "row_id")
+    return L.stack_regression(L.regressors(42), fit, test, "row_id")
+
+
+@query("mod5_stored_candidates")
+def _(spark, d):
+    """Candidates over train, validation and test from stored predictions: metrics by model and split, and whether the second look fitted anything."""
+    fit, val, test = order_parts(spark, d)
+    store = PredictionStore(fresh_dir(spark, "predictions"))
+    parts = {"fit": fit, "val": val, "test": test}
+    pool = {n: m for n, m in L.classifiers(42).items() if n in ("logistic", "tree", "forest")}
+    store.predictions(pool, fit, parts, "row_id")
+    again = PredictionStore(store.folder)
+    found = again.predictions(pool, fit, parts, "row_id")
+    return classification_candidates(found).withColumn("fitted_again", F.lit(len(again.fitted)))
 
 
 @query("dis1_hard_labels")
@@ -159,30 +187,30 @@ def _(spark, d):
 def flagship(spark, d, task: DataFrame | None = None) -> DataFrame:
     """metric, value on test of the calibrated stack, and which feature route and models won on validation.
 
-    Every classifier of the pool competes on both routes; the best two of the better route are stacked, tuned out of
-    fold, and calibrated on validation.
+    Every classifier of the pool competes on both routes; the best two of the better route are stacked out of three folds,
+    the meta model's C is searched over its own three folds, and a sigmoid fitted on validation calibrates.
     """
     routes = {"raw": BASE, "interaction": [*BASE, "price_month"]}
+    routes = {r: f for r, f in routes.items() if P.within_budget(BASE, f[len(BASE) :])}
     pool = L.classifiers(42)
-    task = written(order_task(spark, d) if task is None else task, "task")
-    best = None
+    task = class_weight(order_task(spark, d) if task is None else task, "y")
     for route, features in routes.items():
-        if not P.within_budget(BASE, features[len(BASE) :]):
-            continue
-        parts = written(three_way_split(class_weight(L.assembled(task, features), "y"), "y", 42, "row_id"), "route")
-        fit, val, test = (parts.where(F.col("split") == s) for s in ("fit", "val", "test"))
-        predicted = written(L.fit_pool(pool, fit, val, ["row_id", "y"]), "candidates")
-        scores = L.candidate_table(predicted, ["model"]).orderBy(F.col("auc").desc(), "model").collect()  # models
-        if best is None or scores[0]["auc"] > best[1]:
-            best = (route, scores[0]["auc"], [r["model"] for r in scores[:2]], fit, val, test)
-    route, auc, names, fit, val, test = best
-    raw = L.stack({n: pool[n] for n in names}, fit, val.unionByName(test), "row_id", k=3, tune=False)
-    raw = written(raw.join(val.select("row_id", F.lit(True).alias("v")), "row_id", "left"), "stacked")
-    calibrated = written(C.platt(raw.where("v"), "y", "p", raw.where("v is null")).select("y", "calibrated"), "calibrated")
-    table_ = M.roc_auc(calibrated, p="calibrated").crossJoin(M.average_precision(calibrated, p="calibrated")).crossJoin(M.probability_scores(calibrated, p="calibrated")).crossJoin(M.ece(calibrated, p="calibrated"))
-    table_ = table_.crossJoin(M.confusion(calibrated, p="calibrated").select("accuracy", "balanced_accuracy", "f1"))  # single rows
-    names_ = table_.columns
-    return table_.unpivot([], names_, "metric", "value").withColumn("route", F.lit(route)).withColumn("models", F.lit(",".join(names))).withColumn("validation_auc", F.lit(auc))
+        task = L.assembled(task, features).withColumnRenamed("features", route)
+    parts = written(three_way_split(task, "y", 42, "row_id").select("row_id", "y", "weight", "split", *routes), "routes")
+    seen = lambda split, route: parts.where(F.col("split") == split).withColumn("features", F.col(route))
+    fitted, _ = L.together({(route, name): (lambda r=route, e=e: e.fit(seen("fit", r))) for route in routes for name, e in pool.items()}, workers=8)
+    predicted = None
+    for (route, name), model in fitted.items():
+        part = L.scored(model, seen("val", route), ["row_id", "y"]).select("y", "p", F.lit(route).alias("route"), F.lit(name).alias("model"))
+        predicted = part if predicted is None else predicted.unionByName(part)
+    scores = M.roc_auc(predicted, by=["route", "model"]).orderBy(F.col("auc").desc(), F.col("route").desc(), "model").collect()  # routes and models
+    route, auc = scores[0]["route"], scores[0]["auc"]
+    names = [r["model"] for r in scores if r["route"] == route][:2]
+    found = stack_binary({n: pool[n] for n in names}, seen("fit", route), seen("val", route).unionByName(seen("test", route)), "row_id", k=3, repeats=1, calibrate=False, optimise="log_loss", workers=8)
+    told = found.predictions.join(parts.select("row_id", "split"), "row_id")
+    calibrated = written(C.platt(told.where("split = 'val'"), "y", "p", told.where("split = 'test'")).select("y", "calibrated"), "calibrated")
+    told = M.binary_scores(calibrated, p="calibrated").where("metric not in ('precision', 'recall', 'youden_j')")
+    return told.withColumn("route", F.lit(route)).withColumn("models", F.lit(",".join(names))).withColumn("validation_auc", F.lit(auc))
 
 
 query("flagship")(flagship)
