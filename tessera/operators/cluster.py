@@ -192,43 +192,11 @@ def output_control(long: DataFrame, truth: DataFrame, cut: bool = False) -> Data
     return out.select("source", "config", "ari", "nmi", "rand")
 
 
-def knn_join(df: DataFrame, row_id: str, features: list[str], k: int, queries: DataFrame, block: int = 512, held: int = 20_000) -> DataFrame:
-    """(query, neighbour, distance) of the k nearest rows of df for each of a stated set of queries, ties by row_id.
+def knn_join(df: DataFrame, row_id: str, features: list[str], k: int, queries: DataFrame) -> DataFrame:
+    """(query, neighbour, distance) of the k nearest rows of df for each of a stated set of queries, ties by row_id."""
+    from tessera.operators.neighbours import nearest
 
-    df is dealt into parts; every part keeps its own k best for a block of queries, and k of those remain. Queries are
-    dealt into blocks of about `held` rows; df is read once a block, and only one block's queries are held in a task.
-    """
-    n = queries.count()
-    out = None
-    for part in range(max(1, -(-n // held))):
-        asked = queries.where(F.pmod(F.xxhash64(row_id), F.lit(max(1, -(-n // held)))) == part).select(row_id, *features)
-        found = _near_block(df, row_id, features, k, asked, block)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _near_block(df: DataFrame, row_id: str, features: list[str], k: int, asked: DataFrame, block: int) -> DataFrame:
-    import pandas as pd
-
-    asked = asked.toPandas()  # about `held` rows
-    ids, points = asked[row_id].to_numpy(), asked[features].to_numpy(float)
-
-    def near(parts):
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for pdf in parts:
-            other, names = pdf[features].to_numpy(float), pdf[row_id].to_numpy(np.int64)
-            for low in range(0, len(names), block):
-                part, own = other[low : low + block], names[low : low + block]
-                d = np.sqrt(np.maximum(((points[:, None, :] - part[None, :, :]) ** 2).sum(axis=2), 0))
-                d[ids[:, None] == own[None, :]] = np.inf
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(own, d.shape)])
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        flat = np.isfinite(best_d)
-        yield pd.DataFrame({"query": np.repeat(ids, flat.sum(axis=1)), "neighbour": best_i[flat], "distance": best_d[flat]})
-
-    found = df.select(F.col(row_id).cast("long"), *features).mapInPandas(near, "query long, neighbour long, distance double")
-    return found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("_r") <= k).drop("_r")
+    return nearest(df, queries, row_id, features, k)
 
 
 def projection_bins(df: DataFrame, row_id: str, bins: int) -> DataFrame:

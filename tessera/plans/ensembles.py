@@ -201,6 +201,15 @@ def _(spark, d):
     return rounded(both.agg(F.avg(same.cast("double")).alias("agreement")))
 
 
+@query("evk5_euclidean_silhouette", f"WITH {_PTS}, q AS (SELECT * FROM pts WHERE row_id % 20 = 0), n AS (SELECT label, count(*) AS n FROM pts GROUP BY label), t AS (SELECT q.row_id AS query, q.label AS own, p.label, sum(sqrt((p.x - q.x) * (p.x - q.x) + (p.z - q.z) * (p.z - q.z))) AS t FROM q, pts p GROUP BY ALL), m AS (SELECT query, own, max(CASE WHEN t.label = own THEN t / (n - 1) END) AS a, min(CASE WHEN t.label <> own THEN t / n END) AS b FROM t JOIN n USING (label) GROUP BY query, own) SELECT query, own::BIGINT AS label, round((b - a) / greatest(a, b), 6) AS silhouette FROM m")
+def _(spark, d):
+    """Euclidean silhouette of every twentieth customer against all of them."""
+    from tessera.operators.neighbours import silhouettes
+
+    pts = _points(spark, d)
+    return rounded(silhouettes(pts, "row_id", "label", ["x", "z"], pts.where("row_id % 20 = 0")))
+
+
 @query("clu4_projection_bins", "WITH p AS (SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x / i)) AS s FROM embeddings), q AS (SELECT quantile_cont(s, 0.25) AS a, median(s) AS b, quantile_cont(s, 0.75) AS c FROM p) SELECT vec_id, ((s > a)::INT + (s > b)::INT + (s > c)::INT)::BIGINT AS label FROM p, q")
 def _(spark, d):
     """Quartiles along a fixed direction over the whole embedding."""

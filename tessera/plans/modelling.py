@@ -12,6 +12,7 @@ from tessera.operators import features as P
 from tessera.operators import metrics as M
 from tessera.operators import models as L
 from tessera.operators.encode import encode
+from tessera.operators.named_models import named
 from tessera.operators.split import class_weight, stratified_split, three_way_split
 from tessera.operators.stacking import stack_binary
 from tessera.operators.store import PredictionStore, classification_candidates
@@ -115,6 +116,21 @@ def _(spark, d):
     return classification_candidates(found).withColumn("fitted_again", F.lit(len(again.fitted)))
 
 
+@query("mod4_named_classifiers")
+def _(spark, d):
+    """Test metrics of every classifier that a configuration can name, a vote of nearest neighbours among them."""
+    fit, _, test = order_parts(spark, d)
+    names = ["SVC", "LogisticRegression", "DecisionTreeClassifier", "RandomForestClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier", "BaggingClassifier", "KNeighborsClassifier"]
+    return L.candidate_table(L.fit_pool(named(names), fit, test, ["row_id", "y"]), ["model"])
+
+
+@query("mod4_named_regressors")
+def _(spark, d):
+    fit, test = _prices(spark, d)
+    names = ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "DecisionTreeRegressor", "RandomForestRegressor", "XGBRegressor", "LGBMRegressor", "CatBoostRegressor", "BaggingRegressor", "KNeighborsRegressor"]
+    return M.regression_scores(L.fit_pool(named(names, regression=True), fit, test, ["row_id", "y"]), by=["model"])
+
+
 @query("dis1_hard_labels")
 def _(spark, d):
     fit, _, test = order_parts(spark, d)
