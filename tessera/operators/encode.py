@@ -191,3 +191,32 @@ def require_numeric(df: DataFrame) -> DataFrame:
     if bad := {n: k for n, k in violations(df).items() if k}:
         raise ValueError(f"not numeric and finite: {bad}")
     return df
+
+
+def principal_components(fit: DataFrame, share: float = 0.95, standardise: bool = True):
+    """A function of a table that replaces `features` by its first principal components, as many as explain `share` of fit's variance.
+
+    One pass gives means and deviations, one the covariances; loadings are applied as array expressions. Each component's
+    largest loading is above zero. A constant feature only counts as centred; rows with a null vector keep a null.
+    """
+    import numpy as np
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scaler = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(fit.where("features is not null"))
+    mean, std = scaler.mean.toArray(), scaler.std.toArray()
+    scale = np.where(std > 0, 1 / np.where(std > 0, std, 1), 0.0) if standardise else np.ones(len(mean))
+    whole = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    x = F.zip_with(F.zip_with(F.when(F.col("features").isNotNull(), vector_to_array("features")), whole(mean), lambda a, m: a - m), whole(scale), lambda a, w: a * w)
+    model = PCA(k=len(mean), inputCol="_x", outputCol="_p").fit(fit.where("features is not null").select(array_to_vector(x).alias("_x")))
+    explained = model.explainedVariance.toArray()
+    many = int(min(np.searchsorted(np.cumsum(explained), share - 1e-12) + 1, len(mean)))
+    loadings = model.pc.toArray()[:, :many]
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(many)])
+
+    def apply(df: DataFrame) -> DataFrame:
+        centred = df.withColumn("_x", x)
+        each = [F.aggregate(F.zip_with("_x", whole(column), lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v) for column in loadings.T]
+        return centred.withColumn("features", F.when(F.col("features").isNotNull(), array_to_vector(F.array(*each)))).drop("_x")
+
+    return apply

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import base, calibration, control, encoding, ensembles, evaluation, feature_programs, loading, modelling, relational, reports, runlog, splits, text
+from tessera.plans import base, calibration, control, encoding, ensembles, evaluation, feature_programs, loading, modelling, relational, reports, runlog, runs, splits, text
 
-MODULES = (calibration, control, encoding, ensembles, evaluation, feature_programs, loading, modelling, relational, reports, runlog, splits, text)
+MODULES = (calibration, control, encoding, ensembles, evaluation, feature_programs, loading, modelling, relational, reports, runlog, runs, splits, text)
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 flagship = modelling.flagship
