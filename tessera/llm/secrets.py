@@ -116,19 +116,31 @@ class Automaton:
 
 
 def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
-    """Merges compatible states of the values' prefix tree: red states are kept, their children are merged or turn red."""
-    count, child = [[0] * (END + 1)], [{}]
+    """Merges compatible states of the values' prefix tree: red states are kept, their children are merged or turn red.
+
+    Two states are compatible if neither the frequencies of their next symbols nor those of how much is still to come
+    differ by more than the Hoeffding bound at alpha, and so for all states that both lead to. What is still to come keeps
+    formats of a fixed length apart by place. A state is tried with red states of its own depth first, so that one with
+    few examples, which many would fit, joins those of its place.
+    """
+    count, child, depth = [[0] * (END + 1)], [{}], [0]
+    longest = max(map(len, values), default=0)
+    left = [np.zeros(longest + 1)]  # by how many symbols are still to come
     for value in values:
         state = 0
-        for c in value:
+        for i, c in enumerate(value):
             s = int(SYMBOL[c])
             count[state][s] += 1
+            left[state][len(value) - i] += 1
             if s not in child[state]:
                 child[state][s] = len(count)
                 count.append([0] * (END + 1))
                 child.append({})
+                depth.append(i + 1)
+                left.append(np.zeros(longest + 1))
             state = child[state][s]
         count[state][END] += 1
+        left[state][0] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def alike(a: int, b: int) -> bool:
@@ -136,10 +148,12 @@ def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
         while pairs:
             a, b = pairs.pop()
             n, m = sum(count[a]), sum(count[b])
-            if n and m:
-                limit = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            limit = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m)) if n and m else 2.0
+            if limit < 1:  # no two shares differ by more than 1
                 if any(abs(x / n - y / m) > limit for x, y in zip(count[a], count[b], strict=True)):
                     return False
+                if np.abs(np.cumsum(left[a] / n - left[b] / m)).max() > limit:
+                    return False
             pairs += [(child[a][s], child[b][s]) for s in child[b] if s in child[a]]
         return True
 
@@ -149,6 +163,7 @@ def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
         while pairs:
             a, b = pairs.pop()
             count[a] = [x + y for x, y in zip(count[a], count[b], strict=True)]
+            left[a] = left[a] + left[b]
             for s, to in child[b].items():
                 if s in child[a]:
                     pairs.append((child[a][s], to))
@@ -158,7 +173,7 @@ def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
     red, settled = [0], {0}
     while blue := sorted({(to, state, s) for state in red for s, to in child[state].items() if to not in settled}):
         to, state, s = max(blue, key=lambda x: (sum(count[x[0]]), -x[0]))
-        for r in red:
+        for r in sorted(red, key=lambda r: abs(depth[r] - depth[to])):
             if alike(r, to):
                 child[state][s] = r
                 fold(r, to)
@@ -170,41 +185,49 @@ def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
     return Automaton([count[r] for r in red], [{s: name[to] for s, to in child[r].items()} for r in red])
 
 
+def _laid_out(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all values with an end after the last, and where each begins and ends."""
+    ends = np.cumsum([len(v) for v in values])
+    return np.append(SYMBOL[np.frombuffer(b"".join(values), np.uint8)], np.int8(END)), ends - np.diff(ends, prepend=0), ends
+
+
 class Grammar:
-    """Automata by kind, each with the least bits a symbol that nearly all its own examples reach, and the background.
+    """Automata by kind, each with a cut, the gain a symbol that a candidate needs, and the background.
 
-    A candidate is taken if its likelihood under an automaton is above that of the background by more bits than
-    candidates are more frequent than credentials (`credentials` of them), so that the odds are for it, and by `margin`
-    a symbol.
+    A gain is the log2 of how much likelier a candidate is under an automaton than under the background. Every fourth
+    example, from `held_out` of them on, is kept from the automaton; the cut is `slack` times the gain that all but `missed`
+    of those reach, as a credential of another length pays for its end, and `margin` at least. A candidate is taken if its gain a symbol reaches the cut of some kind and its whole gain
+    outweighs how much more frequent candidates are than credentials (`credentials` of them), so that the odds are for it.
     """
 
-    def __init__(self, examples: dict[int, list[bytes]], pairs: np.ndarray, credentials: float, margin: float = 0.15):
+    def __init__(self, examples: dict[int, list[bytes]], pairs: np.ndarray, credentials: float, margin: float = 0.15, missed: float = 0.05, slack: float = 0.5, held_out: int = 20):
+        self.background = np.log2((pairs + 0.5) / (pairs + 0.5).sum(axis=1, keepdims=True)) + SHARE
+        self.odds = max(0.0, math.log2((pairs[END].sum() + 1) / (credentials + 1)))
         self.automata = {}
         for kind, values in examples.items():
-            automaton = infer(values)
-            ends = np.cumsum([len(v) for v in values])
-            rates = np.sort(automaton.bits(SYMBOL[np.frombuffer(b"".join(values), np.uint8)], ends - np.diff(ends, prepend=0), ends) / (np.diff(ends, prepend=0) + 1))
-            self.automata[kind] = (automaton, float(rates[len(rates) // 50]))
-        self.margin = margin
-        self.odds = max(0.0, math.log2((pairs[END].sum() + 1) / (credentials + 1)))
-        self.background = np.log2((pairs + 0.5) / (pairs + 0.5).sum(axis=1, keepdims=True)) + SHARE
+            apart = len(values) >= held_out
+            automaton = infer([v for i, v in enumerate(values) if i % 4] if apart else values)
+            symbols, starts, ends = _laid_out(values[::4] if apart else values)
+            rates = np.sort(self._gains(automaton, symbols, starts, ends) / (ends - starts + 1))
+            self.automata[kind] = (automaton, max(margin, slack * float(rates[int(missed * len(rates))])))
 
-    def scores(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Most bits above the background among kinds whose examples are no less likely a symbol; -inf if there is none."""
-        out = np.full(len(starts), -np.inf)
-        if not len(starts):
-            return out
+    def _gains(self, automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         steps = np.append(self.background[symbols[:-1], symbols[1:]], 0.0)
         total = np.concatenate([[0.0], np.cumsum(steps)])
         plain = total[ends - 1] - total[starts] + self.background[END, symbols[starts]] + self.background[symbols[ends - 1], END]
-        for automaton, least in self.automata.values():
-            bits = automaton.bits(symbols, starts, ends)
-            out = np.where(bits >= least * (ends - starts + 1), np.maximum(out, bits - plain), out)
+        return automaton.bits(symbols, starts, ends) - plain
+
+    def scores(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Greatest gain among kinds whose cut it reaches; -inf if there is none."""
+        out = np.full(len(starts), -np.inf)
+        for automaton, cut in self.automata.values() if len(starts) else ():
+            gain = self._gains(automaton, symbols, starts, ends)
+            out = np.where(gain >= cut * (ends - starts + 1), np.maximum(out, gain), out)
         return out
 
     def secret(self, runs: Runs) -> np.ndarray:
         """Which candidates are taken."""
-        return self.scores(runs.symbols, runs.starts, runs.ends) >= np.maximum(self.odds, self.margin * (runs.ends - runs.starts + 1))
+        return self.scores(runs.symbols, runs.starts, runs.ends) >= self.odds
 
 
 def learn(docs: DataFrame, most: int = 400, longest: int = 64) -> Grammar | None:

@@ -481,6 +481,35 @@ def test_secrets_base_and_grammar(spark, docs, odd):
     assert len(got) == 2 and got[0] == got[1] and [(names[x.kind], x.start, x.end) for x in got[0].spans] == [("grammar", 4, 32), ("access", 32, 52)]
 
 
+def credentials_of(kind, n, rng):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {
+        "assign": lambda: "".join(rng.choices(letters + letters.upper() + "0123456789", k=rng.choice([20, 24, 32]))), "access": lambda: "AKIA" + "".join(rng.choices(letters.upper() + "0123456789", k=16)),
+        "hex": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+    }[kind], n
+
+
+def test_grammar_finds_held_out_credentials_and_leaves_words(spark):
+    """Credentials of each kind that it never saw, shorter ones of the formats, and all plain runs of the texts."""
+    rng = random.Random(11)
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    make = {k: credentials_of(k, 0, rng)[0] for k in ("assign", "access", "hex")}
+    rows = [(10**6 + i, {"assign": 'see token = "%s" here', "access": "key %s here", "hex": "sum %s here"}[k] % make[k]()) for i, k in enumerate(["assign", "access", "hex"] * 150)]
+    grammar = secrets.learn(plain.union(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: len(a.count) for k, (a, _) in grammar.automata.items() if k > 0} == {1: 21, 2: 41}  # a state a place: lengths are kept
+
+    def share(values):
+        symbols, starts, ends = secrets._laid_out([v.encode() for v in values])
+        return (grammar.scores(symbols, starts, ends) >= grammar.odds).mean()
+
+    for kind, f in make.items():
+        assert share([f() for _ in range(400)]) >= 0.9, kind
+    assert share(["".join(rng.choices("0123456789abcdef", k=k)) for k in (20, 24, 28, 30) for _ in range(100)]) >= 0.8
+    words = {m for r in plain.collect() for m in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", r.text or "") if not re.fullmatch(r"[0-9a-f]{32,}", m)}
+    assert len(words) > 5000 and share(sorted(words)) <= 0.001
+    assert share(["wonderful", "2024-01-05", "www.example.com/index.html", "internationalisation", "4785380592391139", "SHOUTING-LOUDLY", "a" * 40, "-" * 80]) == 0
+
+
 def test_automata_and_scores_by_hand():
     """Merging, probabilities and the choice of candidates against a plain version without arrays."""
     rng = random.Random(8)
@@ -514,16 +543,20 @@ def test_automata_and_scores_by_hand():
         return total + math.log2(row[secrets.END] / row.sum())
 
     n = secrets.END + 1
-    for v, got in zip(values, grammar.scores(runs.symbols, runs.starts, runs.ends), strict=True):
+
+    def gain(automaton, v):
         s = [secrets.END, *(symbol[c] for c in v), secrets.END]
         plain = sum(math.log2((pairs[a, b] + 0.5) / (sum(pairs[a, x] for x in range(n)) + 0.5 * n)) - (math.log2(len(secrets.CLASSES[b])) if b < secrets.END else 0) for a, b in zip(s[:-1], s[1:], strict=True))
-        rates = []
-        for kind, (automaton, least) in grammar.automata.items():
-            own = sorted(bits(automaton, x) / (len(x) + 1) for x in (keys if kind == 1 else hexes))
-            assert least == pytest.approx(own[1])
-            if bits(automaton, v) / (len(v) + 1) >= own[1]:
-                rates.append(bits(automaton, v) - plain)
-        assert got == pytest.approx(max(rates, default=-math.inf))
+        return bits(automaton, v) - plain
+
+    cuts = {}
+    for kind, (automaton, cut) in grammar.automata.items():  # every fourth example is held out and sets the cut
+        held = sorted(gain(automaton, x) / (len(x) + 1) for x in (keys if kind == 1 else hexes)[::4])
+        cuts[kind] = max(0.15, 0.5 * held[int(0.05 * len(held))])
+        assert cut == pytest.approx(cuts[kind]) and sum(automaton.count[0]) == 50 - len(held)
+    for v, got in zip(values, grammar.scores(runs.symbols, runs.starts, runs.ends), strict=True):
+        reached = [gain(automaton, v) for kind, (automaton, _) in grammar.automata.items() if gain(automaton, v) >= cuts[kind] * (len(v) + 1)]
+        assert got == pytest.approx(max(reached, default=-math.inf))
     took = {v for v, t in zip(values, grammar.secret(runs), strict=True) if t}
     assert keys[5][:12] in took and not took & set(words)
     # prefix tree and merging: every example's path is there, and its counts add up
