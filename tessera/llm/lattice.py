@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_slices, written
@@ -223,16 +223,18 @@ def _text_batches(rows: pa.Table) -> list[pa.RecordBatch]:
     return rows.to_batches()
 
 
-def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, held_out, learned: float = 0.5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and vocabulary_score of every text.
 
-    vocabulary_score weights all segmentations by the file's own scores, without an end; score by piece weights that one
-    expectation pass from those scores learns from the texts not held out, with an end. Texts are dealt into chunks by
+    vocabulary_score weights all segmentations by the file's own scores. score weights them by those and, `learned` of
+    each weight, by the shares that one expectation pass from them finds in the texts not held out. An end has the share
+    of ends among all that pass counts, and pieces share the rest. Texts are dealt into chunks by
     the hash of id and text, so a source, or copies under many ids, spread evenly; a null doc_id is not held out and
     stays null; rows equal in id and text share a chunk and a result. A chunk gives its distinct words with their
     training counts and the expected counts of pieces; each word's counts are summed over chunks, where it has a row a
     chunk at most, and go back to the chunks that hold it. Only the piece weights (as many as the vocabulary has) reach the
-    driver. Null and empty texts are an end alone; without training texts every count is 0; an empty table gives no rows.
+    driver. Null and empty texts are an end alone; without training texts every count is 0; other columns are ignored; an
+    empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -268,11 +270,14 @@ def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
     found = lattice(path)
     count = np.array([pieces.get(i, 0.0) for i in range(len(found.pieces))]) + 0.1
     whole = count.sum() + ends + 0.1
-    held = docs.sparkSession.sparkContext.broadcast((np.log(count / whole), math.log((ends + 0.1) / whole), ends, distinct, tokens))
-    back = words.select("chunk", "key", F.sum("n").over(Window.partitionBy("key")).alias("c")).where("c > 0")
+    end = (ends + 0.1) / whole
+    file = np.exp(found.prior) * (1 - end)
+    weights = [np.log(learned * count / whole + (1 - learned) * file), np.log(file)]
+    held = docs.sparkSession.sparkContext.broadcast((weights, math.log(end), ends, distinct, tokens))
+    back = words.select("chunk", "key").join(words.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "key")
 
     def score(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        weight, end, ends, distinct, tokens = held.value
+        weights, end, ends, distinct, tokens = held.value
         words = Words(_text_batches(rows.select(["text", "learn"])), "learn")
         key = counts.column("key").to_numpy().view(np.uint64)
         c = np.zeros(len(words.prints))
@@ -282,7 +287,7 @@ def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
         under = tokens + distinct + 1
         each = np.log10((c + 1) / under)
         model = lattice(path)
-        marginal, plain = likelihoods(model, [weight, model.prior], words) / math.log(10)
+        marginal, plain = likelihoods(model, weights, words) / math.log(10)
         add = lambda x: np.bincount(doc, x[words.place], len(words.sizes)) if len(doc) else np.zeros(len(words.sizes))
         n = len(words.sizes)
         return pa.table({
@@ -290,7 +295,7 @@ def lattice_scores(docs: DataFrame, path: str, held_out) -> DataFrame:
             "n_tokens": pa.array(words.sizes + 1, pa.int64()), "n_known": pa.array(add((c > 0).astype(float)).astype(np.int64) + (ends > 0), pa.int64()),
             "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
             "base_score": pa.array(add(each) + math.log10((ends + 1) / under), pa.float64()), "score": pa.array(add(marginal) + end / math.log(10), pa.float64()),
-            "vocabulary_score": pa.array(add(plain), pa.float64()),
+            "vocabulary_score": pa.array(add(plain) + end / math.log(10), pa.float64()),
         })
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, vocabulary_score double"
