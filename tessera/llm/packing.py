@@ -60,11 +60,14 @@ def _best_fit(left: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
     return [x for group in opened.values() for x in group]
 
 
-def _complements(whole: np.ndarray, room: int, depth: int, reserve: int) -> list[tuple[tuple[int, ...], int]]:
-    """From the longest length down, the gap that it leaves is looked up among single lengths, then sums of two, then of three.
+Patterns = list[tuple[tuple[int, ...], int]]
 
-    Sums of two and three take no length under `reserve`, so that short pieces stay for the gaps that remain; what finds
-    no exact filling goes to best fit. A pattern is used as often as the counts allow, so each ends some length's stock.
+
+def _complements(whole: np.ndarray, room: int, depth: int, reserve: int) -> Patterns:
+    """Exactly full patterns: from the longest length down, the gap that it leaves is looked up among single lengths, then sums of two, then of three.
+
+    Sums of two and three take no length under `reserve`, so that short pieces stay for the gaps that remain. A pattern
+    is used as often as the counts allow, so each ends some length's stock.
     """
     left, out = whole.copy(), []
 
@@ -101,20 +104,48 @@ def _complements(whole: np.ndarray, room: int, depth: int, reserve: int) -> list
                     take((length, a, b, gap - a - b))
                     if not left[length] or not left[a]:
                         break
+    return out
+
+
+def _completed(exact: Patterns, kept: int, first: bool, whole: np.ndarray, room: int) -> Patterns:
+    """`kept` sequences of the exact patterns, from the first or the last on, and best fit for all other pieces."""
+    out, left = [], whole.copy()
+    for pattern, n in exact if first else exact[::-1]:
+        if n := min(n, kept):
+            kept -= n
+            out.append((pattern, n))
+            for x in pattern:
+                left[x] -= n
     return out + _best_fit(left, room)
 
 
-def plan(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], room: int) -> Patterns:
     """Patterns and how often each is used, for `counts` pieces of each length; every piece has exactly one place.
 
-    All come from exact complements. Which sums serve best depends on the lengths: of plans with singles, pairs or
-    triples, that spare short pieces or not, the one with the fewest sequences is taken.
+    Sequences come from exact complements by single, pair and triple sums, what is left from best fit. Full sequences
+    may use up the short pieces that others need, so a plan above the least number of sequences that the tokens allow is
+    repaired: some of its exact sequences, those made last or first, are opened again and their pieces go to best fit
+    with the rest. Of all such plans, with sums of three or of two, sparing short pieces or not, that of the fewest
+    sequences is taken, and of those the one that keeps the most exact ones.
     """
     whole = np.zeros(room + 1, np.int64)
     for length, n in counts.items():
         whole[length] += n
-    ways = [(3, 1), (3, max(1, room // 16)), (2, 1), (2, max(1, room // 16)), (1, 1)]
-    return min((_complements(whole, room, *way) for way in ways), key=lambda p: sum(n for _, n in p))
+    least = max(-(-int(whole @ np.arange(room + 1)) // room), int(whole[room // 2 + 1 :].sum()))
+    size = lambda patterns: sum(n for _, n in patterns)
+    best: tuple[tuple[int, int], Patterns] | None = None
+    for depth, reserve in ((3, 1), (3, max(1, room // 16)), (2, 1), (2, max(1, room // 16))):
+        exact = _complements(whole, room, depth, reserve)
+        n = size(exact)
+        for opened in dict.fromkeys(min(n, x) for x in (0, *(-(-n * k // 64) for k in (1, 2, 4, 8, 16, 32, 48)))):
+            for first in (True, False) if opened else (True,):
+                patterns = _completed(exact, n - opened, first, whole, room)
+                rank = size(patterns), opened - n
+                if best is None or rank < best[0]:
+                    best = rank, patterns
+            if best[0][0] <= least:
+                break
+    return best[1] if best else []
 
 
 class Places:
@@ -156,7 +187,8 @@ def pack(pieces: DataFrame, room: int, per_task: int = 100_000) -> DataFrame:
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `room` rows
     held = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, room)))
     salts = 1 + sum(counts.values()) // per_task
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # equal rows of a written table are told apart by their place in it
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     base = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_base"))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)

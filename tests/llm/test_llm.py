@@ -383,14 +383,17 @@ def test_lattice_learns_from_long_unspaced_words(spark, monkeypatch):
         sums(w, model.prior, n, counts)
     ends = held.count(False)
     total = counts.sum() + 0.1 * len(counts) + ends + 0.1
-    weight = np.log((counts + 0.1) / total)
+    end = (ends + 0.1) / total
+    file = np.exp(model.prior) * (1 - end)
+    weight = np.log(0.5 * (counts + 0.1) / total + 0.5 * file)
+    assert np.exp(weight).sum() + end == pytest.approx(1) == pytest.approx(file.sum() + end)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = lattice.lattice_scores(df, path, F.col("doc_id") == 3).collect()
     rows, plain = {r.doc_id: r.score for r in found}, {r.doc_id: r.vocabulary_score for r in found}
     for i, ws in enumerate(words):
         want = sum(sums(w, weight) for w in ws) + math.log((ends + 0.1) / total)
         assert rows[i] * math.log(10) == pytest.approx(want, rel=1e-9)
-        assert plain[i] * math.log(10) == pytest.approx(sum(sums(w, model.prior) for w in ws), rel=1e-9)
+        assert plain[i] * math.log(10) == pytest.approx(sum(sums(w, np.log(file)) for w in ws) + math.log(end), rel=1e-9)
     # words over many blocks
     monkeypatch.setattr(lattice, "BLOCK", 50)
     raw, times, found, want = [*words[0], words[1][2]], np.array([2.0, 3.0]), np.zeros(len(counts)), np.zeros(len(counts))
@@ -412,6 +415,12 @@ def test_lattice_base_score(spark, docs, odd):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
     assert lattice.lattice_scores(whole.limit(0), vocabulary("piece_bpe_32k.model"), F.lit(False)).count() == 0
+    # a null id, repeated rows, clashing columns
+    rows = [(None, "The same text"), (None, "The same text"), (7, "The same text"), (7, None), (7, "")]
+    clash = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, chunk int, score string")
+    found = lattice.lattice_scores(clash, vocabulary("piece_bpe_32k.model"), F.col("doc_id") == 7).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in found) == [(0, False, 4, 4, 8)] * 2 + [(7, True, 1, 1, 8)] * 2 + [(7, True, 4, 4, 8)]
+    assert len({(r.n_tokens, round(r.score, 9), round(r.base_score, 9)) for r in found}) == 2
 
 
 def test_packing_places_every_piece_once(spark, odd):
