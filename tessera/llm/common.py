@@ -100,13 +100,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def attach(rows: DataFrame, values: DataFrame, key: list[str], size: str, per_task: int = 50_000) -> DataFrame:
-    """rows joined to values, one for each key, where a key with `size` rows is dealt over size / per_task salts."""
+    """rows joined to values, one for each key, where a key with `size` rows is dealt over size / per_task salts, by the rows' places in their table."""
+    rows = rows.withColumn("_place", F.monotonically_increasing_id())  # before any shuffle, so that a task that runs again gives the same
     salts = F.greatest(F.lit(1), F.ceil(F.col(size) / per_task)).cast("int")
     hot = values.where(F.col(size) > per_task).select(*key, salts.alias("salts"))
     # keys above per_task rows: at most rows / per_task of them
-    salted = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int"))).drop("salts")
+    salted = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_place"), F.col("salts")).cast("int"))).drop("salts")
     spread = values.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.join(spread, [*key, "salt"]).drop("salt")
+    return salted.join(spread, [*key, "salt"]).drop("salt", "_place")
 
 
 def possible_members(ids: DataFrame, spots: int = 33_554_393):

@@ -275,10 +275,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     names; an empty table stays empty.
     """
     names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
-    held = docs.toDF(*names).withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64(F.col("text").cast("string"))})
+    held = docs.toDF(*names).withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64(F.col("text").cast("string")), "_n": F.monotonically_increasing_id()})  # numbered before any shuffle
     keys = similarity_classes(held, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("n_shingles") > 0).alias("_words")).distinct()
     first = held.join(keys, ["_id", "_h"])
-    first = first.withColumn("_row", F.when(F.col("_words"), F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates(["_id", "_h", "_row"])
+    first = first.withColumn("_row", F.when(F.col("_words"), F.lit(0)).otherwise(F.col("_n"))).dropDuplicates(["_id", "_h", "_row"])
     return first.select(*names).union(held.where("_id is null").select(*names)).toDF(*docs.columns)
 
 
