@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import linear_quantiles, range_rank
+from tessera.sources.shared import written
 
 #: What counts as yes and no in a target, and the marks of missing categories.
 POSITIVE, NEGATIVE = ("1", "pos", "positive", "t", "true", "y", "yes"), ("0", "f", "false", "n", "neg", "negative", "no")
@@ -42,11 +43,26 @@ def target_to_int(name: str) -> Column:
     return F.when(text.isin(*POSITIVE), 1).when(text.isin(*NEGATIVE), 0).otherwise(F.round(number)).cast("int")
 
 
+def mappings(df: DataFrame, names: list[str], missing: str | None = MISSING) -> DataFrame:
+    """(name, value, code) of several columns: the sorted distinct values of each, from 0. One pass over df for all; a written table of a row a category; `missing` stands for null."""
+    def value(name: str) -> Column:
+        text = F.trim(F.col(name).cast("string"))
+        return F.coalesce(text, F.lit(missing)) if missing is not None else text
+
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), value(n).alias("value")) for n in names])).alias("x")
+    ranked = range_rank(df.select(each).select("x.*").where("value is not null").distinct(), ["name", "value"], "_at")
+    first = ranked.groupBy("name").agg(F.min("_at").alias("_first"))  # a row a column
+    return written(ranked.join(F.broadcast(first), "name").select("name", "value", (F.col("_at") - F.col("_first")).cast("int").alias("code")), "categories")
+
+
 def mapping(df: DataFrame, name: str, missing: str | None = MISSING) -> DataFrame:
-    """(value, code) for the sorted distinct values, from 0. One row a category; `missing` stands for null."""
-    value = F.trim(F.col(name).cast("string"))
-    value = F.coalesce(value, F.lit(missing)) if missing is not None else value
-    return range_rank(df.select(value.alias("value")).where("value is not null").distinct(), "value", "code").withColumn("code", F.col("code").cast("int"))
+    """(value, code) of one column."""
+    return mappings(df, [name], missing).drop("name")
+
+
+def of_column(codes: DataFrame, name: str) -> DataFrame:
+    """One column's (value, code) out of those of several."""
+    return codes.where(F.col("name") == name).drop("name")
 
 
 def apply_mapping(df: DataFrame, codes: DataFrame, name: str, unknown: int = -1, missing: str | None = MISSING, to: str | None = None) -> DataFrame:
@@ -59,8 +75,9 @@ def apply_mapping(df: DataFrame, codes: DataFrame, name: str, unknown: int = -1,
 
 def encode(fit: DataFrame, df: DataFrame, names: list[str], unknown: int = -1) -> DataFrame:
     """All the columns of df by the categories of `fit`."""
+    codes = mappings(fit, names) if names else None
     for name in names:
-        df = apply_mapping(df, mapping(fit, name), name, unknown)
+        df = apply_mapping(df, of_column(codes, name), name, unknown)
     return df
 
 
@@ -74,8 +91,9 @@ def encode_split(df: DataFrame, names: list[str], fit_on: str = "train", unknown
 def column_transform(fit: DataFrame, df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """df with nulls, NaN and infinities of numeric columns as 0, and categories as codes of `fit` (null is one, others -1)."""
     df = df.withColumns({n: F.coalesce(finite(n), F.lit(0.0)) for n in numeric})
+    codes = mappings(fit, categorical, MISSING_UPPER) if categorical else None
     for name in categorical:
-        df = apply_mapping(df, mapping(fit, name, MISSING_UPPER), name, missing=MISSING_UPPER)
+        df = apply_mapping(df, of_column(codes, name), name, missing=MISSING_UPPER)
     return df
 
 
@@ -83,9 +101,10 @@ def numeric_frame(df: DataFrame) -> DataFrame:
     """Every column as a number: text that does not parse as codes of its sorted values, truth values 0 and 1, nulls and non-finite 0."""
     text = [n for n, t in df.dtypes if t == "string"]
     plain = numeric_columns(df, text) if text else []
-    for name in text:
-        if name not in plain:
-            df = apply_mapping(df, mapping(df, name, None), name, missing=None)
+    coded = [n for n in text if n not in plain]
+    codes = mappings(df, coded, None) if coded else None
+    for name in coded:
+        df = apply_mapping(df, of_column(codes, name), name, missing=None)
     out = []
     for name, kind in df.dtypes:
         number = F.expr(f"try_cast(`{name}` as double)") if kind == "string" else F.col(name).cast("int") if kind == "boolean" else F.col(name)
@@ -100,13 +119,17 @@ def final_columns(df: DataFrame, original: list[str], selected: list[str], targe
     return df.select(*[n for n in names if n != target], target)
 
 
+def quantile_row(df: DataFrame, columns: dict[str, Column], levels: list[float]) -> DataFrame:
+    """One row with `_q`, a map of name to the exact quantiles of a column: all columns in one pass, as counts of distinct values by name."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()])).alias("x")
+    found = linear_quantiles(df.select(each).select("x.*"), "value", {f"q{i}": level for i, level in enumerate(levels)}, ["name"])
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("name", F.array(*[f"q{i}" for i in range(len(levels))])))).alias("_q"))  # a row a column
+
+
 def median_fill(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     """Nulls to the exact median of `fit` (0 if it has none). One row of medians joins."""
-    joined = df
-    for n in names:
-        median = linear_quantiles(fit.select(finite(n).alias("_x")), "_x", {f"_m_{n}": 0.5}).agg(F.coalesce(F.max(f"_m_{n}"), F.lit(0.0)).alias(f"_m_{n}"))
-        joined = joined.crossJoin(F.broadcast(median))  # one row
-    return joined.withColumns({n: F.coalesce(finite(n), F.col(f"_m_{n}")) for n in names}).drop(*[f"_m_{n}" for n in names])
+    joined = df.crossJoin(F.broadcast(quantile_row(fit, {n: finite(n) for n in names}, [0.5])))  # one row
+    return joined.withColumns({n: F.coalesce(finite(n), F.try_element_at("_q", F.lit(n))[0], F.lit(0.0)) for n in names}).drop("_q")
 
 
 def standardize(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
@@ -119,12 +142,9 @@ def standardize(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
 
 def robust_scale(fit: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
     """(x - median) / interquartile range of `fit`."""
-    joined = df
-    for n in names:
-        three = linear_quantiles(fit.select(n), n, {"_a": 0.25, "_b": 0.5, "_c": 0.75}).agg(F.array(F.max("_a"), F.max("_b"), F.max("_c")).alias(f"_q_{n}"))
-        joined = joined.crossJoin(F.broadcast(three))  # one row
-    spread = {n: F.col(f"_q_{n}")[2] - F.col(f"_q_{n}")[0] for n in names}
-    return joined.withColumns({n: (F.col(n) - F.col(f"_q_{n}")[1]) / F.when(spread[n] > 0, spread[n]).otherwise(1.0) for n in names}).drop(*[f"_q_{n}" for n in names])
+    joined = df.crossJoin(F.broadcast(quantile_row(fit, {n: F.col(n) for n in names}, [0.25, 0.5, 0.75])))  # one row
+    q = {n: F.try_element_at("_q", F.lit(n)) for n in names}
+    return joined.withColumns({n: (F.col(n) - q[n][1]) / F.when(q[n][2] > q[n][0], q[n][2] - q[n][0]).otherwise(1.0) for n in names}).drop("_q")
 
 
 def yeo_johnson(name: str, lam: float) -> Column:

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 HASH_BUCKETS = 1024
 
 
+def hash_buckets(df: DataFrame, per_bucket: int = 65_536) -> int:
+    """How many buckets of hashes keep a bucket of df's rows to about per_bucket: a power of two from HASH_BUCKETS to 2^20.
+
+    A count of a written table reads its footers only.
+    """
+    return min(1 << 20, max(HASH_BUCKETS, 1 << max(0, (df.count() // per_bucket).bit_length())))
+
+
 def row_hash(seed: int, *columns: str) -> Column:
     """The first 32 bits of md5(seed|columns) as a long: the same integer in any SQL engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("long")
@@ -83,28 +91,30 @@ def linear_quantiles(df: DataFrame, value: str, levels: dict[str, float], by: li
     return joined.groupBy(*by).agg(*out)
 
 
-def range_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """df with each row's place, from 0, in the order of a column; every task sorts a range of values of its own."""
+def range_rank(df: DataFrame, column: str | list[str], name: str = "rank") -> DataFrame:
+    """df with each row's place, from 0, in the order of a column, or of several; every task sorts a range of values of its own."""
     from tessera.sources.shared import written
 
-    dealt = written(df.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranges")
+    column = [column] if isinstance(column, str) else column
+    dealt = written(df.repartitionByRange(*column).withColumn("_part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row a range
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*column)) - 1
     return dealt.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + inside).drop("_part", "_base")
 
 
 def hash_threshold(df: DataFrame, seed: int, row_id: str, quota: Column, by: list[str] | None = None, name: str = "taken") -> DataFrame:
     """df with whether a row is among the `quota` rows of the least hash (then row_id) of its group; quota is of _n, the group's rows.
 
-    Counts by hash bucket find the bucket in which a group's last row lies; only that bucket's rows are sorted.
+    Counts by hash bucket find the bucket in which a group's last row lies; only that bucket's rows are sorted. Buckets
+    follow the number of rows, so that one stays small.
     """
     by = by or []
-    width = (1 << 32) // HASH_BUCKETS
+    width = (1 << 32) // hash_buckets(df)
     hashed = df.withColumn("_h", row_hash(seed, row_id)).withColumn("_bucket", F.floor(F.col("_h") / width))
     counts = hashed.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*by)
-    sums = counts.withColumn("_n", F.sum("_c").over(group)).withColumn("_upto", F.sum("_c").over(group.orderBy("_bucket")))  # HASH_BUCKETS rows a group
+    sums = counts.withColumn("_n", F.sum("_c").over(group)).withColumn("_upto", F.sum("_c").over(group.orderBy("_bucket")))  # a row a bucket and group
     edge = sums.withColumn("_quota", quota).where((F.col("_upto") > F.col("_quota")) & (F.col("_upto") - F.col("_c") <= F.col("_quota")))
     edge = edge.select(*by, F.col("_bucket").alias("_edge"), (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_rest"))
     keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
@@ -118,6 +128,6 @@ def hash_threshold(df: DataFrame, seed: int, row_id: str, quota: Column, by: lis
 def hash_rank(df: DataFrame, seed: int, row_id: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """df with each row's place (from 1) in the order of its hash, then row_id, within `by`. Hashes are even, so buckets are too."""
     hashed = df.withColumn("_h", row_hash(seed, row_id))
-    width = (1 << 32) // HASH_BUCKETS
+    width = (1 << 32) // hash_buckets(df)
     ranked = running(hashed, F.floor(F.col("_h") / width), [F.col("_h"), F.col(row_id)], {name: F.lit(1)}, by)
     return ranked.drop("_h")

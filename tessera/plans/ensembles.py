@@ -19,10 +19,10 @@ def _models(spark, d):
     return predictions(spark, d).select("row_id", "y", F.col("p").alias("a"), F.col("q").alias("b"), (1 - F.col("p") * F.col("q")).alias("c"))
 
 
-@query("stk8_soft_vote", f"{_LONGP} SELECT row_id, round(1e-9 + avg(p), 6) AS vote FROM long GROUP BY row_id")
+@query("stk8_soft_vote", f"{_LONGP} SELECT row_id, round(avg(p), 9) AS vote FROM long GROUP BY row_id")
 def _(spark, d):
     vote = E.soft_vote(_models(spark, d).unpivot(["row_id"], ["a", "b", "c"], "model", "p"))
-    return vote.select("row_id", F.round(1e-9 + F.col("vote"), 6).alias("vote"))
+    return vote.select("row_id", F.round("vote", 9).alias("vote"))
 
 
 @query("stk2_weight_handling", f"WITH {PRED_SQL} SELECT row_id, round(p * 0.5 + q * 0.3 + (1 - p * q) * 0.2, 6) AS weighted_mean, round(p * 1.5, 6) AS scaled, round(p * 0.5, 6) AS multiplied FROM pred")

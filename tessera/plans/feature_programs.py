@@ -106,10 +106,10 @@ def _(spark, d):
     return rounded(_ev(spark, d).select("event_id", F.lag("value", 2).over(w).alias("shift"), (F.col("value") - prev).alias("diff"), (F.try_divide(F.col("value"), prev) - 1).alias("change")))
 
 
-@query("fea10_moving", f"{_EV} SELECT event_id, round(1e-9 + avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 5) AS rolling, round(1e-9 + avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 5) AS expanding FROM e")
+@query("fea10_moving", f"{_EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS rolling, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS expanding FROM e")
 def _(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _ev(spark, d).select("event_id", F.round(1e-9 + F.avg("value").over(w.rowsBetween(-4, 0)), 5).alias("rolling"), F.round(1e-9 + F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 5).alias("expanding"))
+    return _ev(spark, d).select("event_id", F.round(F.avg("value").over(w.rowsBetween(-4, 0)), 9).alias("rolling"), F.round(F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("expanding"))
 
 
 @query("fea10_ewm", f"""{_EV}, r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e)

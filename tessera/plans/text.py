@@ -79,7 +79,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(alias, key), key).alias("name"))
 
 
-@query("str8_mean_std_cells", "SELECT o_orderkey, (o_custkey % 90 / 100.0)::DOUBLE * -1 + 0.0 AS mean, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.02 END::DOUBLE AS std FROM orders")
+_CELLS = "SELECT o_orderkey, (o_custkey % 90 / 100.0)::DOUBLE * -1 + 0.0 AS mean, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.02 END::DOUBLE AS std FROM orders"
+
+
+@query("str8_mean_std_cells", _CELLS)
 def _(spark, d):
     cell = F.concat(F.lit("−"), F.format_string("%.2f", F.col("o_custkey") % 90 / F.lit(100.0)), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("±0.02"))
     o = table(spark, d, "orders").select("o_orderkey", cell.alias("cell"))
@@ -87,7 +90,7 @@ def _(spark, d):
     return o.select("o_orderkey", mean.alias("mean"), std.alias("std"))
 
 
-@query("str8_mean_std_cells_whole")
+@query("str8_mean_std_cells_whole", _CELLS)
 def _(spark, d):
     """Every order, those of a zero mean (a cell of −0.00) too; tested by brute force besides."""
     cell = F.concat(F.lit("−"), F.format_string("%.2f", F.col("o_custkey") % 90 / F.lit(100.0)), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("±0.02"))
@@ -150,9 +153,9 @@ def _(spark, d):
     return c.select("c_custkey", X.half_up("c_acctbal", 1).alias("c_acctbal"), X.repaired("cell").alias("cell"))
 
 
-@query("str17_display_repair_whole")
+@query("str17_display_repair_whole", "SELECT c_custkey, round(c_acctbal::DECIMAL(18, 6), 1)::DOUBLE AS c_acctbal, c_acctbal || '±' || c_nationkey || ' ' || c_name || '?' AS cell FROM customer")
 def _(spark, d):
-    """Every customer, rounding ties too, with a cell of its own columns; SQL covers the rows of str17_display_repair."""
+    """Every customer, rounding ties too, with a cell of its own columns."""
     c = table(spark, d, "customer").withColumn("cell", F.concat(F.col("c_acctbal").cast("string"), F.lit("?"), F.col("c_nationkey").cast("string"), F.lit(" "), "c_name", F.lit("?")))
     return c.select("c_custkey", X.half_up("c_acctbal", 1).alias("c_acctbal"), X.repaired("cell").alias("cell"))
 

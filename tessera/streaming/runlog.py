@@ -129,18 +129,21 @@ def running_best(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id").applyInPandasWithState(step, "run long, event_id long, best double, improved boolean", "best double", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """A query that keeps one row a key in a Parquet table, the newest batch's; every batch writes a new version beside the last."""
+def merge_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: list[str] | None = None):
+    """A query that keeps one row a key in a keyed table: the newest by `order`, then by batch."""
+    held = _keyed(stream.sparkSession, path, keys, order)
+    return stream.writeStream.foreachBatch(lambda batch, number: held.merge(batch.withColumn("batch", F.lit(number)), number)).option("checkpointLocation", checkpoint)
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+def newest(spark: SparkSession, path: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows that merge_batches keeps: base and the batches since, no older ones."""
+    return _keyed(spark, path, keys, order).read()
 
 
-def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("_r")).select(*keys, "_r.*")
+def _keyed(spark: SparkSession, path: str, keys: list[str], order: list[str] | None):
+    from tessera.streaming.keyed import KeyedTable
+
+    return KeyedTable(spark, path, keys, [*(order or []), "batch"])
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
