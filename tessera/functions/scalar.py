@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 QUADRATIC = ("pairwise_distances", "cdist", "linkage", "AgglomerativeClustering", "SpectralClustering", "DBSCAN", "iterrows")
 #: Rules of the secret and path scan.
 TEXT_RULES = {"token_assignment": r"token = \"[0-9a-f]{8,}", "email": r"[a-z0-9.]+@[a-z0-9.]+\.com", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}"}
+#: What every match of a rule holds.
+TEXT_HINTS = {"token_assignment": 'token = "', "email": "@", "phone": "+1 ("}
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

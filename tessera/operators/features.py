@@ -66,6 +66,26 @@ def cumulative_product(x: Column, window) -> Column:
     return F.when(some_zero == 1, 0.0).otherwise(sign * F.exp(F.sum(F.log(F.abs(F.nullif(x, F.lit(0.0))))).over(window)))
 
 
+def running_product(df: DataFrame, value: str, by: list[str], order: str, name: str) -> DataFrame:
+    """df with the cumulative product of a column along a numeric order column within `by`: sums of logarithms, minus signs and zeros by bucket, so that no group is one task's work."""
+    from tessera.operators.ranking import running, value_bucket
+
+    x = F.col(value)
+    sums = {"_log": F.coalesce(F.log(F.abs(F.nullif(x, F.lit(0.0)))), F.lit(0.0)), "_minus": (x < 0).cast("long"), "_zeros": (x == 0).cast("long")}
+    found = running(df, value_bucket(order), [F.col(order)], sums, by)
+    sign = F.when(F.col("_minus") % 2 == 1, -1.0).otherwise(1.0)
+    return found.withColumn(name, F.when(F.col("_zeros") > 0, 0.0).otherwise(sign * F.exp("_log"))).drop(*sums)
+
+
+def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """df with the mean rank of a value within `by`, from counts of distinct values by bucket; nulls have none."""
+    from tessera.operators.ranking import running, value_bucket
+
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranked = running(counted, value_bucket(value), [F.col(value)], {"_upto": F.col("_n")}, by)
+    return df.join(ranked.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name)), [*by, value], "left")
+
+
 def ewm_mean(df: DataFrame, value: str, by: list[str], order: list[str], alpha: float, name: str = "ewm") -> DataFrame:
     """df with the weighted mean of all values so far, weights (1 - alpha)^age; ages count rows, those of nulls too, and a null repeats the last mean.
 
@@ -173,9 +193,10 @@ def lineage(programs: DataFrame, code: str = "code") -> DataFrame:
 
 def f_test(df: DataFrame, names: list[str], y: str) -> DataFrame:
     """name and f of each feature's univariate linear regression: r^2 / (1 - r^2) * (n - 2), all in one pass."""
-    row = df.agg(F.count("*").alias("_n"), *[F.corr(n, y).alias(n) for n in names])
+    correlation = lambda n: F.try_divide(F.covar_pop(n, y), F.stddev_pop(n) * F.stddev_pop(y))  # noqa: E731  a constant has none
+    row = df.agg(F.count("*").alias("_n"), *[correlation(n).alias(n) for n in names])
     long = row.unpivot(["_n"], names, "name", "r")
-    return long.select("name", (F.pow("r", 2) / (1 - F.pow("r", 2)) * (F.col("_n") - 2)).alias("f"))
+    return long.select("name", (F.try_divide(F.pow("r", 2), 1 - F.pow("r", 2)) * (F.col("_n") - 2)).alias("f"))
 
 
 def mutual_information(df: DataFrame, names: list[str], y: str, edges: dict[str, list[float]]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import classification as MC
@@ -43,6 +44,29 @@ def regressors(seed: int) -> dict:
     }
 
 
+@dataclass(frozen=True)
+class LogTarget:
+    """A regressor of log(1 + y), its predictions taken back; for targets that are never negative."""
+
+    inner: object
+
+    def fit(self, df: DataFrame) -> LogTargetModel:
+        return LogTargetModel(self.inner.fit(df.withColumn("y", F.log1p(F.col("y").cast("double")))))
+
+
+@dataclass(frozen=True)
+class LogTargetModel:
+    model: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("prediction", F.expm1("prediction"))
+
+
+def with_log_targets(pool: dict, first: int = 5) -> dict:
+    """The pool and, after it, the first ones on a logarithmic target."""
+    return pool | {f"log1p_{n}": LogTarget(m) for n, m in list(pool.items())[:first]}
+
+
 def assembled(df: DataFrame, features: list[str], scale: bool = False) -> DataFrame:
     out = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
     if scale:

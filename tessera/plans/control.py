@@ -16,6 +16,7 @@ from tessera.operators.consensus import coassociation_cut
 from tessera.operators.mixtures import KINDS, fit_mixture
 from tessera.operators.split import class_weight, random_split, stratified_split
 from tessera.plans.base import MULTI_SQL, PRED_SQL, multiclass, predictions, query, rounded, table
+from tessera.plans.ensembles import PERMUTATIONS_SQL
 from tessera.plans.modelling import BASE, order_parts, order_task
 from tessera.sources.shared import written
 
@@ -230,21 +231,32 @@ def _labelings(spark, d) -> DataFrame:
 _LAB4 = " UNION ALL ".join(f"SELECT c_custkey AS row_id, c_nationkey % 4 AS y, '{n}' AS candidate, CASE WHEN c_custkey % {k} = 0 THEN c_custkey % 4 ELSE (c_nationkey + {i}) % 4 END AS label FROM customer" for i, (n, k) in enumerate(_NAMED.items()))
 
 
-@query("cns7_ranked_candidates", f"""WITH l AS ({_LAB4}), n AS (SELECT candidate, label, y, count(*)::DOUBLE AS n FROM l GROUP BY ALL), a AS (SELECT candidate, sum(x * (x - 1) / 2) AS sa FROM (SELECT candidate, label, sum(n) AS x FROM n GROUP BY ALL) GROUP BY candidate),
+_RANKED = f"""l AS ({_LAB4}), n AS (SELECT candidate, label, y, count(*)::DOUBLE AS n FROM l GROUP BY ALL), a AS (SELECT candidate, sum(x * (x - 1) / 2) AS sa FROM (SELECT candidate, label, sum(n) AS x FROM n GROUP BY ALL) GROUP BY candidate),
  b AS (SELECT candidate, sum(x * (x - 1) / 2) AS sb FROM (SELECT candidate, y, sum(n) AS x FROM n GROUP BY ALL) GROUP BY candidate), s AS (SELECT candidate, sum(n * (n - 1) / 2) AS s, sum(n) * (sum(n) - 1) / 2 AS t FROM n GROUP BY candidate),
- r AS (SELECT candidate, (s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t) AS ari FROM a JOIN b USING (candidate) JOIN s USING (candidate)) SELECT candidate, round(ari, 6) AS ari FROM r ORDER BY ari DESC, candidate LIMIT 2""")
+ ranked AS (SELECT candidate, (s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t) AS ari FROM a JOIN b USING (candidate) JOIN s USING (candidate))"""
+
+
+@query("cns7_ranked_candidates", f"WITH {_RANKED} SELECT candidate, round(ari, 6) AS ari FROM ranked ORDER BY ari DESC, candidate LIMIT 2")
 def _(spark, d):
     """k = max(min(4 // 2, 5), 2) = 2 of four labelings go into the consensus."""
     found = K.ranked_candidates(K.candidate_scores(_labelings(spark, d), _truth(spark, d)))
     return rounded(spark.createDataFrame(found, "candidate string, ari double"))
 
 
-@query("cns7_consensus_top_k")
+def _consensus_sql(most: int) -> str:
+    """The aligned vote of the best `most` labelings, over all one-to-one mappings of four labels."""
+    return f"""WITH {_RANKED}, taken AS (SELECT candidate, row_number() OVER (ORDER BY ari DESC, candidate) AS place FROM ranked), u AS (SELECT l.row_id, l.candidate, l.label, place FROM l JOIN taken USING (candidate) WHERE place <= {most}),
+ o AS (SELECT x.candidate, x.label, y.label AS ref, count(*) AS n FROM u x JOIN u y USING (row_id) WHERE x.place > 1 AND y.place = 1 GROUP BY ALL), {PERMUTATIONS_SQL}, f AS (SELECT candidate, m, sum(n) AS f FROM o, p WHERE ref = m[label + 1] GROUP BY ALL),
+ g AS (SELECT candidate, m FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY f DESC, m) AS i FROM f) WHERE i = 1), v AS (SELECT row_id, CASE WHEN place = 1 THEN label ELSE m[label + 1] END AS label, count(*) AS v FROM u LEFT JOIN g USING (candidate) GROUP BY ALL)
+ SELECT row_id, label::BIGINT AS label FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, label) AS i FROM v) WHERE i = 1"""
+
+
+@query("cns7_consensus_top_k", _consensus_sql(2))
 def _(spark, d):
     return K.consensus_top_k(_labelings(spark, d), _truth(spark, d))
 
 
-@query("cns7_consensus_all")
+@query("cns7_consensus_all", _consensus_sql(4))
 def _(spark, d):
     return K.consensus_top_k(_labelings(spark, d), _truth(spark, d), most=None)
 

@@ -144,12 +144,17 @@ def _(spark, d):
     return K.align_by_overlap(_cells(spark, d).where("candidate = 'c'"), "label", "ref")
 
 
-@query("cns3_optimal_alignment")
+#: The one-to-one mappings of four labels, and each labeling's of the greatest overlap.
+PERMUTATIONS_SQL = "r AS (SELECT unnest(range(4)) AS x), p AS (SELECT [a.x, b.x, c.x, e.x] AS m FROM r a, r b, r c, r e WHERE a.x <> b.x AND a.x <> c.x AND a.x <> e.x AND b.x <> c.x AND b.x <> e.x AND c.x <> e.x)"
+_ALIGNED = f"n AS (SELECT l.candidate, l.label, a.label AS ref, count(*) AS n FROM labs l JOIN labs a USING (row_id) WHERE a.candidate = 'a' AND l.candidate <> 'a' GROUP BY ALL), {PERMUTATIONS_SQL}, t AS (SELECT candidate, m, sum(n) AS t FROM n, p WHERE ref = m[label + 1] GROUP BY ALL), b AS (SELECT candidate, m FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY t DESC, m) AS i FROM t) WHERE i = 1), al AS (SELECT DISTINCT candidate, label, m[label + 1] AS aligned FROM n JOIN b USING (candidate))"
+
+
+@query("cns3_optimal_alignment", f"WITH {_LAB}, {_ALIGNED} SELECT candidate, label::BIGINT AS label, aligned::BIGINT AS aligned FROM al")
 def _(spark, d):
     return K.align_optimal(_cells(spark, d), "candidate", "label", "ref")
 
 
-@query("cns5_aligned_vote")
+@query("cns5_aligned_vote", f"WITH {_LAB}, {_ALIGNED}, v AS (SELECT row_id, coalesce(aligned, label) AS label, count(*) AS v FROM labs LEFT JOIN al USING (candidate, label) WHERE candidate <> 'flat' GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, label) AS i FROM v) SELECT row_id, label::BIGINT AS label FROM w WHERE i = 1")
 def _(spark, d):
     """Labelings aligned to the anchor one to one, then a majority vote."""
     long = _labelings(spark, d).where("candidate <> 'flat'")
@@ -162,13 +167,13 @@ def _(spark, d):
     return rounded(K.signature_graph(_labelings(spark, d).where("candidate <> 'flat'")))
 
 
-@query("evk4_pairwise_ari")
+@query("evk4_pairwise_ari", f"WITH {_LAB}, n AS (SELECT a.candidate AS ca, b.candidate AS cb, a.label AS la, b.label AS lb, count(*)::DOUBLE AS n FROM labs a JOIN labs b USING (row_id) WHERE a.candidate < b.candidate AND a.candidate <> 'flat' AND b.candidate <> 'flat' GROUP BY ALL), x AS (SELECT ca, cb, sum(x * (x - 1) / 2) AS sa FROM (SELECT ca, cb, la, sum(n) AS x FROM n GROUP BY ALL) GROUP BY ca, cb), y AS (SELECT ca, cb, sum(x * (x - 1) / 2) AS sb FROM (SELECT ca, cb, lb, sum(n) AS x FROM n GROUP BY ALL) GROUP BY ca, cb), s AS (SELECT ca, cb, sum(n * (n - 1) / 2) AS s, sum(n) * (sum(n) - 1) / 2 AS t FROM n GROUP BY ca, cb) SELECT round(avg((s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t)), 6) AS mean_ari, count(*) AS pairs FROM x JOIN y USING (ca, cb) JOIN s USING (ca, cb)")
 def _(spark, d):
     """Mean ARI over all pairs of labelings, each pair from its contingency counts."""
     long = _labelings(spark, d).where("candidate <> 'flat'")
     a, b = long.withColumnsRenamed({"candidate": "ca", "label": "la"}), long.withColumnsRenamed({"candidate": "cb", "label": "lb"})
     cells = a.join(b, "row_id").where("ca < cb").groupBy("ca", "cb", "la", "lb").agg(F.count("*").alias("n"))
-    return M.label_scores(cells, "la", "lb", by=["ca", "cb"]).agg(F.avg("ari").alias("mean_ari"), F.count("*").alias("pairs"))
+    return rounded(M.label_scores(cells, "la", "lb", by=["ca", "cb"]).agg(F.avg("ari").alias("mean_ari"), F.count("*").alias("pairs")))
 
 
 @query("fid6_assignment_fidelity", f"WITH {_LAB}, j AS (SELECT row_id % 2 AS split, a.label AS t, c.label AS s FROM labs a JOIN labs c USING (row_id) WHERE a.candidate = 'a' AND c.candidate = 'c') SELECT split::BIGINT AS split, round(avg((t = s)::INT), 6) AS match, count(*) AS n FROM j GROUP BY split")

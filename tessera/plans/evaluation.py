@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
 from tessera.plans.base import (
-    CLASSES, LINES_SQL, MULTI_SQL, PRED_SQL, REG_SQL, line_predictions, multiclass, predictions, query, regression, rounded, table,
+    CLASSES, LINES_SQL, MULTI_SQL, ORACLE_SQL, PRED_SQL, REG_SQL, line_predictions, multiclass, predictions, query, regression, rounded, table,
 )
 
 
@@ -196,4 +196,11 @@ def score_card(spark, d):
     return rounded(card)
 
 
-query("score_card")(score_card)
+def _joined_sql(names: list[str]) -> str:
+    """The rows of several queries by dataset, side by side."""
+    parts = [f"({ORACLE_SQL[n]}) AS q{i}" for i, n in enumerate(names)]
+    return "SELECT * FROM " + parts[0] + "".join(f" JOIN {p} USING (dataset)" for p in parts[1:])
+
+
+_LOSSES = f"WITH {LINES_SQL}, k AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS c FROM lines) SELECT dataset, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-y * ln(c) - (1 - y) * ln(1 - c)), 6) AS log_loss FROM k GROUP BY dataset"
+query("score_card", _joined_sql(["evc1_roc_auc", "evc2_average_precision", "evc3_threshold_scores", "evc7_ece_right_closed"]) + f" JOIN ({_LOSSES}) AS losses USING (dataset)")(score_card)

@@ -95,8 +95,8 @@ def _(spark, d):
 
 @query("fea8_cumulative_product", "SELECT c_nationkey::BIGINT AS g, c_custkey AS k, round(product(1 + c_acctbal / 100000) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING), 6) AS p FROM customer")
 def _(spark, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k"), P.cumulative_product(1 + F.col("c_acctbal") / 100000, w).alias("p")))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k"), (1 + F.col("c_acctbal") / 100000).alias("x"))
+    return rounded(P.running_product(c, "x", ["g"], "k", "p").select("g", "k", "p"))
 
 
 @query("fea9_lagged", f"{_EV} SELECT event_id, round(lag(value, 2) OVER w, 6) AS shift, round(value - lag(value) OVER w, 6) AS diff, round(value / nullif(lag(value) OVER w, 0) - 1, 6) AS change FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -125,9 +125,9 @@ def _(spark, d):
 
 @query("fea12_ranking", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0::DOUBLE AS r, first_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS best FROM customer")
 def _(spark, d):
-    w = Window.partitionBy("c_nationkey")
-    ties = F.count("*").over(Window.partitionBy("c_nationkey", "c_acctbal"))
-    return table(spark, d, "customer").select("c_custkey", (F.rank().over(w.orderBy("c_acctbal")) + (ties - 1) / 2.0).alias("r"), F.first("c_custkey").over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("best"))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    best = c.groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("best"))
+    return P.average_rank(c, "c_acctbal", ["c_nationkey"], "r").join(F.broadcast(best), "c_nationkey").select("c_custkey", "r", "best")  # a row a nation
 
 
 @query("fea13_frequency", "SELECT p_brand, count(*) AS n, count(*) - count(DISTINCT p_name) AS duplicated, count(DISTINCT p_type) AS types FROM part GROUP BY 1")

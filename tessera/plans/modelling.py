@@ -13,7 +13,8 @@ from tessera.operators import metrics as M
 from tessera.operators import models as L
 from tessera.operators.encode import encode
 from tessera.operators.named_models import named
-from tessera.operators.split import class_weight, stratified_split, three_way_split
+from tessera.operators.screening import screened
+from tessera.operators.split import class_weight, random_split, stratified_split, three_way_split
 from tessera.operators.stacking import stack_binary
 from tessera.operators.store import PredictionStore, classification_candidates
 from tessera.plans.base import query, table
@@ -57,7 +58,7 @@ def _prices(spark, d):
 @query("mod3_regressors")
 def _(spark, d):
     fit, test = _prices(spark, d)
-    return M.regression_scores(L.fit_pool(L.regressors(42), fit, test, ["row_id", "y"]), by=["model"])
+    return M.regression_scores(L.fit_pool(L.with_log_targets(L.regressors(42)), fit, test, ["row_id", "y"]), by=["model"])
 
 
 @query("mod1_tuned_forest")
@@ -163,12 +164,13 @@ def _(spark, d):
 
 @query("dis5_cluster_student")
 def _(spark, d):
-    """A small network that learns the cluster labels, and how often it agrees."""
+    """A small network that learns the cluster labels of training rows, and how often it agrees on the others."""
     v = _vectors(spark, d)
-    labelled = L.clusterers(4, 42)["kmeans"].fit(v).transform(v).persist()
-    width = labelled.first()["features"].size
-    student = MC.MultilayerPerceptronClassifier(layers=[width, 16, 4], seed=42, maxIter=60, featuresCol="features", labelCol="label", predictionCol="student").fit(labelled)
-    out = student.transform(labelled)
+    labelled = written(random_split(L.clusterers(4, 42)["kmeans"].fit(v).transform(v), 0.3, 42, "vec_id"), "clustered")
+    fit, held_out = labelled.where("split = 'train'"), labelled.where("split = 'test'")
+    width = fit.first()["features"].size
+    student = MC.MultilayerPerceptronClassifier(layers=[width, 16, 4], seed=42, maxIter=60, featuresCol="features", labelCol="label", predictionCol="student").fit(fit)
+    out = student.transform(held_out)
     return out.agg(F.avg((F.col("label") == F.col("student")).cast("double")).alias("agreement"), F.count("*").alias("n"))
 
 
@@ -188,6 +190,18 @@ def _(spark, d):
     return spark.createDataFrame(list(found.items()), "name string, importance double")
 
 
+@query("fsel1_screen")
+def _(spark, d):
+    """The features that each selection keeps of orders, by mutual information over quantile bins and a forest, and of prices, by F tests."""
+    task, prices = order_task(spark, d), _prices(spark, d)[0].withColumn("noise", F.xxhash64("row_id") % 1000 / 1000)
+    rows = []
+    for selection in ("intersection", "union"):
+        rows += [(selection, "classification", i, n) for i, n in enumerate(screened(task, [*BASE, "price_month"], "y", "classification", 3, 2, selection))]
+        rows += [(selection, "regression", i, n) for i, n in enumerate(screened(prices, ["q", "e", "dc", "noise"], "y", "regression", 3, 1, selection))]
+    rows += [("gain", "clustering", i, n) for i, n in enumerate(screened(prices, ["q", "e", "dc"], "y", "clustering", 2))]
+    return spark.createDataFrame(rows, "selection string, task string, place int, name string")
+
+
 @query("fsel5_leave_one_out")
 def _(spark, d):
     """Fall of the validation auc when a feature is left out; one fit a feature."""
