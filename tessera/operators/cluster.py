@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ranking import HASH_BUCKETS, linear_quantiles, running
 from tessera.operators.tables import best_per_group
+from tessera.sources.shared import written
 
 
 def centroids(df: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -110,15 +111,23 @@ def align_optimal(cells: DataFrame, group: str, label: str, reference: str, n: s
     return cells.select(group, F.col(label).cast("long"), F.col(reference).cast("long"), n).groupBy(group).applyInPandas(solve, f"{group} {kind}, {label} long, aligned long")
 
 
-def signature_graph(long: DataFrame) -> DataFrame:
-    """Co-association without rows by rows: distinct label tuples with their sizes, and for each two the share of agreeing models."""
+def signature_graph(long: DataFrame, least: float = 0.0) -> DataFrame:
+    """Co-association without rows by rows: distinct label tuples with their sizes, and for each two the share of agreeing models, of `least` and more.
+
+    Two tuples of m labels that agree in n places share one of the m - n + 1 rarest (place, label) of either, so each
+    tuple is met under those only: under its rarest one, if all must agree. With 0, tuples need to agree somewhere.
+    """
     rows = long.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("candidate", "label"))).alias("s")).select("row_id", F.col("s.label").alias("signature"))
-    sizes = rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
-    a, b = sizes.select(F.col("signature").alias("sa"), F.col("first").alias("a"), F.col("n").alias("na")), sizes.select(F.col("signature").alias("sb"), F.col("first").alias("b"), F.col("n").alias("nb"))
-    # two signatures that agree somewhere meet by that place and label
-    place = lambda x, s: x.select("*", F.posexplode(s).alias("_i", "_label"))
-    met = place(a, "sa").join(place(b, "sb"), ["_i", "_label"]).where("a < b")
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("agree"), F.first(F.size("sa")).alias("m")).select("a", "b", "na", "nb", (F.col("agree") / F.col("m")).alias("similarity"))
+    sizes = written(rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("row_id").alias("first")), "signatures")
+    each = sizes.select("signature", F.col("first").alias("v"), "n", F.posexplode("signature").alias("_i", "_label"))
+    shared = each.groupBy("_i", "_label").agg(F.count("*").alias("_many"))
+    rarest = Window.partitionBy("v").orderBy("_many", "_i")  # a signature's labels
+    needed = F.greatest(F.lit(1), F.ceil(F.size("signature") * least - 1e-9))
+    keys = each.join(shared, ["_i", "_label"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.size("signature") - needed + 1)
+    side = lambda x: keys.select("_i", "_label", F.col("signature").alias(f"s{x}"), F.col("v").alias(x), F.col("n").alias(f"n{x}"))
+    met = side("a").join(side("b"), ["_i", "_label"]).where("a < b").select("a", "b", "na", "nb", "sa", "sb").distinct()
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    return met.select("a", "b", "na", "nb", (agree / F.size("sa")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def candidate_scores(long: DataFrame, truth: DataFrame) -> DataFrame:

@@ -81,6 +81,12 @@ def parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def section_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line and text of every line of whole files, numbered in its file: what `sections` takes by path, a file a group."""
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return whole.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+
+
 def sections(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sectioned tables out of (line, text): a title line, a header line, rows until a blank one. Gives title, row name, column, cell."""
     w = Window.partitionBy(*(by or [])).orderBy("line")

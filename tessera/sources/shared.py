@@ -21,8 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders that this driver has named, and may delete.
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_written(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the folders that fresh_dir has named, from the since-th on, and returns how many; call it once results are written elsewhere."""
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs
+    gone = 0
+    while len(_made) > since:
+        at = store.Path(_made.pop())
+        gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
+
+
+def named_so_far() -> int:
+    """A mark for clear_written's since."""
+    return len(_made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

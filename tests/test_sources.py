@@ -83,3 +83,34 @@ def test_shared_tables(spark):
     assert shared_dir(spark) == shared_dir(spark)
     df = written(spark.range(10), "ten")
     assert df.count() == 10 and df.inputFiles()[0].startswith(("file:", "/"))
+
+
+def test_sections_by_file_and_cleared_folders(spark, tmp_path):
+    from tessera.sources import shared
+    from tessera.sources.files import section_lines
+
+    (tmp_path / "a.csv").write_text("first\nname,x\nr,1\n\nsecond\r\nname,y,z\r\ns,2,3\n")
+    (tmp_path / "b.csv").write_text("first\nname,x\nr,9\n")
+    found = {(r.path[-5:], r.title, r.name, r.column, r.cell) for r in files.sections(section_lines(spark, str(tmp_path)), ["path"]).collect()}
+    assert found == {("a.csv", "first", "r", "x", "1"), ("a.csv", "second", "s", "y", "2"), ("a.csv", "second", "s", "z", "3"), ("b.csv", "first", "r", "x", "9")}
+    mark = shared.named_so_far()
+    kept, gone = shared.written(spark.range(3).toDF("a"), "kept"), None
+    mark = shared.named_so_far()
+    gone = shared.fresh_dir(spark, "gone")
+    spark.range(3).write.parquet(gone)
+    shared.fresh_dir(spark, "never written")
+    assert shared.clear_written(spark, mark) == 1 and shared.named_so_far() == mark and kept.count() == 3
+
+
+def test_signature_graph_with_a_least_share(spark):
+    from tessera.operators.cluster import signature_graph
+
+    rng = __import__("random").Random(6)
+    rows = [(c, i, rng.randrange(3)) for i in range(150) for c in "abcd"]
+    long = spark.createDataFrame(rows, "candidate string, row_id long, label int")
+    tuples = {}
+    for i in range(150):
+        tuples.setdefault(tuple(x for _, j, x in sorted(r for r in rows if r[1] == i)), []).append(i)
+    for least in (0.0, 0.5, 0.75, 1.0):
+        wanted = {(min(a), min(b), len(a), len(b), sum(x == y for x, y in zip(s, t)) / 4) for s, a in tuples.items() for t, b in tuples.items() if min(a) < min(b) and sum(x == y for x, y in zip(s, t)) >= max(1, 4 * least)}
+        assert {tuple(r) for r in signature_graph(long, least).collect()} == wanted
