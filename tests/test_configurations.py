@@ -36,7 +36,7 @@ def test_demo_reaches_its_score_and_never_sees_test_labels(spark, demo):
     pool = {"logistic": L.classifiers(42)["logistic"]}
     once = {r.row_id: r.p for r in L.stack(pool, fit, test, "row_id", k=3).collect()}
     flipped = {r.row_id: r.p for r in L.stack(pool, fit, test.withColumn("y", 1 - F.col("y")), "row_id", k=3).collect()}
-    assert once == flipped and len(once) == test.count()
+    assert flipped == pytest.approx(once, abs=1e-9) and len(once) == test.count()  # sums come in any order
 
 
 def test_calibrators_keep_the_order_and_mend_the_level(spark):
