@@ -20,14 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import table, text_slices
-from tessera.llm.encode import encoder, vocabulary
-
-
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself where Latin-1 prints it, else the next from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = (chr(0x100 + i) for i in range(256))
-    return [chr(b) if b in shown else next(rest) for b in range(256)]
+from tessera.llm.encode import byte_characters, encoder, vocabulary
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import Broadcast
@@ -11,6 +13,9 @@ from pyspark.sql import SparkSession
 
 #: The characters that Unicode calls white space.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The letters of ASCII and Latin-1, and the marks of ASCII.
+LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
+MARKS = "!-/:-@\\[-`{-~"
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +31,24 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: itself where Latin-1 prints it, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (chr(0x100 + i) for i in range(256))
+    return [chr(b) if b in shown else next(rest) for b in range(256)]
+
+
+class Seen(dict):
+    """Values by key; learn gives a missing one."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.learn(key)
+        return found
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian uint32 bytes, equal to the library's encode(text, add_special_tokens=False).
 
@@ -35,11 +58,12 @@ class Encoder:
     Neither tokenizer's pre-tokens cross the chunks used here: byte-level BPE takes at most the last of a run of
     white space to the word after it, BPE with word ends drops white space, and both end a run of letters or digits
     at a following mark. So a text's ids are those of its chunks in order, and those of chunks seen before come from
-    a dictionary of at most 2 * keep entries. New chunks go to the library many at a time, joined by a separator
-    whose id shows where each begins; those that hold the separator go alone.
+    a dictionary of at most 2 * keep entries and one text's, some 250 bytes each. A chunk of Latin letters is one
+    pre-token, so the library's model takes it as it is, in the characters that stand for its bytes; any other goes to
+    the library whole.
     """
 
-    def __init__(self, vocabulary: str, ordinary: bool = False, keep: int = 60_000):
+    def __init__(self, vocabulary: str, ordinary: bool = False, keep: int = 300_000):
         """vocabulary: the text of a tokenizer file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -50,26 +74,27 @@ class Encoder:
         self.special = special
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         spaced = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
-        marks = ".,!?;:|"
-        word = f" ?[^{WHITE}{marks}]*[A-Za-z0-9](?=[{marks}])| ?[^{WHITE}]+"
+        plain = f" ?[{LETTERS}]++(?=[ \\n{MARKS}]|\\Z)"  # most chunks, found without a step back
+        word = f"{plain}| ?[^{WHITE}{MARKS}]*[A-Za-z0-9](?=[{MARKS}])| ?[^{WHITE}]+"
         self.chunks = re.compile(f"{word}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if spaced else word.replace(" ?", "")).findall
-        self.mark, self.between = ("\n", "\n") if spaced else ("\x01", " \x01 ")
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.keep, self.young, self.old = keep, {}, {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        alone = [x for x in chunks if self.mark in x or x.isspace()]
-        plain = list(set(chunks).difference(alone)) if alone else chunks
-        parts = [plain[i : i + 1000] for i in range(0, len(plain), 1000)] + [[x] for x in alone]
-        found = self.tokenizer.encode_batch_fast([self.between.join(p) for p in parts], add_special_tokens=False)
-        for part, done in zip(parts, found, strict=True):
-            ids = np.array(done.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id) if len(part) > 1 else []
-            held = ids.tobytes()
-            low = 0
-            for chunk, high in zip(part, [*(4 * x for x in cuts), len(held)], strict=True):
-                self.young[chunk] = held[low:high]
-                low = high + 4
+        self.keep, self.young, self.old = keep, Seen(self._learn), {}
+        self.spaced, self.model, self.characters, self.word = spaced, self.tokenizer.model, "".join(byte_characters()), re.compile(f" ?[{LETTERS}]+").fullmatch
+        letters = [c for c in map(chr, range(256)) if self.word(c)]
+        probe = [x + y for x in ("", " " * spaced) for y in (*letters, "".join(letters), *(f"{c}xX{c}" for c in letters))]
+        if any(self._word_ids(x) != self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe):
+            self.word = lambda _: None  # the file has other rules for letters
+
+    def _word_ids(self, word: str) -> list[int]:
+        if not self.spaced:
+            word = word.lower()
+        word = word.replace(" ", self.characters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _learn(self, chunk: str) -> bytes:
+        if (found := self.old.get(chunk)) is not None:
+            return found
+        ids = self._word_ids(chunk) if self.word(chunk) else self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         texts = [x or "" for x in texts]
@@ -83,17 +108,11 @@ class Encoder:
         return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(x) for x in texts]
-        missing = set().union(*parts).difference(self.young)
-        if self.old:
-            held = missing.intersection(self.old)
-            for x in held:
-                self.young[x] = self.old[x]
-            missing -= held
-        self._learn(list(missing))
-        out = [b"".join(map(self.young.__getitem__, p)) for p in parts]
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.young.__getitem__, self.chunks(text))))
+            if len(self.young) > self.keep:
+                self.old, self.young = self.young, Seen(self._learn)
         return out
 
 

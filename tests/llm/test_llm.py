@@ -296,6 +296,23 @@ def test_encoder_equals_library(name, ordinary):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(part)] == [library_ids(name, x, ordinary) for x in part]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_keeps_chunks_and_cuts_words_from_marks(name):
+    """Words come from the dictionary, with a mark behind them or not, also after 150,000 others; all ids are the library's."""
+    rng = random.Random(5)
+    latin = [chr(i) for i in range(0x20, 0x100) if chr(i).isprintable()]
+    texts = ["".join(rng.choices([*latin, " ", " ", "e\u0301", "H\u0331", "\u0130", "'s", "\t", "\u3000", "\x1c"], k=rng.randint(0, 40))) for _ in range(2000)]
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(150_000)]
+    with open(vocabulary(name), encoding="utf-8") as file:
+        e = Encoder(file.read())
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [library_ids(name, x) for x in texts]
+    e.ids([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+    held = len(e.young) + len(e.old)
+    again = [" ".join(w + rng.choice(["", "***", ".", "-"]) for w in words[i : i + 1000]) for i in range(0, 20_000, 1000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(again)] == [library_ids(name, x) for x in again]
+    assert len(e.young) + len(e.old) - held < 200  # marks, and first words, which have no space before them
+
+
 def test_token_files_round_trip_and_seek(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/tok"
     files = token_files.write_token_files(odd.repartition(3), vocabulary("byte_bpe_50k.json"), 2, folder)
