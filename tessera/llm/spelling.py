@@ -220,6 +220,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def run(batches):
         frequent, lengths = held.value
+        lengths = lengths.tolist()
         for batch in batches:
             rows: list[list] = [[] for _ in types]
             for word, n, id_ in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "id")), strict=True):
@@ -242,10 +243,12 @@ def near_words(words: DataFrame) -> DataFrame:
     for x in "ab":
         long = long.join(words.where(F.length("word") >= CARRIED).select(*(F.col(c).alias(f"{c}_{x}") for c in ("word", "n", "id"))), f"id_{x}")
     long = long.where(F.levenshtein("word_a", "word_b", 1) == 1)
+    sides = [F.struct(F.col(f"word_{x}").alias("w"), F.col(f"n_{x}").alias("n")) for x in "ab"]
+    long = long.select(F.least(*sides).alias("a"), F.greatest(*sides).alias("b")).select("a.w", "a.n", "b.w", "b.n")  # one way, even if numbers agree
     names = ["a", "n_a", "b", "n_b"]
-    met = short.select("word_a", "n_a", "word_b", "n_b").union(long.select("word_a", "n_a", "word_b", "n_b")).toDF(*names)
-    pairs = written(met.union(met.select("b", "n_b", "a", "n_a")).distinct(), "near-words")
-    return pairs.toDF(*names)
+    met = short.select("word_a", "n_a", "word_b", "n_b").union(long).toDF(*names)
+    pairs = written(met.distinct(), "near-words")  # one way, so that the lists are merged once
+    return pairs.union(pairs.select("b", "n_b", "a", "n_a")).toDF(*names)
 
 
 def follow(forms: DataFrame) -> DataFrame:

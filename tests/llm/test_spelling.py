@@ -87,6 +87,19 @@ def test_dense_words_with_chains_ties_and_frequent_grams(spark, monkeypatch, lea
     assert rows_of(spelling.spelling_variants(frame)) == brute_rows(n)
 
 
+def test_pairs_are_found_and_written_one_way(spark, monkeypatch):
+    """Short words and words of about CARRIED code points and more: the lists are merged once, both directions come from that."""
+    rng, made = random.Random(8), spelling.written
+    words = {"abcde", "abcdf", "abcd", *(long := ["".join(rng.choices("abc", k=k)) for k in (62, 63, 64, 65, 90) for _ in range(8)])}
+    words |= {w[:k] + c + w[k + 1 :] for w in long for k, c in ((0, "d"), (30, ""), (40, "de"))}
+    sizes = {}
+    monkeypatch.setattr(spelling, "written", lambda df, name: sizes.setdefault(name, made(df, name)))
+    found = sorted(tuple(r) for r in spelling.near_words(spark.createDataFrame([(w, len(w)) for w in words], "word string, n long")).collect())
+    near = lambda a, b: a != b and (lambda p, q: any(p[i + 1 :] == q[i + (len(p) == len(q)) :] and p[:i] == q[:i] for i in range(len(p))))(*sorted((a, b), key=len, reverse=True))
+    assert found == sorted((a, len(a), b, len(b)) for a in words for b in words if abs(len(a) - len(b)) < 2 and near(a, b))
+    assert 2 * sizes["near-words"].count() == len(found) > 80
+
+
 def test_every_edit_leaves_a_shared_gram_under_any_dictionary():
     rng = random.Random(1)
     for _ in range(6000):
