@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -70,12 +71,32 @@ def cluster_sums(df: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[:, 0], out[:, 1:]
 
 
+def started(df: DataFrame, k: int, seed: int, **params) -> np.ndarray:
+    """k-means centres of df (features, and perhaps the weight n), a table of some thousand rows: no more than it has distinct rows, which then are the centres themselves.
+
+    KMeans may draw fewer than k places to start from, and fails on them or gives fewer; k distinct rows drawn at random start it then.
+    """
+    weighted = "n" in df.columns
+    places = df.select(vector_to_array("features").alias("v"), F.col("n") if weighted else F.lit(1.0).alias("n")).groupBy("v").agg(F.sum("n").alias("n"))
+    places = written(places.select(array_to_vector("v").alias("features"), "n"), "distinct-rows")
+    if places.count() <= k:
+        return np.array([r["features"].toArray() for r in places.orderBy(F.xxhash64(vector_to_array("features"))).collect()])  # at most k rows
+    fitted = KMeans(k=k, seed=seed, featuresCol="features", **({"weightCol": "n"} if weighted else {}), **params)
+    try:
+        centres = np.array(fitted.fit(df).clusterCenters())
+    except Py4JJavaError as e:
+        if "ArrayIndexOutOfBounds" not in str(e):
+            raise
+        centres = np.zeros((0, 0))
+    return centres if len(centres) == k else np.array(fitted.copy().setInitMode("random").setWeightCol("n").fit(places).clusterCenters())
+
+
 def minibatch_kmeans(df: DataFrame, k: int, seed: int = 42, batch_rows: int = 2048, steps: int = 10, row_id: str | None = None) -> Centres:
     """k centres from hashed batches of about batch_rows rows: each moves a centre towards its rows' mean by their share of all rows it has had.
 
     df has features, vectors of one width, and perhaps row_id to hash, else the features are. At most `steps` batches are written, each a folder of its own, so a
     step reads its rows only; a table of fewer rows comes round again in the same batches. Rows with a null vector are
-    left out; a centre that no batch reaches stays at its start.
+    left out; a centre that no batch reaches stays at its start. There are fewer than k if the first batch has fewer distinct rows.
     """
     spark = df.sparkSession
     df = df.where("features is not null")
@@ -87,7 +108,7 @@ def minibatch_kmeans(df: DataFrame, k: int, seed: int = 42, batch_rows: int = 20
     df.select("features", F.floor(spot * (parts / share)).cast("int").alias("_batch")).where(F.col("_batch") < parts).write.partitionBy("_batch").parquet(path)
     batch = lambda i: spark.read.parquet(f"{path}/_batch={i}")
     present = sorted(int(r[0]) for r in spark.read.parquet(path).select("_batch").distinct().collect())  # batches
-    centres = np.array(KMeans(k=k, seed=seed, maxIter=1, featuresCol="features").fit(batch(present[0])).clusterCenters())
+    centres = started(batch(present[0]), k, seed, maxIter=1)
     held = np.zeros(len(centres))
     for step in range(steps):
         n_c, sums = cluster_sums(batch(present[step % len(present)]), centres)
@@ -121,13 +142,14 @@ class _Node:
 class FeatureTree:
     """A clustering-feature tree: points within `threshold` (root mean square from their mean) share an entry.
 
-    When more than `most` entries are needed the threshold doubles and the entries go into a new tree, so a tree's
-    memory does not grow with its points.
+    When more than `most` entries are needed entries join those that suit them best, the threshold grows to what that needs,
+    and they go into a new tree, so a tree's memory does not grow with its points. Doubling the threshold would, where many
+    features put all points about equally far apart, leave a handful of entries.
     """
 
     def __init__(self, width: int, threshold: float, most: int = 2000, branching: int = 50):
         self.width, self.threshold, self.most, self.branching = width, threshold, most, branching
-        self.root, self.entries = _Node(width, branching, True), 0
+        self.root, self.entries, self.growing = _Node(width, branching, True), 0, False
 
     def insert(self, n: float, sums: np.ndarray, squares: float) -> None:
         node, path, point = self.root, [], sums / n
@@ -162,12 +184,47 @@ class FeatureTree:
                 else:
                     node.n[at], node.sums[at], node.squares[at] = values
                     node.children[at] = half
-        if self.entries > self.most:
-            held = list(self.leaves())
-            self.threshold = max(2 * self.threshold, 1e-12)
-            self.root, self.entries = _Node(self.width, self.branching, True), 0
-            for entry in held:
-                self.insert(*entry)
+        if self.entries > self.most and not self.growing:
+            self._grow()
+
+    def _grow(self) -> None:
+        """At most three quarters of the entries in a new tree: each joins the one that suits it best, the best first, while both together are within the threshold that three quarters would need."""
+        held = list(self.leaves())
+        while len(held) > max(1, 0.75 * self.most):
+            radius, partner = self._partners(held)
+            self.threshold = max(self.threshold, float(np.quantile(radius, 0.75)) * (1 + 1e-12), 1e-12)
+            into, joined = list(range(len(held))), list(held)
+            for i in np.argsort(radius, kind="stable").tolist():
+                a, b = i, int(partner[i])
+                while into[a] != a:
+                    a = into[a]
+                while into[b] != b:
+                    b = into[b]
+                n, sums, squares = (x + y for x, y in zip(joined[a], joined[b], strict=True))
+                if a != b and (squares / n - ((sums / n) ** 2).sum() <= self.threshold**2):
+                    into[b], joined[a] = a, (n, sums, squares)
+            left = [joined[i] for i in range(len(held)) if into[i] == i]
+            if len(left) == len(held):
+                self.threshold *= 1.01
+            held = left
+        self.root, self.entries, self.growing = _Node(self.width, self.branching, True), 0, True
+        for entry in held:
+            self.insert(*entry)
+        self.growing = False
+
+    @staticmethod
+    def _partners(held: list[tuple[float, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each entry, the least root mean square from the mean that it can have together with another one, and which that is."""
+        n, sums, squares = (np.array(x) for x in zip(*held, strict=True))
+        norms, out, at = (sums**2).sum(axis=1), np.empty(len(n)), np.empty(len(n), np.int64)
+        for low in range(0, len(n), 256):
+            part = slice(low, low + 256)
+            many = n[part, None] + n
+            square = (squares[part, None] + squares) / many - (norms[part, None] + norms + 2 * sums[part] @ sums.T) / many**2
+            square[np.arange(len(square)), np.arange(low, low + len(square))] = np.inf
+            at[part] = square.argmin(axis=1)
+            out[part] = square[np.arange(len(square)), at[part]]
+        return np.sqrt(np.maximum(out, 0.0)), at
 
     def _split(self, node: _Node) -> tuple[_Node, _Node]:
         """The entries by the nearer of the two that are farthest apart."""
@@ -206,8 +263,9 @@ def _inserted(rows: DataFrame, threshold: float, most: int) -> DataFrame:
             width = len(batch.column("sums")[0])
             tree = tree or FeatureTree(width, threshold, most)
             for entry in zip(n.tolist(), _matrix(batch.column("sums"), width), squares.tolist(), strict=True):
-                tree.insert(*entry)
-        if tree is not None:
+                if np.isfinite(entry[2]):
+                    tree.insert(*entry)
+        if tree is not None and tree.entries:
             n, sums, squares = zip(*tree.leaves(), strict=True)
             yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.float64()), "sums": pa.array(sums, pa.list_(pa.float64())), "squares": pa.array(squares, pa.float64())})
 
@@ -215,7 +273,7 @@ def _inserted(rows: DataFrame, threshold: float, most: int) -> DataFrame:
 
 
 def feature_entries(df: DataFrame, threshold: float = 0.5, most: int = 2000) -> DataFrame:
-    """n, sums, squares of at most `most` entries that together hold every row of df once; rows with a null vector are left out.
+    """n, sums, squares of at most `most` entries that together hold every row of df once; rows with a null vector, or a number in it that is not finite, are left out.
 
     Every task builds a tree over its own rows; while there are more than `most` entries, an eighth of as many tasks
     build trees over those, as entries add up. The last task so has at most some eight trees' entries.
@@ -231,11 +289,11 @@ def feature_entries(df: DataFrame, threshold: float = 0.5, most: int = 2000) ->
 
 
 def birch(df: DataFrame, k: int, threshold: float = 0.5, most: int = 2000, seed: int = 42) -> Centres:
-    """Labels by the nearest tree entry; entries are clustered by k-means, each weighing as many rows as it holds."""
+    """Labels by the nearest tree entry; entries are clustered by k-means, each weighing as many rows as it holds. There are fewer than k labels if there are fewer distinct entries."""
     entries = written(feature_entries(df, threshold, most).select("n", array_to_vector(F.transform("sums", lambda x: x / F.col("n"))).alias("features")), "tree-centres")
-    model = KMeans(k=k, seed=seed, weightCol="n", featuresCol="features", predictionCol="label").fit(entries)
-    told = model.transform(entries).select("features", "label").collect()  # at most `most` rows
-    return Centres(np.array([r["features"].toArray() for r in told]), np.array([r["label"] for r in told], np.int32))
+    centres = started(entries, k, seed)
+    places = np.array([r["features"].toArray() for r in entries.collect()])  # at most `most` rows
+    return Centres(places, nearest(places, centres).astype(np.int32))
 
 
 @dataclass(frozen=True)

@@ -145,3 +145,32 @@ def test_minibatch_moves_by_shares(spark, blobs):
     n, sums = batches.cluster_sums(df.where("features is not null"), centres)
     of = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert n.tolist() == np.bincount(of).tolist() and np.allclose(sums, [x[of == c].sum(axis=0) for c in (0, 1)])
+
+
+def test_thresholds_grow_no_further_than_they_must():
+    """Points of many features are about equally far apart: at one threshold none share an entry, at twice it all do."""
+    x = np.random.default_rng(3).normal(size=(1500, 64))
+    tree = batches.FeatureTree(64, 0.5, most=100)
+    for p in x:
+        tree.insert(1.0, p, float((p**2).sum()))
+    assert 50 <= tree.entries <= 100 and sum(n for n, _, _ in tree.leaves()) == pytest.approx(1500)
+    for v in (1.0, 0.0):  # the same point over and over, and two of them
+        tree = batches.FeatureTree(1, 0.0, most=1)
+        for i in range(20):
+            tree.insert(1.0, np.array([v * (i % 2)]), v * (i % 2))
+        assert tree.entries == 1
+
+
+def test_light_clusterers_of_fewer_rows_than_clusters(spark):
+    rng = np.random.default_rng(3)
+    wide = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(rng.normal(size=(5000, 64)))], "row_id long, v array<double>").repartition(4)
+    wide = wide.select("row_id", array_to_vector("v").alias("features"))
+    found = batches.Birch(10).fit(wide)
+    assert len(found.centres) > 500 and len(set(found.labels)) == 10 and wide.count() == found.transform(wide).where("label between 0 and 9").count()
+    few = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(90)], "row_id long, v array<double>").select("row_id", array_to_vector("v").alias("features"))
+    for model in (batches.Birch(10).fit(few), batches.MiniBatchKMeans(10).fit(few)):
+        told = {r.row_id: r.label for r in model.transform(few).collect()}
+        assert len(set(told.values())) == 3 and all(told[i] == told[i % 3] for i in range(90))
+    far = [(i, [1e3**i, 0.0]) for i in range(12)]  # of such rows KMeans draws fewer places than it needs
+    far = spark.createDataFrame(far, "row_id long, v array<double>").select("row_id", array_to_vector("v").alias("features"))
+    assert batches.started(far, 10, 42).shape == (10, 2)
