@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tessera.operators import batches, consensus, mixtures
+from tessera.operators import models as L
 from tessera.operators.metrics import contingency, label_scores
 
 
@@ -174,3 +175,12 @@ def test_light_clusterers_of_fewer_rows_than_clusters(spark):
     far = [(i, [1e3**i, 0.0]) for i in range(12)]  # of such rows KMeans draws fewer places than it needs
     far = spark.createDataFrame(far, "row_id long, v array<double>").select("row_id", array_to_vector("v").alias("features"))
     assert batches.started(far, 10, 42).shape == (10, 2)
+
+
+def test_teacher_candidates_of_many_features(spark, monkeypatch):
+    """Every size has a row a candidate, on points that are about equally far apart."""
+    monkeypatch.setattr(L, "clusterers", lambda k, seed: {})
+    x = np.random.default_rng(3).normal(size=(5000, 64))
+    df = spark.createDataFrame([(int(i % 7), [float(v) for v in row]) for i, row in enumerate(x)], "truth int, v array<double>").repartition(4).select("truth", array_to_vector("v").alias("features")).cache()
+    told = L.teacher_candidates(df, df, "truth", [10, 12], 42).collect()
+    assert {(r.candidate, r.k) for r in told} == {(c, k) for c in ("minibatch", "birch") for k in (10, 12)} and all(r.rand > 0.5 for r in told)
