@@ -127,3 +127,26 @@ def test_binary_scores_equal_each_alone(task):
     for part in (M.roc_auc(told), M.average_precision(told), M.probability_scores(told), M.ece(told), M.confusion(told, threshold=0.4).drop("tp", "fp", "fn", "tn")):
         wanted |= part.first().asDict()
     assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
+def test_wide_scores_equal_the_pivoted_ones(task, monkeypatch):
+    _, _, fit, test = task
+    pool = {"tree": L.classifiers(1)["tree"], "bad": Raises(), "logistic": L.classifiers(1)["logistic"]}
+    log = []
+    told = {r.row_id: (r.y, r.tree, r.logistic) for r in L.out_of_fold_wide(pool, fit, "row_id", 3, 1, log=log).collect()}
+    long = L.wide(L.out_of_fold({n: pool[n] for n in ("tree", "logistic")}, fit, "row_id", 3, 1), "row_id", ["tree", "logistic"])
+    assert len(told) == 300 and [n for n, _ in log] == ["bad"]
+    for r in long.collect():
+        assert told[r.row_id] == pytest.approx((r.y, r.tree, r.logistic))
+
+
+def test_stacks_pivot_no_rows(task, monkeypatch):
+    _, _, fit, test = task
+
+    def pivoted(*a):
+        raise AssertionError("every row of every model is shuffled")
+
+    monkeypatch.setattr(L, "wide", pivoted)
+    pool = {"late": RaisesOnAll(), "tree": L.classifiers(1)["tree"], "logistic": L.classifiers(1)["logistic"]}
+    assert L.stack(pool, fit, test, "row_id", k=3, tune=False).where("p between 0 and 1").count() == 100
+    assert L.stack_regression({n: L.regressors(1)[n] for n in ("ridge", "huber")}, fit, test, "row_id", k=3).select("row_id").distinct().count() == 100
